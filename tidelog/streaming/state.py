@@ -1,0 +1,27 @@
+"""Small helpers shared by the streaming jobs."""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table that may not exist yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def overwrite_batch(rows: DataFrame, path: str, *folders: str) -> None:
+    """Write one micro-batch (column ``batch``) under its own folders, replacing only those."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders, "batch").parquet(path)
+
+
+def run_to_end(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
