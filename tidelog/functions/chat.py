@@ -30,11 +30,10 @@ class Profile:
     images: bool
     tool_parts: bool
     redacted: bool
-    pass_converted_tools: bool
 
 
-VIEWER = Profile("\n\n", False, True, False, True, True, True)
-CONVERTER = Profile("", True, False, True, False, False, False)
+VIEWER = Profile("\n\n", False, True, False, True, True)
+CONVERTER = Profile("", True, False, True, False, False)
 
 PART_TYPE = (
     "STRUCT<type: STRING, text: STRING, url: STRING, id: STRING, name: STRING, "
@@ -204,20 +203,18 @@ def with_system(body: Column, profile: Profile) -> Column:
     return F.concat(V.bind(merge_system(body, profile), lead), convert_messages(body, profile))
 
 
-def convert_tools(body: Column, profile: Profile) -> Column:
-    """Tools as ARRAY<STRING> of JSON; NULL when there are none."""
+def convert_tools(body: Column) -> Column:
+    """Tools as ARRAY<STRING> of JSON; NULL when there are none. Converted ones pass."""
 
     def convert(tool: Column) -> Column:
-        name = V.text_of(tool, "name")
-        schema = V.get(tool, "input_schema", "variant")
         function = F.struct(
-            (_blank(name) if profile.pass_converted_tools else name).alias("name"),
+            _blank(V.text_of(tool, "name")).alias("name"),
             _blank(V.text_of(tool, "description")).alias("description"),
-            F.coalesce(schema, F.parse_json(F.lit(DEFAULT_PARAMETERS))).alias("parameters"),
+            F.coalesce(V.get(tool, "input_schema", "variant"), F.parse_json(F.lit(DEFAULT_PARAMETERS))).alias(
+                "parameters"
+            ),
         )
         wrapped = F.to_json(F.struct(F.lit("function").alias("type"), function.alias("function")))
-        if not profile.pass_converted_tools:
-            return wrapped
         return F.when(V.has_key(tool, "", "function"), F.to_json(tool)).otherwise(wrapped)
 
     tools = V.items(body, "tools")

@@ -200,6 +200,21 @@ def rebuild_tool_calls(events: Column) -> Column:
     return F.aggregate(wanted, empty, step, pick)
 
 
+def named_events(text: Column) -> Column:
+    """ARRAY<STRUCT<event_name, data>>: every data line with the name the line before it gives."""
+    lines = F.split(text, "\n")
+
+    def read(line: Column, at: Column) -> Column:
+        before = strip_line(F.when(at > 0, F.get(lines, at - 1)))
+        name = F.when(F.startswith(before, F.lit("event:")), strip_line(F.substring(before, F.lit(7), F.length(before))))
+        data = V.parse_object(F.substring(line, F.lit(6), F.length(line)))
+        return F.when(
+            F.startswith(line, F.lit("data:")), F.struct(name.alias("event_name"), data.alias("data"))
+        )
+
+    return F.filter(F.transform(lines, read), lambda e: e.isNotNull())
+
+
 def repair_lines(text: Column) -> Column:
     """Fix streams of upstreams that leave things out; other lines stay as they are.
 

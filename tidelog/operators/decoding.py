@@ -33,25 +33,29 @@ def decode(log: DataFrame, strict_body: bool = False) -> DataFrame:
     )
 
 
-def with_reply(decoded: DataFrame, mode: str = E.ALL_LINES, compat_sniff: bool = False) -> DataFrame:
-    """Add the viewer's ``reply`` struct, NULL where there is no response.
+def reply_of(text: Column, mode: str = E.ALL_LINES, compat_sniff: bool = False) -> Column:
+    """Streamed or plain reply as the viewer shows it."""
+    return F.when(E.looks_streaming(text, compat_sniff), R.streamed_reply(text, mode)).otherwise(
+        R.plain_reply_view(text)
+    )
 
-    Rows outside the messages path show the first 1000 characters of what came back.
-    """
+
+def with_reply(decoded: DataFrame, **options) -> DataFrame:
+    """Add the ``reply`` struct of every response."""
+    return compute_once(decoded, reply_of(F.col("response_text"), **options), "reply")
+
+
+def with_shown_reply(decoded: DataFrame, **options) -> DataFrame:
+    """As ``with_reply``, but rows outside the messages path show the first 1000
+    characters of what came back, and rows without a response an empty text."""
     text = F.col("response_text")
-    chat = (F.col("method") == "POST") & F.contains("path", F.lit(MESSAGES_PATH))
+    chat = (F.col("method") == "POST") & F.contains("path", F.lit(MESSAGES_PATH)) & (text != "")
     raw = F.struct(
         F.left(text, F.lit(1000)).alias("text"), F.lit("").alias("thinking"), F.lit(False).alias("is_streaming"),
         F.lit(None).cast("map<string,variant>").alias("usage"), F.lit(None).cast("string").alias("stop_reason"),
         F.array().alias("tool_calls"),
     ).cast(R.REPLY_TYPE)
-    reply = (
-        F.when(text == "", F.lit(None).cast(R.REPLY_TYPE))
-        .when(~chat, raw)
-        .when(E.looks_streaming(text, compat_sniff), R.streamed_reply(text, mode))
-        .otherwise(R.plain_reply_view(text))
-    )
-    return compute_once(decoded, reply, "reply")
+    return compute_once(decoded, F.when(chat, reply_of(text, **options)).otherwise(raw), "reply")
 
 
 def explode_events(decoded: DataFrame, mode: str = E.ALL_LINES) -> DataFrame:

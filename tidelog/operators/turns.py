@@ -96,7 +96,7 @@ def convert_requests(decoded: DataFrame, profile: C.Profile = C.CONVERTER) -> Da
         F.coalesce(V.text_of(body, "model"), F.lit("")).alias("request_model"),
         C.merge_system(body, profile).alias("system_text"),
         C.with_system(body, profile).alias("messages"),
-        C.convert_tools(body, profile).alias("tools"),
+        C.convert_tools(body).alias("tools"),
         C.convert_tool_choice(body).alias("tool_choice"),
         *[column.alias(name) for name, column in C.request_scalars(body).items()],
     )
@@ -171,7 +171,7 @@ def request_detail(with_reply: DataFrame, seq_ids: list[int] | None = None) -> D
         "seq_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "hour_key", "method", "path", "model",
         "status", "duration_ms", "body_len", "resp_size", "error",
         C.convert_messages(body, C.VIEWER).alias("messages"),
-        C.convert_tools(body, C.VIEWER).alias("tools"),
+        C.convert_tools(body).alias("tools"),
         F.coalesce(C.merge_system(body, C.VIEWER), F.lit("")).alias("system_prompt"),
         "reply", F.col("response_text").alias("raw_text"),
     )

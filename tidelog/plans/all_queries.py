@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import event_queries  # noqa: F401
+from . import capture_queries, chat_queries, event_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -13,13 +13,16 @@ SQL never goes through the encoded bytes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..schema import LOG_COLUMNS
-from ..sources.log_table import read_log, write_log
+from ..operators.decoding import decode, with_reply
+from ..schema import DECODED_SCHEMA, LOG_COLUMNS, LOG_SCHEMA
 from ..session import work_dir
+from ..sources.log_table import read_log, write_log
 
 RUN = 8
 BLOCK_STRIDE = 1 << 40
@@ -278,24 +281,23 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
 _landed: dict[tuple[str, str, str], str] = {}
 
 
-def _land(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def _land(spark: SparkSession, sf_dir: str, name: str, schema: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Write a table once per application and read it from there."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _landed:
         path = work_dir(spark, name)
         write_log(build(), path, mode="overwrite")
         _landed[key] = path
-    return read_log(spark, _landed[key])
+    return read_log(spark, _landed[key], schema)
 
 
 def capture_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log on storage: an hour-partitioned table of encoded payloads."""
-    return _land(spark, sf_dir, "capture", lambda: captured(spark, sf_dir))
+    return _land(spark, sf_dir, "capture", LOG_SCHEMA, lambda: captured(spark, sf_dir))
 
 
 def decoded_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log decoded and rebuilt once; reports and search read this table."""
-    from ..operators.decoding import decode, with_reply
 
     def build() -> DataFrame:
         rows = with_reply(decode(capture_log(spark, sf_dir)))
@@ -304,7 +306,7 @@ def decoded_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("reply.text").alias("reply_text"), F.col("reply.thinking").alias("reply_thinking"),
         )
 
-    return _land(spark, sf_dir, "decoded", build)
+    return _land(spark, sf_dir, "decoded", DECODED_SCHEMA, build)
 
 
 # --------------------------------------------------------------------------- oracle

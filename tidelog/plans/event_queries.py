@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hours as H
 from ..operators import archive, merge, paging, reports, rules, scans
 from ..operators.numbering import number_rows
+from ..schema import LOG_SCHEMA
 from ..session import work_dir
 from ..sources import log_table, routes
 from ..streaming import hourly, ingest, late
@@ -283,13 +284,7 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark, "late")
     run_to_end(
         late.start_routing(
-            _event_stream(spark, sf_dir), f"{root}/on_time", f"{root}/late", f"{root}/checkpoint",
-            allowed=timedelta(0), available_now=True,
+            _event_stream(spark, sf_dir), f"{root}/rows", f"{root}/checkpoint", allowed=timedelta(0), available_now=True
         )
     )
-
-    def side(name: str, flag: bool) -> DataFrame:
-        rows = log_table.read_log(spark, f"{root}/{name}")
-        return rows.select("seq_id", "hour_key", F.lit(flag).alias("late"))
-
-    return side("on_time", False).union(side("late", True))
+    return log_table.read_log(spark, f"{root}/rows", f"{LOG_SCHEMA}, late BOOLEAN").select("seq_id", "hour_key", "late")

@@ -11,6 +11,14 @@ LOG_SCHEMA = """
 
 LOG_COLUMNS = [part.split()[0] for part in LOG_SCHEMA.split(",")]
 
+# The log with its payloads decoded and its replies rebuilt.
+DECODED_SCHEMA = """
+    ts_epoch DOUBLE, ts TIMESTAMP_NTZ, seq_id BIGINT, method STRING, path STRING, model STRING,
+    upstream STRING, body_len BIGINT, status INT, duration_ms DOUBLE, error STRING,
+    body_text STRING, resp_size BIGINT, response_text STRING, reply_text STRING, reply_thinking STRING,
+    hour_key STRING
+"""
+
 # Request keys a dataset record keeps.
 REQUEST_KEYS = [
     "model", "messages", "system", "max_tokens", "temperature", "top_p", "top_k",

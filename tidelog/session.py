@@ -17,9 +17,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # small data still spreads over tasks; big data keeps the advisory size
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.parquet.compression.codec": "zstd",
-    # replacing one hour (or one micro-batch) must not touch the others
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # a page far into a listing is sorted on the cluster, not in the driver
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..schema import LOG_SCHEMA
 
 
 def by_hour(df: DataFrame) -> DataFrame:
@@ -19,10 +20,9 @@ def write_log(df: DataFrame, path: str, mode: str = "append") -> None:
     by_hour(df).write.mode(mode).partitionBy("hour_key").option("compression", "zstd").parquet(path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    # an explicit partition type: folder names are never guessed to be dates
-    sample = spark.read.parquet(path)
-    return sample.withColumn("hour_key", F.col("hour_key").cast("string"))
+def read_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
+    """A given schema saves reading footers and keeps folder names strings."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def encode_entries(rows: DataFrame) -> DataFrame:
@@ -40,9 +40,12 @@ def keep_unarchived(log: DataFrame, archived: DataFrame) -> DataFrame:
 
 
 def drop_hours(spark: SparkSession, path: str, hour_keys: Iterable[str]) -> None:
-    """Remove the folders of some hours of a log on storage."""
+    """Remove the folders of some hours of a log on storage, also below batch folders."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for key in hour_keys:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/hour_key={key}")
-        folder.getFileSystem(conf).delete(folder, True)
+        for pattern in (f"{path}/hour_key={key}", f"{path}/batch=*/hour_key={key}"):
+            folder = jvm.org.apache.hadoop.fs.Path(pattern)
+            storage = folder.getFileSystem(conf)
+            for found in storage.globStatus(folder) or []:
+                storage.delete(found.getPath(), True)

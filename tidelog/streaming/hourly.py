@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .state import overwrite_batch
+from .state import write_batch
 
 
 def hourly_counts(rows: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def start_hourly(rows: DataFrame, path: str, checkpoint: str, available_now: boo
     """Each batch writes the hours it changed under its own id (safe to run again)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        overwrite_batch(batch.withColumn("batch", F.lit(batch_id)), path)
+        write_batch(batch, path, batch_id)
 
     writer = hourly_counts(rows).writeStream.outputMode("update").foreachBatch(write)
     writer = writer.option("checkpointLocation", checkpoint)

@@ -4,7 +4,7 @@ Each micro-batch keeps the first arrival of every seq_id and drops ids that an
 earlier batch stored. Ids are remembered in a narrow side table laid out by id
 range, so a batch reads the ranges it touches, not the log.
 
-Both writes are keyed by the batch id and overwrite only their own folders: a
+Both writes go to a folder named after the batch and replace it as a whole: a
 batch that is run again after a failure gives the same files.
 """
 
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import first_arrivals, with_bucket
-from ..sources.log_table import by_hour
-from .state import overwrite_batch, read_or_empty
+from ..sources.log_table import by_hour, read_log
+from .state import read_or_empty, write_batch
 
 TRIGGER = "2 seconds"
 
@@ -43,9 +43,9 @@ class LogSink:
         known = read_or_empty(arrivals.sparkSession, self.keys, "seq_id BIGINT, seq_bucket BIGINT, batch BIGINT").where(
             F.col("seq_bucket").between(low, high) & (F.col("batch") < batch_id)
         )
-        fresh = arrivals.join(known.select("seq_id"), "seq_id", "left_anti").withColumn("batch", F.lit(batch_id))
-        overwrite_batch(by_hour(fresh.drop("seq_bucket", "arrival_no")), self.entries, "hour_key")
-        overwrite_batch(fresh.select("seq_id", "seq_bucket", "batch").hint("rebalance", "seq_bucket"), self.keys, "seq_bucket")
+        fresh = arrivals.join(known.select("seq_id"), "seq_id", "left_anti")
+        write_batch(by_hour(fresh.drop("seq_bucket", "arrival_no")), self.entries, batch_id, "hour_key")
+        write_batch(fresh.select("seq_id", "seq_bucket").hint("rebalance"), self.keys, batch_id, "seq_bucket")
 
 
 def start_ingest(
@@ -58,6 +58,4 @@ def start_ingest(
 
 
 def read_ingested(spark: SparkSession, root: str) -> DataFrame:
-    return (
-        spark.read.parquet(f"{root}/entries").withColumn("hour_key", F.col("hour_key").cast("string")).drop("batch")
-    )
+    return read_log(spark, f"{root}/entries")

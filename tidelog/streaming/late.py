@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import hours as H
-from .state import overwrite_batch
+from .state import write_batch
 
 # longest upstream wait is 20 minutes; half an hour leaves room
 ALLOWED = timedelta(minutes=30)
@@ -44,15 +44,13 @@ def closed_hours(windows: DataFrame, now: Column, allowed: timedelta = ALLOWED)
 
 
 def start_routing(
-    rows: DataFrame, on_time: str, quarantine: str, checkpoint: str, allowed: timedelta = ALLOWED,
-    available_now: bool = False,
+    rows: DataFrame, root: str, checkpoint: str, allowed: timedelta = ALLOWED, available_now: bool = False
 ) -> StreamingQuery:
-    """Send rows to the log or to the quarantine table."""
+    """Send rows to ``late=false`` (the log) or ``late=true`` (the quarantine) in one write."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tagged = batch.withColumn("batch", F.lit(batch_id))
-        for path, part in ((on_time, tagged.where(~is_late(allowed))), (quarantine, tagged.where(is_late(allowed)))):
-            overwrite_batch(part.hint("rebalance", "hour_key"), path, "hour_key")
+        tagged = batch.withColumn("late", is_late(allowed)).hint("rebalance", "late", "hour_key")
+        write_batch(tagged, root, batch_id, "late", "hour_key")
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="2 seconds")).start()

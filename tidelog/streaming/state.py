@@ -16,9 +16,9 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def overwrite_batch(rows: DataFrame, path: str, *folders: str) -> None:
-    """Write one micro-batch (column ``batch``) under its own folders, replacing only those."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders, "batch").parquet(path)
+def write_batch(rows: DataFrame, root: str, batch_id: int, *folders: str) -> None:
+    """Write one micro-batch into its own folder; a batch run again replaces it."""
+    rows.write.mode("overwrite").partitionBy(*folders).parquet(f"{root}/batch={batch_id}")
 
 
 def run_to_end(query) -> None:
