@@ -123,7 +123,7 @@ def _convert_block(block: Column, profile: Profile) -> Column:
     keep_text = kind == "text" if profile.keep_empty_text else (kind == "text") & (text != "")
     out = F.when(keep_text, _part("text", text=_blank(text)))
     if profile.images:
-        has_source = V.truthy(V.get(block, "source", "variant"))
+        has_source = V.truthy(block, "source")
         out = out.when((kind == "image") & has_source, _part("image_url", url=image_url(block)))
     if profile.tool_parts:
         given = V.get(block, "input", "variant")
@@ -249,7 +249,7 @@ def request_scalars(body: Column) -> dict[str, Column]:
         "max_tokens": F.when(limit != 0, limit),
         "temperature": V.get(body, "temperature", "double"),
         "top_p": V.get(body, "top_p", "double"),
-        "stop": F.when(V.truthy(stop), F.to_json(stop)),
+        "stop": F.when(V.truthy(body, "stop_sequences"), F.to_json(stop)),
     }
 
 

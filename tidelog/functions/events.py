@@ -48,7 +48,7 @@ def event_objects(text: Column, mode: str = ALL_LINES) -> Column:
         payloads = F.filter(_payloads(F.split(text, "\n")), lambda p: p != END_MARK)
     else:
         raise ValueError(f"unknown event mode {mode!r}")
-    return F.filter(F.transform(payloads, V.parse_object), lambda v: v.isNotNull())
+    return F.filter(F.transform(payloads, V.parse_stripped), lambda v: v.isNotNull())
 
 
 def event_fields(event: Column) -> Column:
@@ -61,7 +61,9 @@ def event_fields(event: Column) -> Column:
         V.text_of(event, "content_block.thinking").alias("block_thinking"),
         V.text_of(event, "content_block.id").alias("block_id"),
         V.text_of(event, "content_block.name").alias("block_name"),
-        V.get(event, "content_block.input", "variant").alias("block_input"),
+        F.when(
+            V.truthy(event, "content_block.input"), V.text_of(event, "content_block.input")
+        ).alias("block_input"),
         V.text_of(event, "delta.type").alias("delta_type"),
         V.text_of(event, "delta.text").alias("delta_text"),
         V.text_of(event, "delta.thinking").alias("delta_thinking"),
@@ -163,12 +165,11 @@ def rebuild_tool_calls(events: Column) -> Column:
         index = F.coalesce(event["index"], F.size(blocks).cast("bigint"))
         known = F.exists(blocks, lambda b: b["index"] == index)
         started = _is(event, "content_block_start")
-        given = event["block_input"]
         fresh = block(
             index,
             F.coalesce(event["block_id"], F.lit("")),
             F.coalesce(event["block_name"], F.lit("")),
-            F.when(V.truthy(given), F.to_json(given)).otherwise(""),
+            F.coalesce(event["block_input"], F.lit("")),
         )
         part = F.coalesce(event["partial_json"], F.lit(""))
         opened = block(index, F.lit(""), F.lit(""), part)

@@ -92,12 +92,12 @@ def plain_reply_clean(text: Column, mode: str = E.ALL_LINES) -> Column:
     def candidate(event: Column) -> Column:
         kind = V.text_of(event, "type")
         started = V.bind(
-            _from_message(V.get(event, "message", "variant")), lambda r: F.when(_says_something(r), r)
+            V.bind(V.get(event, "message", "variant"), _from_message), lambda r: F.when(_says_something(r), r)
         )
         return F.when(kind == "message", _from_message(event)).when(kind == "message_start", started)
 
     found = F.filter(F.transform(E.event_objects(text, mode), candidate), lambda r: r.isNotNull())
     return V.bind(
-        _from_message(V.parse_object(text)),
+        V.bind(V.parse_object(text), _from_message),
         lambda whole: F.when(_says_something(whole), whole).otherwise(F.get(found, 0)),
     )

@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def strip(text: Column) -> Column:
-    """Remove white space, Unicode spaces included, at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+def stripped_length(text: Column) -> Column:
+    """Characters left when white space, Unicode spaces included, is cut off at both
+    ends. Only the ends are matched, so long texts cost little."""
+    spaces = r"(?U)^(\s*)"
+    before = F.length(F.regexp_extract(text, spaces, 1))
+    after = F.length(F.regexp_extract(F.reverse(text), spaces, 1))
+    return F.greatest(F.length(text) - before - after, F.lit(0))
 
 
 def strip_line(line: Column) -> Column:

@@ -15,14 +15,19 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def parse_object(text: Column) -> Column:
-    """JSON object as VARIANT; NULL for anything else.
+def parse_stripped(text: Column) -> Column:
+    """JSON object as VARIANT from text without white space around it; else NULL.
 
     The parser tolerates text after the value, so the braces are checked too.
     """
-    body = strip_line(text)
-    looks_right = F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))
-    return F.when(looks_right, F.try_parse_json(body))
+    return F.when(
+        F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")), F.try_parse_json(text)
+    )
+
+
+def parse_object(text: Column) -> Column:
+    """JSON object as VARIANT; NULL for anything else."""
+    return bind(strip_line(text), parse_stripped)
 
 
 def get(value: Column, path: str, kind: str) -> Column:
@@ -57,11 +62,13 @@ def present(value: Column) -> Column:
     return value.isNotNull() & ~F.is_variant_null(value)
 
 
-def truthy(value: Column) -> Column:
-    """Present and not empty, zero or false."""
-    as_list = items(value)
-    plain = F.to_json(value)
-    return present(value) & F.coalesce(F.size(as_list) > 0, ~plain.isin("{}", '""', "0", "false"))
+def truthy(value: Column, path: str) -> Column:
+    """Present and not empty, zero or false. A look at the first element settles the
+    usual case, an array, without copying it."""
+    has_first = get(value, f"{path}[0]", "variant").isNotNull()
+    found = get(value, path, "variant")
+    other = present(found) & ~F.to_json(found).isin("[]", "{}", '""', "0", "false")
+    return F.coalesce(has_first | other, F.lit(False))
 
 
 def plain_string(value: Column) -> Column:

@@ -9,7 +9,7 @@ from ..functions import codec
 from ..functions import events as E
 from ..functions import replies as R
 from ..functions import variants as V
-from ..functions.text import strip
+from ..functions.text import stripped_length
 from ..schema import METADATA_TYPE, REQUEST_KEYS, RESPONSE_TYPE, TOOL_CALL_TYPE
 from .decoding import compute_once
 from .rules import kept_row
@@ -58,12 +58,12 @@ def clean_records(
     )
     answer = F.col("_p.reply")
     measured = compute_once(
-        parsed.where(V.truthy(V.get(F.col("_p.body"), "messages", "variant"))),
+        parsed.where(V.truthy(F.col("_p.body"), "messages")),
         F.struct(
             request_fields(F.col("_p.body")).alias("request"),
             F.greatest(
-                F.coalesce(F.length(strip(answer["text"])), F.lit(0)),
-                F.coalesce(F.length(strip(answer["thinking"])), F.lit(0)),
+                F.coalesce(stripped_length(answer["text"]), F.lit(0)),
+                F.coalesce(stripped_length(answer["thinking"]), F.lit(0)),
             ).alias("out_len"),
         ),
         "_m",

@@ -54,7 +54,7 @@ def tool_catalog(decoded: DataFrame) -> DataFrame:
         "seq_id", F.size(tools).alias("tool_count"), F.posexplode(tools).alias("pos", "tool")
     )
     tool = F.col("tool")
-    wrapped = V.truthy(V.get(tool, "function", "variant"))
+    wrapped = V.truthy(tool, "function")
     plain_name = F.when(V.text_of(tool, "name") != "", V.text_of(tool, "name")).otherwise("?")
     return listed.select(
         "seq_id", F.col("tool_count").cast("bigint").alias("tool_count"), "pos",
@@ -106,7 +106,7 @@ def convert_stats(decoded: DataFrame) -> DataFrame:
     """Sizes before and after conversion."""
     body = F.col("body_json")
     system = V.get(body, "system", "variant")
-    blocks = F.coalesce(F.size(V.items(system)), F.when(V.truthy(system), F.lit(1)).otherwise(0))
+    blocks = F.coalesce(F.size(V.items(system)), F.when(V.truthy(body, "system"), F.lit(1)).otherwise(0))
     converted = convert_requests(decoded, C.CONVERTER)
 
     def count(column: Column) -> Column:

@@ -194,9 +194,9 @@ def _found(spark: SparkSession, sf_dir: str, needle: str, scope: str) -> DataFra
     return search.search(decoded_log(spark, sf_dir), needle, scope)
 
 
-@query(f"{C} SELECT seq_id, scope, snippet FROM ({_hits('body_text', 'EntStr', 'body')})")
+@query(f"{C} SELECT seq_id, scope, snippet FROM ({_hits('body_text', 'inTh', 'body')})")
 def search_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir, "EntStr", "body").select("seq_id", "scope", "snippet")
+    return _found(spark, sf_dir, "inTh", "body").select("seq_id", "scope", "snippet")
 
 
 @query(f"{C} SELECT seq_id, scope, snippet FROM ({_hits(_REPLY, 'ÈRE l', 'response')})")
