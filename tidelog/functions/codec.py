@@ -10,12 +10,17 @@ from __future__ import annotations
 
 import gzip
 import importlib.util
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Executors need not have this package installed: the functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GZIP_MAGIC = "1F8B"
 HAS_BROTLI = importlib.util.find_spec("brotli") is not None
 

@@ -34,69 +34,95 @@ def looks_streaming(text: Column, compat: bool = False) -> Column:
     return marks if compat else marks & text.rlike(r"(?m)^[ \t]*(data|event):")
 
 
+_END = 2**31 - 1
+
+
 def _payloads(lines: Column) -> Column:
-    data = F.filter(F.transform(lines, strip_line), lambda line: F.startswith(line, F.lit("data:")))
-    return F.transform(data, lambda line: strip_line(F.substring(line, F.lit(6), F.length(line))))
+    """Contents of the data lines. The usual line starts right away and ends in a
+    brace; only others are worth the slower full strip."""
+    mark = F.lit("data:")
+    data = F.filter(
+        lines,
+        lambda line: F.startswith(line, mark)
+        | (F.contains(line, mark) & F.startswith(strip_line(line), mark)),
+    )
+    contents = F.transform(
+        data,
+        lambda line: F.trim(
+            F.substring(F.when(F.startswith(line, mark), line).otherwise(strip_line(line)), F.lit(6), F.lit(_END))
+        ),
+    )
+    return F.transform(contents, lambda c: F.when(F.endswith(c, F.lit("}")), c).otherwise(strip_line(c)))
 
 
-def event_objects(text: Column, mode: str = ALL_LINES) -> Column:
-    """The events in order as ARRAY<VARIANT>; unreadable ones are left out."""
+def payloads(text: Column, mode: str = ALL_LINES) -> Column:
+    """JSON texts of the events in order."""
     if mode == FIRST_LINE:
         first = F.transform(F.split(text, "\n\n"), lambda f: F.get(_payloads(F.split(f, "\n")), 0))
-        payloads = F.filter(first, lambda p: p.isNotNull())
-    elif mode == ALL_LINES:
-        payloads = F.filter(_payloads(F.split(text, "\n")), lambda p: p != END_MARK)
-    else:
-        raise ValueError(f"unknown event mode {mode!r}")
-    return F.filter(F.transform(payloads, V.parse_stripped), lambda v: v.isNotNull())
-
-
-def event_fields(event: Column) -> Column:
-    """The fields of one event that the rebuild needs."""
-    return F.struct(
-        V.text_of(event, "type").alias("type"),
-        V.get(event, "index", "bigint").alias("index"),
-        V.text_of(event, "content_block.type").alias("block_type"),
-        V.text_of(event, "content_block.text").alias("block_text"),
-        V.text_of(event, "content_block.thinking").alias("block_thinking"),
-        V.text_of(event, "content_block.id").alias("block_id"),
-        V.text_of(event, "content_block.name").alias("block_name"),
-        F.when(
-            V.truthy(event, "content_block.input"), V.text_of(event, "content_block.input")
-        ).alias("block_input"),
-        V.text_of(event, "delta.type").alias("delta_type"),
-        V.text_of(event, "delta.text").alias("delta_text"),
-        V.text_of(event, "delta.thinking").alias("delta_thinking"),
-        V.text_of(event, "delta.partial_json").alias("partial_json"),
-        V.has_key(event, "delta", "stop_reason").alias("has_stop"),
-        V.text_of(event, "delta.stop_reason").alias("stop_reason"),
-        V.entries(event, "message.usage").alias("start_usage"),
-        V.entries(event, "usage").alias("usage"),
+        return F.filter(first, lambda p: p.isNotNull())
+    if mode == ALL_LINES:
+        found = _payloads(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"))
+        return F.filter(found, lambda p: p != END_MARK)
+    raise ValueError(f"unknown event mode {mode!r}")
+
+
+def event_objects(text: Column, mode: str = ALL_LINES) -> Column:
+    """The events in order as ARRAY<VARIANT>; unreadable ones are left out."""
+    return F.filter(F.transform(payloads(text, mode), V.parse_stripped), lambda v: v.isNotNull())
+
+
+# What a rebuild needs of an event. One typed parse reads it all, at a fraction
+# of the cost of a VARIANT per event and a path lookup per field.
+EVENT_SCHEMA = """
+    type STRING, index BIGINT,
+    content_block STRUCT<type: STRING, text: STRING, thinking: STRING, id: STRING, name: STRING, input: VARIANT>,
+    delta STRUCT<type: STRING, text: STRING, thinking: STRING, partial_json: STRING, stop_reason: STRING>,
+    message STRUCT<usage: MAP<STRING, VARIANT>>,
+    usage MAP<STRING, VARIANT>
+"""
+
+
+def read_event(payload: Column) -> Column:
+    """Fields of one event, NULL where absent. A typed parse cannot tell a null stop
+    reason from a missing one, so the few events that mention it are looked at again."""
+    whole = F.startswith(payload, F.lit("{")) & F.endswith(payload, F.lit("}"))
+    event = F.from_json(F.when(whole, payload), EVENT_SCHEMA)
+    has_stop = F.contains(payload, F.lit('"stop_reason"')) & V.has_key(
+        V.parse_stripped(payload), "delta", "stop_reason"
     )
+    return F.struct(event.alias("e"), has_stop.alias("has_stop"))
 
 
 def events_of(text: Column, mode: str = ALL_LINES) -> Column:
-    """ARRAY<STRUCT> of ``event_fields``."""
-    return F.transform(event_objects(text, mode), event_fields)
+    """ARRAY<STRUCT<e, has_stop>>. Unreadable events have no type and add nothing."""
+    return F.transform(payloads(text, mode), read_event)
+
+
+def readable_events_of(text: Column, mode: str = ALL_LINES) -> Column:
+    """As ``events_of`` without the unreadable events, for listing them."""
+    return F.transform(
+        F.filter(payloads(text, mode), lambda p: V.parse_stripped(p).isNotNull()), read_event
+    )
 
 
 def _is(event: Column, kind: str) -> Column:
-    return event["type"] == kind
+    return event["e"]["type"] == kind
+
+
+def _part(event: Column, kind: str, delta_kind: str, field: str) -> Column:
+    block, delta = event["e"]["content_block"], event["e"]["delta"]
+    return F.when(_is(event, "content_block_delta") & (delta["type"] == delta_kind), delta[field]).when(
+        _is(event, "content_block_start") & (block["type"] == kind), block[field]
+    )
 
 
 def text_part(event: Column) -> Column:
     """What one event adds to the visible text."""
-    return F.when(
-        _is(event, "content_block_start") & (event["block_type"] == "text"), event["block_text"]
-    ).when(_is(event, "content_block_delta") & (event["delta_type"] == "text_delta"), event["delta_text"])
+    return _part(event, "text", "text_delta", "text")
 
 
 def thinking_part(event: Column) -> Column:
-    return F.when(
-        _is(event, "content_block_start") & (event["block_type"] == "thinking"), event["block_thinking"]
-    ).when(
-        _is(event, "content_block_delta") & (event["delta_type"] == "thinking_delta"), event["delta_thinking"]
-    )
+    return _part(event, "thinking", "thinking_delta", "thinking")
 
 
 def rebuild_text(events: Column) -> Column:
@@ -122,8 +148,8 @@ def rebuild_usage(events: Column, with_start: bool = True) -> Column:
     """Token usage; ``with_start=False`` looks at message_delta events only."""
 
     def usage(event: Column) -> Column:
-        found = F.when(_is(event, "message_delta"), event["usage"])
-        return found.when(_is(event, "message_start"), event["start_usage"]) if with_start else found
+        found = F.when(_is(event, "message_delta"), event["e"]["usage"])
+        return found.when(_is(event, "message_start"), event["e"]["message"]["usage"]) if with_start else found
 
     return merge_maps(F.transform(events, usage))
 
@@ -131,7 +157,7 @@ def rebuild_usage(events: Column, with_start: bool = True) -> Column:
 def rebuild_stop_reason(events: Column) -> Column:
     """From the last message_delta that has the key, even if it is null there."""
     marked = F.filter(events, lambda e: _is(e, "message_delta") & e["has_stop"])
-    return F.try_element_at(marked, F.lit(-1))["stop_reason"]
+    return F.try_element_at(marked, F.lit(-1))["e"]["delta"]["stop_reason"]
 
 
 def count_blocks(events: Column) -> Column:
@@ -153,8 +179,8 @@ def rebuild_tool_calls(events: Column) -> Column:
     """
     wanted = F.filter(
         events,
-        lambda e: (_is(e, "content_block_start") & (e["block_type"] == "tool_use"))
-        | (_is(e, "content_block_delta") & (e["delta_type"] == "input_json_delta")),
+        lambda e: (_is(e, "content_block_delta") & (e["e"]["delta"]["type"] == "input_json_delta"))
+        | (_is(e, "content_block_start") & (e["e"]["content_block"]["type"] == "tool_use")),
     )
 
     def block(index: Column, name_id: Column, name: Column, raw: Column) -> Column:
@@ -162,16 +188,18 @@ def rebuild_tool_calls(events: Column) -> Column:
 
     def step(state: Column, event: Column) -> Column:
         blocks = state["blocks"]
-        index = F.coalesce(event["index"], F.size(blocks).cast("bigint"))
+        index = F.coalesce(event["e"]["index"], F.size(blocks).cast("bigint"))
         known = F.exists(blocks, lambda b: b["index"] == index)
         started = _is(event, "content_block_start")
+        given = event["e"]["content_block"]
+        input_json = F.to_json(given["input"])
         fresh = block(
             index,
-            F.coalesce(event["block_id"], F.lit("")),
-            F.coalesce(event["block_name"], F.lit("")),
-            F.coalesce(event["block_input"], F.lit("")),
+            F.coalesce(given["id"], F.lit("")),
+            F.coalesce(given["name"], F.lit("")),
+            F.when(input_json.isin(*V.EMPTY_JSON), "").otherwise(F.coalesce(input_json, F.lit(""))),
         )
-        part = F.coalesce(event["partial_json"], F.lit(""))
+        part = F.coalesce(event["e"]["delta"]["partial_json"], F.lit(""))
         opened = block(index, F.lit(""), F.lit(""), part)
         reset = F.transform(blocks, lambda b: F.when(b["index"] == index, fresh).otherwise(b))
         grown = F.transform(

@@ -57,17 +57,15 @@ def has_key(value: Column, path: str, key: str) -> Column:
     return F.coalesce(F.array_contains(F.map_keys(entries(value, path)), key), F.lit(False))
 
 
-def present(value: Column) -> Column:
-    """Neither absent nor JSON null."""
-    return value.isNotNull() & ~F.is_variant_null(value)
+# JSON texts of the values that count as nothing.
+EMPTY_JSON = ("null", "[]", "{}", '""', "0", "false")
 
 
 def truthy(value: Column, path: str) -> Column:
     """Present and not empty, zero or false. A look at the first element settles the
     usual case, an array, without copying it."""
     has_first = get(value, f"{path}[0]", "variant").isNotNull()
-    found = get(value, path, "variant")
-    other = present(found) & ~F.to_json(found).isin("[]", "{}", '""', "0", "false")
+    other = ~F.to_json(get(value, path, "variant")).isin(*EMPTY_JSON)
     return F.coalesce(has_first | other, F.lit(False))
 
 

@@ -62,7 +62,7 @@ def explode_events(decoded: DataFrame, mode: str = E.ALL_LINES) -> DataFrame:
     """One row per event of the streamed replies: seq_id, pos, fields."""
     streamed = decoded.where(E.looks_streaming(F.col("response_text")))
     return streamed.select(
-        "seq_id", F.posexplode(E.events_of(F.col("response_text"), mode)).alias("pos", "event")
+        "seq_id", F.posexplode(E.readable_events_of(F.col("response_text"), mode)).alias("pos", "event")
     )
 
 

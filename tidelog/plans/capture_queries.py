@@ -101,7 +101,7 @@ def _event_rows(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     rows = decoding.explode_events(decoded_log(spark, sf_dir), mode)
     event = F.col("event")
     return rows.select(
-        "seq_id", F.col("pos").cast("bigint").alias("pos"), event["type"].alias("type"), event["index"].alias("idx"),
+        "seq_id", F.col("pos").cast("bigint").alias("pos"), event["e"]["type"].alias("type"), event["e"]["index"].alias("idx"),
         F.coalesce(EV.text_part(event), EV.thinking_part(event)).alias("part"),
     )
 

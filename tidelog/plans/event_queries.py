@@ -124,7 +124,7 @@ ROUTES = (
 
 
 def route_table(spark: SparkSession) -> tuple[DataFrame, str]:
-    return routes.split_default(routes.routes_from_json(spark.createDataFrame([(ROUTES,)], "value STRING")))
+    return routes.split_default(routes.routes_from_json(spark.range(1).select(F.lit(ROUTES).alias("value"))))
 
 
 @query(f"""{E} SELECT seq_id, model, coalesce(r.url, 'http://fallback:9000/') AS url, coalesce(r.patch, false) AS patch_sse,

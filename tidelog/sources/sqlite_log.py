@@ -11,11 +11,16 @@ with ``write_log``; queries then run on Parquet.
 from __future__ import annotations
 
 import sqlite3
+import sys
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+# Executors need not have this package installed: the classes travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 COLUMNS = (
     "ts", "seq_id", "method", "path", "model", "upstream", "body", "body_len", "response", "status",
     "duration_ms", "error", "hour_key",
