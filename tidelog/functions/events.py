@@ -73,35 +73,55 @@ def event_objects(text: Column, mode: str = ALL_LINES) -> Column:
 
 # What a rebuild needs of an event. One typed parse reads it all, at a fraction
 # of the cost of a VARIANT per event and a path lookup per field.
-EVENT_SCHEMA = """
-    type STRING, index BIGINT,
-    content_block STRUCT<type: STRING, text: STRING, thinking: STRING, id: STRING, name: STRING, input: VARIANT>,
-    delta STRUCT<type: STRING, text: STRING, thinking: STRING, partial_json: STRING, stop_reason: STRING>,
-    message STRUCT<usage: MAP<STRING, VARIANT>>,
-    usage MAP<STRING, VARIANT>
+EVENT_FIELDS = """
+    type: STRING, index: BIGINT,
+    content_block: STRUCT<type: STRING, text: STRING, thinking: STRING, id: STRING, name: STRING, input: VARIANT>,
+    delta: STRUCT<type: STRING, text: STRING, thinking: STRING, partial_json: STRING, stop_reason: STRING>,
+    message: STRUCT<usage: MAP<STRING, VARIANT>>,
+    usage: MAP<STRING, VARIANT>
 """
 
 
-def read_event(payload: Column) -> Column:
-    """Fields of one event, NULL where absent. A typed parse cannot tell a null stop
-    reason from a missing one, so the few events that mention it are looked at again."""
-    whole = F.startswith(payload, F.lit("{")) & F.endswith(payload, F.lit("}"))
-    event = F.from_json(F.when(whole, payload), EVENT_SCHEMA)
+def _fields(payload: Column) -> Column:
+    return F.from_json(payload, f"STRUCT<{EVENT_FIELDS}>")
+
+
+def _with_stop(event: Column, payload: Column) -> Column:
+    """A typed parse cannot tell a null stop reason from a missing one, so the few
+    events that mention it are looked at again."""
     has_stop = F.contains(payload, F.lit('"stop_reason"')) & V.has_key(
         V.parse_stripped(payload), "delta", "stop_reason"
     )
     return F.struct(event.alias("e"), has_stop.alias("has_stop"))
 
 
+def read_events(contents: Column) -> Column:
+    """ARRAY<STRUCT<e, has_stop>> of ARRAY<STRING>.
+
+    All events of a reply are read by one parse of one JSON array. If an event is
+    broken the array is too; then, and only then, they are read one by one.
+    """
+    together = F.from_json(
+        F.concat(F.lit("["), F.array_join(contents, ","), F.lit("]")), f"ARRAY<STRUCT<{EVENT_FIELDS}>>"
+    )
+    read = V.bind(
+        together,
+        lambda all_read: F.when(F.size(all_read) == F.size(contents), all_read).otherwise(
+            F.transform(contents, _fields)
+        ),
+    )
+    return F.transform(read, lambda event, at: _with_stop(event, F.get(contents, at)))
+
+
 def events_of(text: Column, mode: str = ALL_LINES) -> Column:
     """ARRAY<STRUCT<e, has_stop>>. Unreadable events have no type and add nothing."""
-    return F.transform(payloads(text, mode), read_event)
+    return V.bind(F.filter(payloads(text, mode), V.looks_like_object), read_events)
 
 
 def readable_events_of(text: Column, mode: str = ALL_LINES) -> Column:
     """As ``events_of`` without the unreadable events, for listing them."""
-    return F.transform(
-        F.filter(payloads(text, mode), lambda p: V.parse_stripped(p).isNotNull()), read_event
+    return V.bind(
+        F.filter(payloads(text, mode), lambda p: V.parse_stripped(p).isNotNull()), read_events
     )
 
 

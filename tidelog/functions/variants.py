@@ -15,14 +15,16 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def looks_like_object(text: Column) -> Column:
+    return F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
+
+
 def parse_stripped(text: Column) -> Column:
     """JSON object as VARIANT from text without white space around it; else NULL.
 
     The parser tolerates text after the value, so the braces are checked too.
     """
-    return F.when(
-        F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}")), F.try_parse_json(text)
-    )
+    return F.when(looks_like_object(text), F.try_parse_json(text))
 
 
 def parse_object(text: Column) -> Column:

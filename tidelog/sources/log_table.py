@@ -16,8 +16,13 @@ def by_hour(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", "hour_key").sortWithinPartitions("hour_key", "seq_id")
 
 
+# Payloads grow several times when decoded, so scans should be able to cut files finely.
+ROW_GROUP_BYTES = 16 << 20
+
+
 def write_log(df: DataFrame, path: str, mode: str = "append") -> None:
-    by_hour(df).write.mode(mode).partitionBy("hour_key").option("compression", "zstd").parquet(path)
+    writer = by_hour(df).write.mode(mode).partitionBy("hour_key").option("compression", "zstd")
+    writer.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
 
 
 def read_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
