@@ -73,8 +73,9 @@ def _from_message(message: Column) -> Column:
     )
 
 
-def _says_something(reply: Column) -> Column:
-    return (reply["text"] != "") | (reply["thinking"] != "")
+def _says_something(reply: Column, with_tools: bool = False) -> Column:
+    said = (reply["text"] != "") | (reply["thinking"] != "")
+    return said | (F.size(reply["tool_calls"]) > 0) if with_tools else said
 
 
 def plain_reply_view(text: Column) -> Column:
@@ -85,19 +86,20 @@ def plain_reply_view(text: Column) -> Column:
     )
 
 
-def plain_reply_clean(text: Column, mode: str = E.ALL_LINES) -> Column:
+def plain_reply_clean(text: Column, mode: str = E.ALL_LINES, with_tools: bool = False) -> Column:
     """Dataset rule: a JSON message that says something, else the first ``message``
-    event or non-empty ``message_start`` content, else NULL."""
+    event or non-empty ``message_start`` content, else NULL. ``with_tools`` lets
+    a message that only calls tools count too."""
 
     def candidate(event: Column) -> Column:
         kind = V.text_of(event, "type")
         started = V.bind(
-            V.bind(V.get(event, "message", "variant"), _from_message), lambda r: F.when(_says_something(r), r)
+            V.bind(V.get(event, "message", "variant"), _from_message), lambda r: F.when(_says_something(r, with_tools), r)
         )
         return F.when(kind == "message", _from_message(event)).when(kind == "message_start", started)
 
     found = F.filter(F.transform(E.event_objects(text, mode), candidate), lambda r: r.isNotNull())
     return V.bind(
         V.bind(V.parse_object(text), _from_message),
-        lambda whole: F.when(_says_something(whole), whole).otherwise(F.get(found, 0)),
+        lambda whole: F.when(_says_something(whole, with_tools), whole).otherwise(F.get(found, 0)),
     )

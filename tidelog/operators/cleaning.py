@@ -49,7 +49,7 @@ def clean_records(
     )
     text = F.col("_text")
     reply = F.when(E.looks_streaming(text, compat_sniff), R.streamed_reply(text, mode)).otherwise(
-        R.plain_reply_clean(text, mode)
+        R.plain_reply_clean(text, mode, keep_tool_calls)
     )
     parsed = compute_once(
         rows,
