@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hours as H
 from ..sources.dataset import as_lines
-from ..sources.log_table import by_hour, drop_hours
+from ..sources.log_table import drop_hours, replace_hours
 from .sizes import small_side
 
 
@@ -58,11 +58,8 @@ def checksums(lines: DataFrame) -> DataFrame:
     return lines.groupBy("hour_key").agg(F.count(F.lit(1)).alias("records"), _checksum().alias("checksum"))
 
 
-def write_lines(records: DataFrame, path: str) -> None:
-    """Records as zstd Parquet lines, one folder per hour."""
-    by_hour(as_lines(records)).write.mode("overwrite").partitionBy("hour_key").option("compression", "zstd").option(
-        "parquet.compression.codec.zstd.level", "19"
-    ).parquet(path)
+def _write_archive(lines: DataFrame, path: str) -> None:
+    replace_hours(lines, compression="zstd", **{"parquet.compression.codec.zstd.level": "19"}).parquet(path)
 
 
 def verify(source: DataFrame, archived: DataFrame) -> DataFrame:
@@ -79,7 +76,7 @@ def verify(source: DataFrame, archived: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("hour_key", F.col("hour_key").cast("string"))
+    return spark.read.schema("seq_id BIGINT, value STRING, hour_key STRING").parquet(path)
 
 
 def archive_hours(
@@ -88,17 +85,18 @@ def archive_hours(
 ) -> DataFrame:
     """Archive the hours of ``records`` and drop them from the log.
 
-    The records are staged first, so the archive is checked against the very
+    Give a fresh ``staging_path``: the records are staged there first, so the archive is checked against the very
     rows it was written from. An hour that fails the check loses its archive
     and keeps its source; the other hours go on.
     """
-    write_lines(records, staging_path)
+    replace_hours(as_lines(records), compression="zstd").parquet(staging_path)
     staged = read_lines(spark, staging_path)
-    by_hour(staged).write.mode("overwrite").partitionBy("hour_key").option("compression", "zstd").option(
-        "parquet.compression.codec.zstd.level", "19"
-    ).parquet(archive_path)
+    _write_archive(staged, archive_path)
     report_path = f"{staging_path}-report"
-    verify(staged, read_lines(spark, archive_path)).write.mode("overwrite").parquet(report_path)
+    archived = read_lines(spark, archive_path).join(
+        small_side(staged.select("hour_key").distinct()), "hour_key", "left_semi"
+    )
+    verify(staged, archived).write.mode("overwrite").parquet(report_path)
     report = spark.read.parquet(report_path)
     # one short row per hour; streamed to the driver, never held as a whole
     for row in report.toLocalIterator():

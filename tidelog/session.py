@@ -19,6 +19,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # small data still spreads over tasks; big data keeps the advisory size
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    # payloads of one request can be large and grow when decoded: small Arrow batches
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16MB",
     "spark.sql.parquet.compression.codec": "zstd",
     # a page far into a listing is sorted on the cluster, not in the driver
     "spark.sql.execution.topKSortFallbackThreshold": "100000",

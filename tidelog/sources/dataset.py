@@ -25,7 +25,9 @@ def as_lines(records: DataFrame) -> DataFrame:
 
 
 def write_dataset(records: DataFrame, path: str) -> None:
-    by_hour(as_lines(records)).select("value", "hour_key").write.mode("overwrite").partitionBy("hour_key").option(
+    """Replaces the hours found in ``records``, sorted by seq_id within an hour."""
+    lines = by_hour(as_lines(records)).select("value", "hour_key")
+    lines.write.mode("overwrite").partitionBy("hour_key").option("partitionOverwriteMode", "dynamic").option(
         "compression", "gzip"
     ).text(path)
 

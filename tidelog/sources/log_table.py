@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
@@ -25,6 +25,14 @@ def write_log(df: DataFrame, path: str, mode: str = "append") -> None:
     writer.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
 
 
+def replace_hours(df: DataFrame, **options: str) -> DataFrameWriter:
+    """Writer that replaces the hours found in ``df`` and leaves the others alone."""
+    return (
+        by_hour(df).write.mode("overwrite").partitionBy("hour_key").option("partitionOverwriteMode", "dynamic")
+        .options(**options)
+    )
+
+
 def read_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
     """A given schema saves reading footers and keeps folder names strings."""
     return spark.read.schema(schema).parquet(path)
