@@ -157,24 +157,30 @@ def _reasoning(blocks: Column, profile: Profile) -> Column:
 
 
 def _convert_message(message: Column, profile: Profile) -> Column:
-    content = V.get(message, "content", "variant")
-    blocks = V.items(message, "content")
-    as_string = F.when(V.has_key(message, "", "content"), V.plain_string(content)).otherwise(F.lit(""))
-    parts = F.filter(
-        F.transform(F.filter(blocks, V.is_object), lambda b: _convert_block(b, profile)), lambda p: p.isNotNull()
+    """Content and blocks are taken out of the message once and bound."""
+    given = F.struct(
+        F.when(V.has_key(message, "", "content"), V.plain_string(V.get(message, "content", "variant")))
+        .otherwise(F.lit("")).alias("as_string"),
+        F.filter(V.items(message, "content"), V.is_object).alias("blocks"),
     )
 
-    def build(found: Column) -> Column:
+    def with_parts(content: Column) -> Column:
+        parts = F.filter(
+            F.transform(content["blocks"], lambda b: _convert_block(b, profile)), lambda p: p.isNotNull()
+        )
+        return V.bind(parts, lambda found: build(content, found))
+
+    def build(content: Column, found: Column) -> Column:
         only_text = (F.size(found) == 1) & (F.get(found, 0)["type"] == "text")
         role = V.text_of(message, "role")
         return F.struct(
             (F.coalesce(role, F.lit("")) if profile is VIEWER else role).alias("role"),
-            F.coalesce(as_string, F.when(only_text, F.get(found, 0)["text"])).alias("content_text"),
+            F.coalesce(content["as_string"], F.when(only_text, F.get(found, 0)["text"])).alias("content_text"),
             F.when((F.size(found) > 0) & ~only_text, found).alias("content_parts"),
-            _reasoning(F.filter(blocks, V.is_object), profile).alias("reasoning"),
+            _reasoning(content["blocks"], profile).alias("reasoning"),
         ).cast(MESSAGE_TYPE)
 
-    return V.bind(parts, build)
+    return V.bind(given, with_parts)
 
 
 def convert_messages(body: Column, profile: Profile) -> Column:

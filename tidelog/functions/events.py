@@ -155,13 +155,16 @@ def rebuild_thinking(events: Column) -> Column:
 
 def merge_maps(maps: Column) -> Column:
     """Key-wise merge of ARRAY<MAP>, the last value of a key wins."""
-    pairs = F.flatten(F.transform(F.filter(maps, lambda m: m.isNotNull()), F.map_entries))
 
-    def is_last(pair: Column, at: Column) -> Column:
-        later = F.slice(pairs, at + 2, F.size(pairs))
-        return ~F.exists(later, lambda other: other["key"] == pair["key"])
+    def keep_last(pairs: Column) -> Column:
+        def is_last(pair: Column, at: Column) -> Column:
+            later = F.slice(pairs, at + 2, F.size(pairs))
+            return ~F.exists(later, lambda other: other["key"] == pair["key"])
 
-    return F.map_from_entries(F.filter(pairs, is_last))
+        return F.map_from_entries(F.filter(pairs, is_last))
+
+    filled = F.filter(maps, lambda m: m.isNotNull())
+    return V.bind(F.flatten(F.transform(filled, F.map_entries)), keep_last)
 
 
 def rebuild_usage(events: Column, with_start: bool = True) -> Column:
@@ -184,100 +187,109 @@ def count_blocks(events: Column) -> Column:
     return F.size(F.filter(events, lambda e: _is(e, "content_block_start"))).cast("bigint")
 
 
-_CALLS_TYPE = (
-    "STRUCT<blocks: ARRAY<STRUCT<index: BIGINT, id: STRING, name: STRING, input_json: STRING>>, "
-    "order: ARRAY<BIGINT>>"
-)
+def _is_start(event: Column) -> Column:
+    return _is(event, "content_block_start")
+
+
+def _given_input(event: Column) -> Column:
+    """Input a start event brings along; an empty one means it follows in deltas."""
+    text = F.to_json(event["e"]["content_block"]["input"])
+    return F.when(text.isin(*V.EMPTY_JSON), "").otherwise(F.coalesce(text, F.lit("")))
+
+
+def _number_blocks(events: Column) -> Column:
+    """ARRAY<BIGINT>: the block index of each tool event. An event without one takes
+    the number of blocks known so far."""
+    known = F.array().cast("array<bigint>")
+
+    def step(state: Column, event: Column) -> Column:
+        index = F.coalesce(event["e"]["index"], F.size(F.array_distinct(state)).cast("bigint"))
+        return F.concat(state, F.array(index))
+
+    given = F.transform(events, lambda e: e["e"]["index"])
+    return F.when(F.exists(given, lambda i: i.isNull()), F.aggregate(events, known, step)).otherwise(given)
 
 
 def rebuild_tool_calls(events: Column) -> Column:
     """ARRAY<STRUCT<id, name, input_json>> in first-seen order.
 
     A start (re)sets the block of its index; deltas append to it, and a delta
-    whose block never started opens an empty one. An event without an index
-    takes the number of blocks known so far.
+    whose block never started opens an empty one.
     """
     wanted = F.filter(
         events,
         lambda e: (_is(e, "content_block_delta") & (e["e"]["delta"]["type"] == "input_json_delta"))
-        | (_is(e, "content_block_start") & (e["e"]["content_block"]["type"] == "tool_use")),
+        | (_is_start(e) & (e["e"]["content_block"]["type"] == "tool_use")),
     )
 
-    def block(index: Column, name_id: Column, name: Column, raw: Column) -> Column:
-        return F.struct(index.alias("index"), name_id.alias("id"), name.alias("name"), raw.alias("input_json"))
-
-    def step(state: Column, event: Column) -> Column:
-        blocks = state["blocks"]
-        index = F.coalesce(event["e"]["index"], F.size(blocks).cast("bigint"))
-        known = F.exists(blocks, lambda b: b["index"] == index)
-        started = _is(event, "content_block_start")
-        given = event["e"]["content_block"]
-        input_json = F.to_json(given["input"])
-        fresh = block(
-            index,
-            F.coalesce(given["id"], F.lit("")),
-            F.coalesce(given["name"], F.lit("")),
-            F.when(input_json.isin(*V.EMPTY_JSON), "").otherwise(F.coalesce(input_json, F.lit(""))),
+    def numbered(tools: Column) -> Column:
+        return V.bind(_number_blocks(tools), lambda index: calls(tools, index))
+
+    def calls(tools: Column, index: Column) -> Column:
+        # listed: every start, and the first event of a block
+        listed = F.filter(
+            F.transform(
+                tools,
+                lambda e, at: F.when(
+                    _is_start(e) | (F.array_position(index, F.get(index, at)) == at + 1), F.get(index, at)
+                ),
+            ),
+            lambda i: i.isNotNull(),
         )
-        part = F.coalesce(event["e"]["delta"]["partial_json"], F.lit(""))
-        opened = block(index, F.lit(""), F.lit(""), part)
-        reset = F.transform(blocks, lambda b: F.when(b["index"] == index, fresh).otherwise(b))
-        grown = F.transform(
-            blocks,
-            lambda b: F.when(
-                b["index"] == index, block(b["index"], b["id"], b["name"], F.concat(b["input_json"], part))
-            ).otherwise(b),
+        return F.transform(listed, lambda i: call(tools, index, i))
+
+    def call(tools: Column, index: Column, wanted_index: Column) -> Column:
+        """The block as its last start and the deltas after it leave it."""
+        starts = F.filter(
+            F.transform(
+                tools, lambda e, at: F.when(_is_start(e) & (F.get(index, at) == wanted_index), at)
+            ),
+            lambda at: at.isNotNull(),
         )
-        new_blocks = (
-            F.when(started & known, reset)
-            .when(started, F.concat(blocks, F.array(fresh)))
-            .when(known, grown)
-            .otherwise(F.concat(blocks, F.array(opened)))
-        )
-        new_order = F.when(started | ~known, F.concat(state["order"], F.array(index))).otherwise(state["order"])
-        return F.struct(new_blocks.alias("blocks"), new_order.alias("order")).cast(_CALLS_TYPE)
-
-    empty = F.struct(F.array().alias("blocks"), F.array().alias("order")).cast(_CALLS_TYPE)
 
-    def pick(state: Column) -> Column:
-        def of_index(index: Column) -> Column:
-            found = F.get(F.filter(state["blocks"], lambda b: b["index"] == index), 0)
-            return F.struct(found["id"].alias("id"), found["name"].alias("name"), found["input_json"].alias("input_json"))
+        def build(last: Column) -> Column:
+            head = F.get(tools, last)
+            parts = F.transform(
+                tools,
+                lambda e, at: F.when(
+                    (at > last) & ~_is_start(e) & (F.get(index, at) == wanted_index), e["e"]["delta"]["partial_json"]
+                ),
+            )
+            started = last >= 0
+            block = head["e"]["content_block"]
+            return F.struct(
+                F.when(started, F.coalesce(block["id"], F.lit(""))).otherwise("").alias("id"),
+                F.when(started, F.coalesce(block["name"], F.lit(""))).otherwise("").alias("name"),
+                F.concat(F.when(started, _given_input(head)).otherwise(""), F.array_join(parts, "")).alias("input_json"),
+            )
 
-        return F.transform(state["order"], of_index)
+        return V.bind(F.coalesce(F.try_element_at(starts, F.lit(-1)), F.lit(-1)), build)
 
-    return F.aggregate(wanted, empty, step, pick)
+    return V.bind(wanted, numbered)
 
 
 def named_events(text: Column) -> Column:
     """ARRAY<STRUCT<event_name, data>>: every data line with the name the line before it gives."""
-    lines = F.split(text, "\n")
-
-    def read(line: Column, at: Column) -> Column:
-        before = strip_line(F.when(at > 0, F.get(lines, at - 1)))
-        name = F.when(F.startswith(before, F.lit("event:")), strip_line(F.substring(before, F.lit(7), F.length(before))))
-        data = V.parse_object(F.substring(line, F.lit(6), F.length(line)))
-        return F.when(
-            F.startswith(line, F.lit("data:")), F.struct(name.alias("event_name"), data.alias("data"))
-        )
 
-    return F.filter(F.transform(lines, read), lambda e: e.isNotNull())
+    def pair_up(lines: Column) -> Column:
+        def read(line: Column, at: Column) -> Column:
+            before = strip_line(F.when(at > 0, F.get(lines, at - 1)))
+            name = F.when(
+                F.startswith(before, F.lit("event:")), strip_line(F.substring(before, F.lit(7), F.length(before)))
+            )
+            data = V.parse_object(F.substring(line, F.lit(6), F.lit(_END)))
+            return F.when(F.startswith(line, F.lit("data:")), F.struct(name.alias("event_name"), data.alias("data")))
 
+        return F.filter(F.transform(lines, read), lambda e: e.isNotNull())
 
-def repair_lines(text: Column) -> Column:
-    """Fix streams of upstreams that leave things out; other lines stay as they are.
+    # the lines are bound: looking back at one must not split the text again
+    return V.bind(F.split(text, "\n"), pair_up)
 
-    A data line that does not directly follow an ``event:`` line gets one named
-    after its type. A message_delta usage with output but no input tokens gets
-    ``input_tokens`` 1; that line is written back as key-sorted JSON.
-    """
-    lines = F.split(text, "\n")
 
-    def fix(line: Column, at: Column) -> Column:
-        is_data = F.startswith(line, F.lit("data: "))
-        event = V.parse_object(F.when(is_data, F.substring(line, F.lit(7), F.length(line))))
+def _repair_line(line: Column, before: Column) -> Column:
+    def fix(event: Column) -> Column:
         kind = V.text_of(event, "type")
-        named = F.when(at > 0, F.startswith(F.get(lines, at - 1), F.lit("event: "))).otherwise(False)
+        named = F.coalesce(F.startswith(before, F.lit("event: ")), F.lit(False))
         head = F.when(~named & (kind != ""), F.concat(F.lit("event: "), kind, F.lit("\n"))).otherwise("")
         lacking = (
             (kind == "message_delta") & V.has_key(event, "usage", "output_tokens")
@@ -288,8 +300,21 @@ def repair_lines(text: Column) -> Column:
         )
         others = F.map_filter(V.entries(event), lambda key, _: key != "usage")
         whole = F.to_json(F.map_concat(others, F.create_map(F.lit("usage"), usage)))
-        return F.when(
-            is_data, F.concat(head, F.when(lacking, F.concat(F.lit("data: "), whole)).otherwise(line))
-        ).otherwise(line)
+        return F.concat(head, F.when(lacking, F.concat(F.lit("data: "), whole)).otherwise(line))
+
+    repaired = V.bind(V.parse_object(F.substring(line, F.lit(7), F.lit(_END))), fix)
+    return F.when(F.startswith(line, F.lit("data: ")), repaired).otherwise(line)
+
+
+def repair_lines(text: Column) -> Column:
+    """Fix streams of upstreams that leave things out; other lines stay as they are.
+
+    A data line that does not directly follow an ``event:`` line gets one named
+    after its type. A message_delta usage with output but no input tokens gets
+    ``input_tokens`` 1; that line is written back as key-sorted JSON.
+    """
+
+    def repair(lines: Column) -> Column:
+        return F.transform(lines, lambda line, at: _repair_line(line, F.when(at > 0, F.get(lines, at - 1))))
 
-    return F.array_join(F.transform(lines, fix), "\n")
+    return F.array_join(V.bind(F.split(text, "\n"), repair), "\n")
