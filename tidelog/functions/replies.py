@@ -53,22 +53,27 @@ def _reply(text, thinking, streaming, usage, stop, tools) -> Column:
     ).cast(REPLY_TYPE)
 
 
-def streamed_reply(text: Column, mode: str = E.ALL_LINES, start_usage: bool = True) -> Column:
+def streamed_reply(
+    text: Column, mode: str = E.ALL_LINES, start_usage: bool = True, with_tools: bool = True
+) -> Column:
+    """``with_tools=False`` leaves the tool calls out (an empty array) and saves their work."""
     return V.bind(
         E.events_of(text, mode),
         lambda ev: _reply(
             E.rebuild_text(ev), E.rebuild_thinking(ev), True,
-            E.rebuild_usage(ev, start_usage), E.rebuild_stop_reason(ev), E.rebuild_tool_calls(ev),
+            E.rebuild_usage(ev, start_usage), E.rebuild_stop_reason(ev),
+            E.rebuild_tool_calls(ev) if with_tools else F.array(),
         ),
     )
 
 
-def _from_message(message: Column) -> Column:
+def _from_message(message: Column, with_tools: bool = True) -> Column:
     return V.bind(
         V.items(message, "content"),
         lambda blocks: _reply(
             content_text(blocks), content_thinking(blocks), False,
-            V.entries(message, "usage"), V.text_of(message, "stop_reason"), content_tools(blocks),
+            V.entries(message, "usage"), V.text_of(message, "stop_reason"),
+            content_tools(blocks) if with_tools else F.array(),
         ),
     )
 
@@ -78,11 +83,11 @@ def _says_something(reply: Column, with_tools: bool = False) -> Column:
     return said | (F.size(reply["tool_calls"]) > 0) if with_tools else said
 
 
-def plain_reply_view(text: Column) -> Column:
+def plain_reply_view(text: Column, with_tools: bool = True) -> Column:
     """Viewer rule: the JSON message, or the first 500 characters of anything else."""
     other = _reply(F.left(text, F.lit(500)), F.lit(""), False, F.lit(None), F.lit(None), F.array())
     return V.bind(
-        V.parse_object(text), lambda whole: F.when(whole.isNotNull(), _from_message(whole)).otherwise(other)
+        V.parse_object(text), lambda whole: F.when(whole.isNotNull(), _from_message(whole, with_tools)).otherwise(other)
     )
 
 
@@ -91,15 +96,18 @@ def plain_reply_clean(text: Column, mode: str = E.ALL_LINES, with_tools: bool =
     event or non-empty ``message_start`` content, else NULL. ``with_tools`` lets
     a message that only calls tools count too."""
 
+    def read(message: Column) -> Column:
+        return _from_message(message, with_tools)
+
     def candidate(event: Column) -> Column:
         kind = V.text_of(event, "type")
         started = V.bind(
-            V.bind(V.get(event, "message", "variant"), _from_message), lambda r: F.when(_says_something(r, with_tools), r)
+            V.bind(V.get(event, "message", "variant"), read), lambda r: F.when(_says_something(r, with_tools), r)
         )
-        return F.when(kind == "message", _from_message(event)).when(kind == "message_start", started)
+        return F.when(kind == "message", read(event)).when(kind == "message_start", started)
 
     found = F.filter(F.transform(E.event_objects(text, mode), candidate), lambda r: r.isNotNull())
     return V.bind(
-        V.bind(V.parse_object(text), _from_message),
+        V.bind(V.parse_object(text), read),
         lambda whole: F.when(_says_something(whole, with_tools), whole).otherwise(F.get(found, 0)),
     )

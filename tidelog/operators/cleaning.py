@@ -48,7 +48,8 @@ def clean_records(
         codec.decode_response(F.col("response")).alias("_text"),
     )
     text = F.col("_text")
-    reply = F.when(E.looks_streaming(text, compat_sniff), R.streamed_reply(text, mode)).otherwise(
+    streamed = R.streamed_reply(text, mode, with_tools=keep_tool_calls)
+    reply = F.when(E.looks_streaming(text, compat_sniff), streamed).otherwise(
         R.plain_reply_clean(text, mode, keep_tool_calls)
     )
     parsed = compute_once(

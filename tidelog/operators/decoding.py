@@ -33,11 +33,12 @@ def decode(log: DataFrame, strict_body: bool = False) -> DataFrame:
     )
 
 
-def reply_of(text: Column, mode: str = E.ALL_LINES, compat_sniff: bool = False) -> Column:
+def reply_of(
+    text: Column, mode: str = E.ALL_LINES, compat_sniff: bool = False, with_tools: bool = True
+) -> Column:
     """Streamed or plain reply as the viewer shows it."""
-    return F.when(E.looks_streaming(text, compat_sniff), R.streamed_reply(text, mode)).otherwise(
-        R.plain_reply_view(text)
-    )
+    streamed = R.streamed_reply(text, mode, with_tools=with_tools)
+    return F.when(E.looks_streaming(text, compat_sniff), streamed).otherwise(R.plain_reply_view(text, with_tools))
 
 
 def with_reply(decoded: DataFrame, **options) -> DataFrame:

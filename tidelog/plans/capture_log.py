@@ -300,7 +300,7 @@ def decoded_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log decoded and rebuilt once; reports and search read this table."""
 
     def build() -> DataFrame:
-        rows = with_reply(decode(capture_log(spark, sf_dir)))
+        rows = with_reply(decode(capture_log(spark, sf_dir)), with_tools=False)
         return rows.select(
             *[c for c in rows.columns if c != "reply"],
             F.col("reply.text").alias("reply_text"), F.col("reply.thinking").alias("reply_thinking"),
