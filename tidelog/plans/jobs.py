@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import hours as H
 from ..operators import archive, cleaning, scans
+from ..operators.sizes import small_side
 from ..session import configure, work_dir
 from ..sources import dataset, log_table
 from ..streaming import late
@@ -54,7 +55,7 @@ def archive_pending(
     targets = archive.archive_targets(windows, archives, day, hour, before, everything, limit)
     if dry_run:
         return targets
-    wanted = log.join(archive.small_side(targets), "hour_key", "left_semi")
+    wanted = log.join(small_side(targets), "hour_key", "left_semi")
     records = cleaning.clean_dataset(wanted, **options)
     report = archive.archive_hours(spark, log_path, records, archive_path, work_dir(spark, "cleaned"), keep_source)
     if retain_days > 0:
