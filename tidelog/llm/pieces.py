@@ -6,7 +6,8 @@ score of that position; the best path is the encoding. Scores are scaled to inte
 sums are exact and equal scores have one answer: the longest piece wins.
 
 White space: a space becomes U+2581 and one more is put in front, as the vocabulary's
-publisher does. No piece holds U+2581 behind another character, so no piece crosses the
+publisher does. A vocabulary of merges has ranks in place of log-probabilities; they are turned
+into those of a Zipf law (probability proportional to 1 / rank). No piece holds U+2581 behind another character, so no piece crosses the
 start of a word and each word can be encoded on its own; the encodings of short words are
 kept in a bounded cache. A character without a piece becomes its UTF-8 bytes, and so does a
 U+2581 that stands in the text itself: decode(encode(text)) is the text in every case.
@@ -18,6 +19,7 @@ name of the result is replaced.
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 from array import array
@@ -34,11 +36,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-SCALE = 10
+SCALE = 1_000_000
 # Fixed: score of a character without a piece, below the worst piece by this much.
 UNKNOWN_PENALTY = 10
-CACHE_ENTRIES = 1 << 18
-CACHE_LONGEST = 64
+CACHE_ENTRIES = 1 << 19
+CACHE_LONGEST = 32
 
 
 class Pieces:
@@ -50,8 +52,12 @@ class Pieces:
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         kind = sentencepiece_model_pb2.ModelProto.SentencePiece
-        normal = [p.score for p in proto.pieces if p.type == kind.NORMAL]
-        best, worst = max(normal), min(normal)
+        scores = {p.piece: p.score for p in proto.pieces if p.type == kind.NORMAL}
+        if proto.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE:
+            ranks = {piece: n for n, piece in enumerate(sorted(scores, key=lambda piece: -scores[piece]), start=1)}
+            whole = math.log(sum(1 / n for n in ranks.values()))
+            scores = {piece: -math.log(n) - whole for piece, n in ranks.items()}
+        best, worst = max(scores.values()), min(scores.values())
         self.scored: list[tuple[str, int, int]] = []
         self.bytes_of: list[bytes] = []
         self.byte_ids = [0] * 256
@@ -63,7 +69,7 @@ class Pieces:
                 out = bytes([value])
             elif p.type in (kind.NORMAL, kind.USER_DEFINED):
                 # a user-defined piece counts as good as its length of best pieces
-                score = p.score if p.type == kind.NORMAL else len(p.piece) * best - 0.1
+                score = scores[p.piece] if p.type == kind.NORMAL else len(p.piece) * best - 0.1
                 self.scored.append((p.piece, round(score * SCALE), i))
                 out = p.piece.replace(MARK, " ").encode()
             self.bytes_of.append(out)
@@ -82,50 +88,53 @@ class Encoder:
         self.automaton.make_automaton()
         self.singles = {piece for piece, _, _ in pieces.scored if len(piece) == 1}
         self.byte_ids, self.unknown = pieces.byte_ids, pieces.unknown
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, array] = {}
+        self.lengths = {i: len(piece) for piece, _, i in pieces.scored}
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
-    def _path(self, chunk: str) -> list[int]:
+    def _path(self, chunk: str) -> array:
         """Viterbi over one chunk."""
         size = len(chunk)
         low = (size + 1) * 2 * self.unknown
-        best, back, piece = [low] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
-        best[0] = 0
+        # best[end] and piece[end] belong to the prefix that ends with character `end`;
+        # index -1, the last cell, is the empty prefix
+        best, piece = [low] * size + [0], [-1] * size
         if self.singles.issuperset(chunk):
             for end, (length, score, i) in self.automaton.iter(chunk):
-                end += 1
                 total = best[end - length] + score
                 if total > best[end]:
-                    best[end], back[end], piece[end] = total, end - length, i
+                    best[end] = total
+                    piece[end] = i
         else:
             done = 0  # a character without a piece is relaxed after the matches of its end
             for end, (length, score, i) in self.automaton.iter(chunk):
                 while done < end:
-                    self._unknown(chunk, done, best, back, piece)
+                    self._unknown(chunk, done, best, piece)
                     done += 1
-                end += 1
                 total = best[end - length] + score
                 if total > best[end]:
-                    best[end], back[end], piece[end] = total, end - length, i
+                    best[end] = total
+                    piece[end] = i
             while done < size:
-                self._unknown(chunk, done, best, back, piece)
+                self._unknown(chunk, done, best, piece)
                 done += 1
-        ids: list[int] = []
-        end = size
-        while end:
-            if piece[end] >= 0:
-                ids.append(piece[end])
+        ids, end, lengths = array("i"), size - 1, self.lengths
+        while end >= 0:
+            i = piece[end]
+            if i >= 0:
+                ids.append(i)
+                end -= lengths[i]
             else:
-                ids.extend(self.byte_ids[b] for b in reversed(chunk[back[end] : end].encode("utf-8", "surrogatepass")))
-            end = back[end]
+                ids.extend(self.byte_ids[b] for b in reversed(chunk[end].encode("utf-8", "surrogatepass")))
+                end -= 1
         ids.reverse()
         return ids
 
-    def _unknown(self, chunk: str, at: int, best: list[int], back: list[int], piece: list[int]) -> None:
-        if chunk[at] not in self.singles and best[at] + self.unknown > best[at + 1]:
-            best[at + 1], back[at + 1], piece[at + 1] = best[at] + self.unknown, at, -1
+    def _unknown(self, chunk: str, at: int, best: list[int], piece: list[int]) -> None:
+        if chunk[at] not in self.singles and best[at - 1] + self.unknown > best[at]:
+            best[at], piece[at] = best[at - 1] + self.unknown, -1
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> array:
         """A word with its mark; short ones are kept."""
         ids = self._path(word)
         if len(word) <= CACHE_LONGEST:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
-from . import lengths, pieces, urls
+from ..session import configure, work_dir
+from . import lengths, pieces, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, model, RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "warc")
+    warc.write(warc.crawl_records(table(spark, sf_dir, "pages")), path)
+    page = lambda name: F.expr(f"try_cast(substring({name}, 10) AS bigint)")  # noqa: E731  behind urn:page:
+    stored = F.col("record_type") == "response"
+    return warc.read(spark, path).select(
+        page("record_id").alias("page_id"),
+        F.when(stored, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(stored, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 @query
 def op3_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.length_histogram(table(spark, sf_dir, "documents")))
