@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, work_dir
-from . import lengths, pieces, urls, warc
+from . import lengths, pieces, quality, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,13 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = quality.held_out(F.col("doc_id"))
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held).select("doc_id", "quality"))
+    return docs.select("doc_id", held.alias("held_out"), quality.score(F.col("text"), model).alias("score")).withColumn(
+        "predicted", (F.col("score") >= quality.THRESHOLD).cast("int")
+    )
