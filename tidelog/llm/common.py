@@ -46,11 +46,11 @@ def running_before(df: DataFrame, within: list[str], place: str, value: str, nam
     cut = df.withColumn("_slice", F.floor(F.col(place) * slices).cast("int"))
     totals = cut.groupBy(*within, "_slice").agg(F.sum(value).alias("_sum"))
     ahead = Window.partitionBy(*within).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
+    totals = totals.withColumn("_slices_before", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*within, "_slice").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     return (
         cut.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .join(totals, [*within, "_slice"])
-        .withColumn(name, F.col("_ahead") + F.col("_inside"))
-        .drop("_slice", "_inside", "_ahead")
+        .withColumn(name, F.col("_slices_before") + F.col("_inside"))
+        .drop("_slice", "_inside", "_slices_before")
     )
