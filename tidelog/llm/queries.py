@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, work_dir
-from . import lengths, mixing, pieces, quality, topk, urls, warc
-from .common import table
+from . import lengths, merkle, mixing, pieces, quality, topk, urls, warc
+from .common import table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +58,26 @@ def op3_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.length_histogram(table(spark, sf_dir, "documents")))
 
 
+@query
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
+    # the codes travel with the text, so that no tree of a next text is built again
+    rows = merkle.with_next(docs, {"codes": lambda text: merkle.codes(merkle.tree(text))})
+    rows = rows.withColumn("n_chars", F.length("text").cast("bigint"))
+    moved = F.floor(F.col("n_chars") / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - moved), F.substring("next_text", F.lit(1), moved))
+    return (
+        rows.withColumn("edited", edited)
+        .withColumns({"tree": merkle.tree(F.col("text")), "edited_tree": merkle.tree(F.col("edited"))})
+        .select(
+            "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+            merkle.fingerprint(F.col("tree")).alias("fingerprint"), merkle.fingerprint(F.col("edited_tree")).alias("edited_fingerprint"),
+            merkle.likeness(F.col("codes"), merkle.codes(F.col("edited_tree"))).alias("near_edited"),
+            merkle.likeness(F.col("codes"), F.col("next_codes")).alias("near_next"),
+        )
+    )
+
+
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
