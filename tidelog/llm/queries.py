@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, work_dir
-from . import lengths, merkle, mixing, pieces, quality, topk, urls, warc
+from . import lengths, merkle, mixing, pieces, pii, quality, topk, urls, warc
 from .common import table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,16 @@ def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(kind) for kind in pii.KINDS], F.sha2(pii.listed(F.col("spans")), 256).alias("base_sha256"),
+        pii.listed(F.concat("spans", pii.as_spans(F.col("terms")))).alias("spans"),
+    )
+
+
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
