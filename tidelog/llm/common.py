@@ -54,3 +54,13 @@ def running_before(df: DataFrame, within: list[str], place: str, value: str, nam
         .withColumn(name, F.col("_slices_before") + F.col("_inside"))
         .drop("_slice", "_inside", "_slices_before")
     )
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join with one row a key on the right, where a BIGINT key may hold a large part of the left.
+
+    Spark's skew join splits a hot key only between two plain exchanges. A right side that was
+    just grouped by the key has none, so its key is computed anew, which Spark takes for another
+    column and exchanges by.
+    """
+    return left.join(right.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("bigint"))), key, how)
