@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import land, skew_join
@@ -113,7 +113,7 @@ class _Shingler:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, node (the class), n_shingles, signature."""
+    """doc_id and text_hash as they are, node (the class), n_shingles, signature."""
     shingler = _Shingler()
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -125,8 +125,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(shingles) if words else 0)
                 signatures.append(shingler.signature(shingles).tobytes() if words else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())],
-                names=["doc_id", "node", "n_shingles", "signature"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())],
+                names=["doc_id", "text_hash", "node", "n_shingles", "signature"],
             )
 
 
@@ -227,9 +227,13 @@ def _link_block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_features, "doc_id bigint, node bigint, n_shingles bigint, signature binary")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", _text_hash("text"))
+    return rows.mapInArrow(_features, "doc_id bigint, text_hash bigint, node bigint, n_shingles bigint, signature binary")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -293,7 +297,7 @@ def links(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row a document."""
+    """(doc_id, text_hash, n_shingles, component_id, kept), one row a document."""
     rows = land(features(docs, doc_id, text), "near-features")
     classes = land(
         rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature")), "near-classes"
@@ -306,6 +310,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     roots = land(classes.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = land(skew_join(roots, least, "root").select("node", "component_id"), "near-components")
-    linked = rows.where("node IS NOT NULL").select("doc_id", "node", "n_shingles").join(named, "node")
-    alone = rows.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n_shingles", "component_id").union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = rows.where("node IS NOT NULL").select("doc_id", "text_hash", "node", "n_shingles").join(named, "node")
+    alone = rows.where("node IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.select("doc_id", "text_hash", "n_shingles", "component_id").union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, one of each group of near duplicates: that of the smallest id.
+
+    Documents without words are no duplicates of anything; of rows equal in id and text one stays.
+    """
+    near = near_duplicates(docs, doc_id, text).where("kept")
+    # ids may repeat with other texts: of a component one (id, text) stays
+    grouped = near.where("n_shingles > 0").groupBy("component_id").agg(F.min("text_hash").alias("text_hash"))
+    alone = near.where("n_shingles = 0").select("component_id", "text_hash").distinct()
+    kept = land(grouped.union(alone).toDF("_id", "_hash"), "near-kept")
+    rows = docs.withColumn("_hash", _text_hash(text))
+    twice = land(rows.groupBy(F.col(doc_id).alias("_id"), "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "near-repeated")
+    same = lambda right: F.col(doc_id).eqNullSafe(right["_id"]) & (rows["_hash"] == right["_hash"])
+    rows = rows.join(kept, same(kept), "left_semi")
+    if twice.isEmpty():
+        return rows.drop("_hash")
+    single = rows.join(twice, same(twice), "left_anti")
+    several = rows.join(twice, same(twice), "left_semi").dropDuplicates([doc_id, "_hash"])
+    return single.union(several).drop("_hash")
