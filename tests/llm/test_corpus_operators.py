@@ -1,0 +1,370 @@
+"""WARC, mixing, top-k, near duplicates, quality: against brute force."""
+
+import gzip
+import hashlib
+import json
+import math
+import os
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidelog.llm import components, mixing, neardup, quality, topk, warc
+
+DOCS = "doc_id bigint, text string"
+
+
+# ---- WARC
+
+
+PAGES = "page_id bigint, url string, html string, file string"
+
+
+def pages_of(spark):
+    long, other = "é<p>" * 500, "<b>" + "x" * 3000
+    rows = [
+        (1, "http://a/1", long, "f"), (2, "http://a/2", long, "f"), (9, "http://a/9", long, "f"), (3, None, "short", "f"), (4, "http://a/4", "short", "f"),
+        (5, "http://a/5", None, "f"), (6, "http://a/\r\nWARC-Type: x", "", "f"), (7, "http://ü/7", other + "\r\n\r\nWARC/1.1\r\n", "f"),
+        (None, "http://a/0", other, "f"), (8, "http://a/8", other, "f"), (8, "http://a/8", other, "f"), (10, "http://a/10", "é" * 499 + "ab", "f"), (11, "http://a/11", "é" * 499 + "ab", "f"),
+        (12, "http://a/12", "a" * 999, "f"), (13, "http://a/13", "a" * 999, "f"),
+    ]
+    return rows, spark.createDataFrame(rows, PAGES)
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_records_come_back(spark, tmp_path, compression):
+    rows, pages = pages_of(spark)
+    path = str(tmp_path / "crawl")
+    warc.write(warc.crawl_records(pages), path, compression)
+    got = warc.read(spark, path).collect()
+    assert len(got) == len(rows)
+    groups = {}
+    for page, _, html, _ in rows:
+        data = (html or "").encode()
+        groups.setdefault(data, []).append(page)
+    for r in got:
+        page = int(r.record_id[9:]) if r.record_id != "urn:page:" else None
+        data = next((h or "").encode() for p, u, h, _ in rows if p == page)
+        best = max((p for p in groups[data] if p is not None), default=None)
+        again = len(data) >= 1000 and page != best
+        assert r.record_type == ("revisit" if again else "response")
+        assert r.refers_to == (f"urn:page:{best}" if again else None)
+        assert r.payload_length == len(data) and r.payload_digest == hashlib.sha1(data).hexdigest()
+        assert r.payload == (None if again else data)
+    assert {r.target_uri for r in got if r.record_id == "urn:page:6"} == {"http://a/%0D%0AWARC-Type: x"}
+    assert {r.target_uri for r in got if r.record_id == "urn:page:3"} == {None}
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_header_predicates_reach_the_source(spark, tmp_path, compression):
+    rows, pages = pages_of(spark)
+    path = str(tmp_path / "crawl")
+    warc.write(warc.crawl_records(pages.repartition(3)), path, compression)
+    read = warc.read(spark, path)
+    revisits = read.where((F.col("record_type") == "revisit") & F.col("refers_to").isNotNull())
+    plan = revisits._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"\bFilter \(", plan)
+    assert {r.record_id for r in revisits.collect()} == {f"urn:page:{i}" for i in (1, 2, "", 10)}
+    assert read.where(F.col("record_id").isin("urn:page:3", "urn:page:9")).count() == 2
+    assert read.where(F.col("target_uri").startswith("http://a/1")).count() == 5
+    assert read.where(F.col("refers_to").isNull() & (F.col("payload_length") > 1000)).count() == 4
+    assert all(r.payload is None and r.payload_length is not None for r in warc.read(spark, path, payload=False).collect())
+
+
+def test_foreign_archives_and_empty_tables(spark, tmp_path):
+    record = lambda kind, body: (
+        f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{kind}>\r\nX-Folded: a\r\n b\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    )
+    (tmp_path / "foreign").mkdir()
+    (tmp_path / "foreign" / "a.warc").write_bytes(record("warcinfo", b"software: x\r\n") + record("resource", b"y" * 5000))
+    (tmp_path / "foreign" / "b.warc.gz").write_bytes(gzip.compress(record("metadata", b"m" * 90_000)) + gzip.compress(record("conversion", b"c")))
+    (tmp_path / "foreign" / "notes.txt").write_text("no archive")
+    got = {r.record_type: r.payload for r in warc.read(spark, str(tmp_path / "foreign")).collect()}
+    assert got == {"warcinfo": b"software: x\r\n", "resource": b"y" * 5000, "metadata": b"m" * 90_000, "conversion": b"c"}
+    assert [r.payload for r in warc.read(spark, str(tmp_path / "foreign")).where("record_type = 'conversion'").collect()] == [b"c"]
+    _, pages = pages_of(spark)
+    warc.write(warc.crawl_records(pages.limit(0)), str(tmp_path / "none"))
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_files_of_failed_attempts_are_not_read(spark, tmp_path):
+    rows, pages = pages_of(spark)
+    path = tmp_path / "crawl"
+    warc.write(warc.crawl_records(pages), str(path))
+    name = next(n for n in os.listdir(path) if n.endswith(".warc.gz"))
+    (path / "stray.warc.gz").write_bytes((path / name).read_bytes())
+    assert warc.read(spark, str(path)).count() == len(rows)
+    listed = json.loads(next(path.glob("_manifest-*")).read_text())
+    assert name in listed and "stray.warc.gz" not in listed
+
+
+# ---- mixing
+
+
+def mixed_docs(spark, seed=1):
+    rng = random.Random(seed)
+    rows = []
+    for n in range(900):
+        source = rng.choice(["hot"] * 6 + ["a", "b", None, "tiny"]) if n % 50 else "tiny"
+        rows.append((n, source, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(1, 60))), -1))
+    rows += [(10_000, "a", None, 0), (10_001, "a", "", 0), (10_002, "blank", "", 0), *rows[:3]]
+    return rows, spark.createDataFrame(rows, "doc_id long, source string, text string, block int")
+
+
+def test_every_document_is_kept_and_sources_meet_their_weights(spark):
+    rows, docs = mixed_docs(spark)
+    got = mixing.mix(docs, repeat_limit=2.0, block_tokens=400).collect()
+    tokens = lambda text: len(text.split(" ")) if text else 0
+    have, want = Counter(), Counter()
+    for _, source, text, _ in rows:
+        want[source] += tokens(text)
+    for r in got:
+        have[r.source] += tokens(r.text)
+    passes = {s: have[s] / want[s] for s in want if want[s]}
+    assert 0.98 < min(passes.values()) <= 1.02 and abs(max(passes.values()) - 2.0) < 0.15
+    copies = Counter(r.doc_id for r in got)
+    first = Counter(r[0] for r in rows)
+    assert set(copies) == set(first)
+    for r in rows:
+        n, whole = copies[r[0]] / first[r[0]], passes.get(r[1], 1.0)
+        assert math.floor(whole + 1e-9) <= n <= math.ceil(whole) + 1
+    # the weights are powers of the shares: log passes is linear in log tokens
+    slopes = [math.log(passes[s] / passes["hot"]) / math.log(want[s] / want["hot"]) for s in passes if s != "hot"]
+    assert max(slopes) - min(slopes) < 0.2
+    assert all(0 <= r.position < 1 for r in got) and got[0].asDict().keys() == {"doc_id", "source", "text", "pass", "block", "position"}
+    again = mixing.mix(docs.repartition(3), repeat_limit=2.0, block_tokens=400).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+def test_a_budget_fills_streams_to_their_quota(spark):
+    rows, docs = mixed_docs(spark)
+    tokens = lambda text: len(text.split(" ")) if text else 0
+    sources = mixing.source_tokens(docs, mixing.words(F.col("text")))
+    mix = mixing.weights(sources, 0.5, budget=9000, block_tokens=300)
+    quota = {r.src: r.quota for r in mix.collect()}
+    want = Counter()
+    for _, source, text, _ in rows:
+        want["n" if source is None else "s" + source] += tokens(text)
+    z = sum(math.sqrt(t) for t in want.values())
+    for src, t in want.items():
+        assert abs(quota[src] - 9000 * math.sqrt(t) / z) <= 1.01
+    have = Counter()
+    for r in mixing.realise(docs, mix, mixing.words(F.col("text"))).collect():
+        have["n" if r.source is None else "s" + r.source] += tokens(r.text)
+    for src in want:
+        assert quota[src] - 180 <= have[src] <= quota[src]
+
+
+@pytest.mark.parametrize("target", [0.5, 1.2, 2.0])
+def test_entropy_is_met_by_bisection(spark, target):
+    totals = {"a": 900, "b": 80, "c": 15, "d": 5}
+    sources = spark.createDataFrame([("s" + k, v, 1) for k, v in totals.items()], "src string, tokens long, docs long")
+    entropy = lambda x: -sum(p * math.log2(p) for p in (v**x / sum(w**x for w in totals.values()) for v in totals.values()))
+    x = mixing.find_exponent(sources, entropy=target)
+    if x in (0.0, 1.0):
+        assert (x == 0.0 and target >= 2) or (x == 1.0 and entropy(1.0) >= target)
+    else:
+        assert abs(entropy(x) - target) < 1e-4
+    assert abs((900 / 5) ** (1 - mixing.find_exponent(sources, repeat_limit=3)) - 3) < 1e-6
+
+
+def test_mixing_nothing(spark):
+    _, docs = mixed_docs(spark)
+    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.where("text = ''").select("doc_id", "source", "text")).count() == 2
+
+
+# ---- top-k
+
+
+def brute_top(vectors, ask, k):
+    scaled = {}
+    for n, (i, v) in enumerate(vectors):
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            scaled[n] = (i, [math.floor(256 * x) for x in v])
+    out = set()
+    for i, q in {(i, tuple(v)) for i, v in scaled.values() if ask(i)}:
+        found = [(-sum(a * b for a, b in zip(q, v)), j) for j, v in scaled.values() if j != i and len(v) == len(q)]
+        out |= {(i, rank, j, -s) for rank, (s, j) in enumerate(sorted(found)[:k], 1)}
+    return out
+
+
+def test_top_k_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vectors = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(700)]
+    vectors += [(1000 + i, [0.5] * 8) for i in range(400)]  # one vector that many rows share
+    vectors += [(2000, None), (2001, [0.1, None] * 4), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8), (2004, []), (None, [9.0] * 8)]
+    vectors += [(2050, [1.0, 2.0]), (2051, [3.0, -1.0]), (2100, [1.0] * 3), (2150, [1e4, -1e4, 1e4, 0.0, 0.0, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("clash")).repartition(5)
+    exact = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in vectors]
+    for k, block in ((5, 1024), (3, 7)):
+        got = topk.top_k(table, F.col("vec_id") % 50 == 0, k=k, query_block=block).collect()
+        assert {tuple(r) for r in got} == brute_top(exact, lambda i: i % 50 == 0, k) and len(got) == len(set(got))
+    assert topk.top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# ---- components
+
+
+def test_components_of_paths_and_stars(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 60)] + [(500, 500), (700, 701), (701, 700), (-5, 700)]
+    edges += [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(80)]
+    rng.shuffle(edges)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    touched = {x for a, b in edges if a != b for x in (a, b)}
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r.node, r.root) for r in got} == {(x, find(x)) for x in touched} and len(got) == len(touched)
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---- near duplicates
+
+
+def near_docs():
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = [" ".join(text(rng.randrange(20, 80))) for _ in range(60)]
+    base = text(120)
+
+    def edited(n):
+        copy = list(base)
+        for _ in range(n):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        return " ".join(copy)
+
+    rows += [" ".join(base)] * 4 + [edited(rng.randrange(1, 7)) for _ in range(40)]
+    rows += [" ".join(base + text(30)), " ".join(base[:90]), " ".join(base).upper(), " ".join(base) + "\n\t "]
+    shared = text(40)
+    rows += [" ".join(shared + text(rng.randrange(5, 40))) for _ in range(40)]  # a passage in common
+    rows += ["a b c", "A  b\tC", "a b", "a b c d e", "a b c d e f", "", None, " \n", "é É", "É é", "x" * 100_000, " ".join(["same"] * 30_000), " ".join(["same"] * 30)]
+    docs = [(i, t) for i, t in enumerate(rows)]
+    rng.shuffle(docs)
+    return docs
+
+
+def brute_components(docs):
+    sets = []
+    for _, t in docs:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and 100 * both >= 75 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for n, (i, _) in enumerate(docs):
+        least[find(n)] = min(least.get(find(n), i), i)
+    return {(i, len(sets[n]), least[find(n)], least[find(n)] == i) for n, (i, _) in enumerate(docs)}
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    docs = near_docs()
+    table = spark.createDataFrame([(i, t, "clash") for i, t in docs], DOCS + ", node string").repartition(3)
+    got = neardup.near_duplicates(table).drop("text_hash").collect()
+    assert len(got) == len(docs) and {tuple(r) for r in got} == brute_components(docs)
+
+
+def test_one_of_each_group_stays(spark):
+    docs = near_docs()
+    kept = {i for i, _, _, keeps in brute_components(docs) if keeps}
+    repeated = docs + docs[:20] + [(None, "alone " * 9), (None, None)]
+    got = neardup.one_of_each(spark.createDataFrame(repeated, DOCS)).collect()
+    assert Counter(r.doc_id for r in got) == Counter([*kept, None, None])
+    assert neardup.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
+
+
+# ---- quality
+
+
+def quality_docs(n=400):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("th", "re", "on", "est", "in") for b in ("ing", "er", "and", "ly", "a")]
+    rows = []
+    for i in range(n):
+        text = [rng.choice(words) for _ in range(rng.randrange(5, 300))]
+        bad = i % 3 == 0
+        if bad:
+            at = rng.randrange(len(text))
+            text[at : at + 60] = [t.upper() + "!!" for t in text[at : at + 60]] + ["BUY!!"] * 20
+        rows.append((i, " ".join(text), 0 if bad else 1))
+    return rows
+
+
+def test_labels_not_seen_are_met(spark):
+    rows = quality_docs()
+    docs = spark.createDataFrame([(i, t, "clash") for i, t, _ in rows], DOCS + ", score string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(None, 1), (10**9, 0), (3, 7)], "doc_id long, quality int")
+    model = quality.fit(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    got = {r.doc_id: r for r in docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held"), quality.score(F.col("text"), model).alias("p")).collect()}
+    held = [(got[i].p, q) for i, _, q in rows if got[i].held]
+    assert 50 < len(held) < 150 and all(0 <= p <= 1 for p, _ in held)
+    assert sum((p >= quality.THRESHOLD) == bool(q) for p, q in held) >= 0.95 * len(held)
+    # the attention finds the bad passage
+    weights = quality.passages_of(docs.where("doc_id % 3 = 0"), model).first().attention
+    assert abs(sum(weights) - 1) < 1e-6
+
+
+def test_scores_do_not_depend_on_company(spark, monkeypatch):
+    rows = quality_docs(120)
+    model = quality.fit(spark.createDataFrame([r[:2] for r in rows], DOCS), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int"))
+    texts = [None, "", " \n", "one", rows[0][1], rows[0][1], "word " * 50_000, "é" * 1000, "x" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    together = {r.doc_id: r.p for r in docs.coalesce(1).select("doc_id", quality.score(F.col("text"), model).alias("p")).collect()}
+    alone = {r.doc_id: r.p for r in docs.repartition(9).select("doc_id", quality.score(F.col("text"), model).alias("p")).collect()}
+    assert together.keys() == alone.keys() and all(abs(together[i] - alone[i]) < 1e-9 for i in alone)
+    assert together[0] == together[1] == together[2] and together[4] == together[5]
+
+
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(0)
+    sizes, y = np.array([3, 1, 4]), np.array([1.0, 0.0, 1.0])
+    x = rng.normal(size=(8, quality.N_FEATURES))
+    w = {"w": rng.normal(size=(quality.N_FEATURES, 5)) / 8, "b": rng.normal(size=5), "v": rng.normal(size=(5, 3)), "u": rng.normal(size=(5, 3)), "a": rng.normal(size=3), "o": rng.normal(size=5), "c": rng.normal(size=1)}
+
+    def loss():
+        p = quality._sigmoid(quality._forward(w, x, sizes)["logit"])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    g = quality._gradient(w, x, sizes, y)
+    for k in w:
+        flat = w[k].reshape(-1)
+        for at in rng.integers(0, flat.size, 3):
+            old = flat[at]
+            flat[at] = old + 1e-6
+            up = loss()
+            flat[at] = old - 1e-6
+            down = loss()
+            flat[at] = old
+            assert abs((up - down) / 2e-6 - g[k].reshape(-1)[at]) < 1e-6
+
+
+def test_one_label_rejects_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], DOCS)
+    model = quality.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert model is None and [r[0] for r in docs.select(quality.score(F.col("text"), model)).collect()] == [1.0, 1.0]
+    assert docs.limit(0).select(quality.score(F.col("text"), model)).count() == 0

@@ -161,15 +161,18 @@ def term_spans(docs: DataFrame, text: str = "text", support: int = SUPPORT, disc
     return land(places.groupBy("key").agg(spans.alias("terms")), "pii-terms")
 
 
+def _found(docs: DataFrame, text: str, support: int, disclose: float, remove: float) -> DataFrame:
+    """Add _spans and _terms."""
+    added = term_spans(docs, text, support, disclose, remove).toDF("_key", "_terms")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.withColumn("_key", text_key(whole)).join(added, "_key", "left").drop("_key")
+    return rows.withColumns({"_spans": base_spans(whole), "_terms": F.coalesce("_terms", F.array().cast(TERMS))})
+
+
 def find(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclose: float = DISCLOSE, remove: float = REMOVE) -> DataFrame:
-    """Add ``spans`` (base) and ``terms`` (added by the corpus)."""
-    added = term_spans(docs, text, support, disclose, remove)
-    kept = docs.drop("spans", "terms", "_key")
-    return (
-        kept.withColumn("_key", text_key(F.coalesce(F.col(text), F.lit("")))).join(added.withColumnRenamed("key", "_key"), "_key", "left")
-        .withColumns({"spans": base_spans(F.coalesce(F.col(text), F.lit(""))), "terms": F.coalesce("terms", F.array().cast(TERMS))})
-        .drop("_key")
-    )
+    """Add ``spans`` (base) and ``terms`` (added by the corpus); columns of these names are replaced."""
+    rows = _found(docs.drop("spans", "terms"), text, support, disclose, remove)
+    return rows.withColumnsRenamed({"_spans": "spans", "_terms": "terms"})
 
 
 def listed(spans: Column) -> Column:
@@ -208,5 +211,5 @@ def sanitised(text: Column, spans: Column, terms: Column) -> Column:
 
 def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclose: float = DISCLOSE, remove: float = REMOVE) -> DataFrame:
     """The documents with their texts sanitised; no other column changes. NULL stays NULL."""
-    found = find(docs, text, support, disclose, remove)
-    return found.withColumn(text, sanitised(F.col(text), F.col("spans"), F.col("terms"))).select(*docs.columns)
+    found = _found(docs, text, support, disclose, remove)
+    return found.withColumn(text, sanitised(F.col(text), F.col("_spans"), F.col("_terms"))).select(*docs.columns)

@@ -101,7 +101,8 @@ def _encode(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.zeros(min(back, len(code)), bool), (code[back:] == code[:-back]) & (doc_of_word[back:] == doc_of_word[:-back])
     ))
     kinds = np.unique((passage.astype(np.uint64) << np.uint64(40)) ^ (code & np.uint64((1 << 40) - 1)))
-    n = np.maximum(np.bincount(passage, minlength=total), 1)
+    count = np.bincount(passage, minlength=total)
+    n = np.maximum(count, 1)
     share = lambda mask: np.bincount(passage, weights=mask, minlength=total) / n
     letters = np.maximum(by_class.sum(axis=1, keepdims=True), 1)
     out[:, : N_CLASSES - 1] = by_class / letters
@@ -113,7 +114,7 @@ def _encode(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out[:, at + 4] = share(size > LONG_WORD)
     out[:, at + 5] = share((last == 4) | (last == 6) | (last == 7))
     out[:, at + 6] = share((last == 8) | (last == 9))
-    out[:, at + 7] = n / PASSAGE_WORDS
+    out[:, at + 7] = count / PASSAGE_WORDS
     buckets = np.bincount(passage * WORD_BUCKETS + (code % np.uint64(WORD_BUCKETS)).astype(np.int64), minlength=total * WORD_BUCKETS)
     out[:, at + 8 :] = buckets.reshape(total, WORD_BUCKETS) / n[:, None]
     return out, passages
