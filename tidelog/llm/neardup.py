@@ -52,6 +52,7 @@ CENTRES = 8
 BLOCK = 512
 KNOWN_WORDS = 1 << 19
 PART = 1 << 13
+SLOTS = 1 << 20
 _MASK = (1 << 64) - 1
 # odd multipliers and offsets, from a counter through a mixing function
 _NUMBERS = [((i + 1) * 0x9E3779B97F4A7C15) & _MASK for i in range(2 * K + WORDS)]
@@ -305,7 +306,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     candidates = land(families(land(postings(classes), "near-postings")), "near-families")
     wanted = land(classes.select("node", "least").join(candidates, "node"), "near-wanted")
     texts = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("text"))
-    members = texts.join(wanted, F.col("_id").eqNullSafe(F.col("least"))).select("node", "family", "weight", "text").mapInArrow(_sets, MEMBERS)
+    # most texts have no partner and need not move: a set of at most SLOTS hash slots, broadcast,
+    # tells nearly all of them; the join that follows is exact
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    slots = wanted.select(slot("least").alias("_slot")).distinct()
+    texts = texts.join(F.broadcast(slots), slot("_id") == F.col("_slot"), "left_semi")
+    members = texts.hint("merge").join(wanted, F.col("_id").eqNullSafe(F.col("least")))
+    members = members.select("node", "family", "weight", "text").mapInArrow(_sets, MEMBERS)
     found = components(links(land(members, "near-members")))
     roots = land(classes.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
