@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,7 +180,7 @@ def test_view_of_plain_replies(value):
     blocks = [{"type": "text", "text": "a"}, 5, {"type": "tool_use", "id": "i", "name": "n", "input": {"k": 1}},
               {"type": "thinking", "thinking": "t"}, {"type": "text", "text": "b"}]
     assert view(json.dumps({"content": blocks, "stop_reason": "x"})) == ("ab", "t", 1, "x")
-    assert view("x" * 600) == ("x" * 500, "", 0, None)
+    assert view("x" * 600) == ("x" * 600, "", 0, None)
     assert view("[1]") == ("[1]", "", 0, None)
 
 
@@ -202,3 +203,23 @@ def test_clean_rule_prefers_json_then_events(value):
 def test_parse_object_is_strict_about_the_ends(value):
     for text, found in [('{"a":1}', True), (' {"a":1}\n', True), ('{"a":1} x', False), ("[1]", False), ('{"a":1', False)]:
         assert value(lambda T: V.parse_object(T).isNotNull(), t=text) is found, text
+
+
+def test_a_tab_behind_the_mark(value):
+    event = json.dumps(delta("tabbed"))
+    assert value(lambda t: E.rebuild_text(E.events_of(t)), text=f"data:\t{event}\n\ndata: \t{event}\t\n\n") == "tabbedtabbed"
+
+
+def test_long_replies_are_folded_in_one_pass(value):
+    changes = "".join(f'data: {{"type":"message_delta","delta":{{}},"usage":{{"output_tokens":{n}}}}}\n\n' for n in range(8000))
+    calls = "".join(
+        f'data: {{"type":"content_block_start","index":{n},"content_block":{{"type":"tool_use","id":"t{n}","name":"f","input":{{}}}}}}\n\n'
+        f'data: {{"type":"content_block_delta","index":{n},"delta":{{"type":"input_json_delta","partial_json":"{n}"}}}}\n\n' for n in range(3000)
+    )
+    started = time.time()
+    usage = value(lambda t: F.to_json(E.rebuild_usage(E.events_of(t))), text=changes)
+    middle = time.time()
+    got = value(lambda t: E.rebuild_tool_calls(E.events_of(t)), text=calls)
+    assert usage == '{"output_tokens":7999}'
+    assert [(c.id, c.input_json) for c in got] == [(f"t{n}", str(n)) for n in range(3000)]
+    assert middle - started < 10 and time.time() - middle < 10

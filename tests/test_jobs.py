@@ -2,7 +2,7 @@ import os
 from datetime import datetime, timedelta
 
 from tests.conftest import START, request
-from tidelog.operators import archive
+from tidelog.operators import archive, cleaning
 from tidelog.plans import jobs
 from tidelog.sources import dataset, log_table
 
@@ -64,3 +64,27 @@ def test_retention(spark, log, tmp_path):
     assert folders(out) == ["10", "11"]
     jobs.retain(spark, out, LATER.date(), 7)
     assert folders(out) == []
+
+
+def test_a_stale_hour_goes(spark, log, tmp_path):
+    path, out = stored(log, tmp_path), str(tmp_path / "dataset")
+    jobs.clean(spark, path, out)
+    assert folders(out) == ["10", "11"]
+    stats = jobs.clean(spark, path, out, hour_key="2024-05-01_10", min_output_len=500)
+    assert stats.first().records_kept == 0 and folders(out) == ["11"]
+
+
+def test_clean_job_is_the_plain_pipeline(spark, log, tmp_path):
+    path = str(tmp_path / "log")
+    bodies = [request("a"), request("b"), request("a"), request("a"), request("c")]
+    hours = [0, 0, 0, 1, 1]
+    replies = ["short", "a longer answer", "a longer answer", "a longer answer", "x"]
+    from tests.conftest import reply
+    log_table.write_log(log(*({"body": b, "ts": START + h * HOUR, "response": reply(r)} for b, h, r in zip(bodies, hours, replies))), path)
+    rows = log_table.read_log(spark, path)
+    for scope in ("hour", "global"):
+        for least in (2, 6):
+            out = str(tmp_path / f"{scope}{least}")
+            jobs.clean(spark, path, out, min_output_len=least, scope=scope)
+            want = cleaning.clean_dataset(rows, least, scope)
+            assert sorted(r.seq_id for r in want.collect()) == sorted(r.metadata.seq_id for r in dataset.read_dataset(spark, out).collect())

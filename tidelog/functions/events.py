@@ -52,7 +52,7 @@ def _payloads(lines: Column) -> Column:
             F.substring(F.when(F.startswith(line, mark), line).otherwise(strip_line(line)), F.lit(6), F.lit(_END))
         ),
     )
-    return F.transform(contents, lambda c: F.when(F.endswith(c, F.lit("}")), c).otherwise(strip_line(c)))
+    return F.transform(contents, lambda c: F.when(F.startswith(c, F.lit("{")) & F.endswith(c, F.lit("}")), c).otherwise(strip_line(c)))
 
 
 def payloads(text: Column, mode: str = ALL_LINES) -> Column:
@@ -154,17 +154,9 @@ def rebuild_thinking(events: Column) -> Column:
 
 
 def merge_maps(maps: Column) -> Column:
-    """Key-wise merge of ARRAY<MAP>, the last value of a key wins."""
-
-    def keep_last(pairs: Column) -> Column:
-        def is_last(pair: Column, at: Column) -> Column:
-            later = F.slice(pairs, at + 2, F.size(pairs))
-            return ~F.exists(later, lambda other: other["key"] == pair["key"])
-
-        return F.map_from_entries(F.filter(pairs, is_last))
-
+    """Key-wise merge of ARRAY<MAP>, the last value of a key wins (a session setting)."""
     filled = F.filter(maps, lambda m: m.isNotNull())
-    return V.bind(F.flatten(F.transform(filled, F.map_entries)), keep_last)
+    return F.map_from_entries(F.flatten(F.transform(filled, F.map_entries)))
 
 
 def rebuild_usage(events: Column, with_start: bool = True) -> Column:
@@ -236,36 +228,46 @@ def rebuild_tool_calls(events: Column) -> Column:
             ),
             lambda i: i.isNotNull(),
         )
-        return F.transform(listed, lambda i: call(tools, index, i))
+        return V.bind(_blocks(tools, index), lambda blocks: F.transform(listed, lambda i: blocks[i]))
 
-    def call(tools: Column, index: Column, wanted_index: Column) -> Column:
-        """The block as its last start and the deltas after it leave it."""
-        starts = F.filter(
-            F.transform(
-                tools, lambda e, at: F.when(_is_start(e) & (F.get(index, at) == wanted_index), at)
-            ),
-            lambda at: at.isNotNull(),
+    return V.bind(wanted, numbered)
+
+
+def _blocks(tools: Column, index: Column) -> Column:
+    """MAP from block index to the block as its last start and the deltas after it leave it.
+
+    One fold over the events in order of block and place.
+    """
+
+    def piece(event: Column, at: Column) -> Column:
+        block = event["e"]["content_block"]
+        started = _is_start(event)
+        text = F.when(started, _given_input(event)).otherwise(F.coalesce(event["e"]["delta"]["partial_json"], F.lit("")))
+        return F.struct(
+            F.get(index, at).alias("index"), at.alias("at"), started.alias("started"),
+            F.when(started, F.coalesce(block["id"], F.lit(""))).otherwise("").alias("id"),
+            F.when(started, F.coalesce(block["name"], F.lit(""))).otherwise("").alias("name"), text.alias("text"),
         )
 
-        def build(last: Column) -> Column:
-            head = F.get(tools, last)
-            parts = F.transform(
-                tools,
-                lambda e, at: F.when(
-                    (at > last) & ~_is_start(e) & (F.get(index, at) == wanted_index), e["e"]["delta"]["partial_json"]
-                ),
-            )
-            started = last >= 0
-            block = head["e"]["content_block"]
-            return F.struct(
-                F.when(started, F.coalesce(block["id"], F.lit(""))).otherwise("").alias("id"),
-                F.when(started, F.coalesce(block["name"], F.lit(""))).otherwise("").alias("name"),
-                F.concat(F.when(started, _given_input(head)).otherwise(""), F.array_join(parts, "")).alias("input_json"),
-            )
+    kind = "array<struct<index: bigint, id: string, name: string, text: string>>"
 
-        return V.bind(F.coalesce(F.try_element_at(starts, F.lit(-1)), F.lit(-1)), build)
+    def step(state: Column, p: Column) -> Column:
+        last = F.try_element_at(state, F.lit(-1))
+        same = F.coalesce(last["index"] == p["index"], F.lit(False))
+        grows = same & ~p["started"]
+        merged = F.struct(
+            p["index"].alias("index"), F.when(grows, last["id"]).otherwise(p["id"]).alias("id"),
+            F.when(grows, last["name"]).otherwise(p["name"]).alias("name"),
+            F.when(grows, F.concat(last["text"], p["text"])).otherwise(p["text"]).alias("text"),
+        )
+        before = F.when(same, F.slice(state, F.lit(1), F.size(state) - 1)).otherwise(state)
+        return F.concat(before, F.array(merged)).cast(kind)
 
-    return V.bind(wanted, numbered)
+    folded = F.aggregate(F.array_sort(F.transform(tools, piece)), F.array().cast(kind), step)
+    entry = lambda b: F.struct(
+        b["index"].alias("key"), F.struct(b["id"].alias("id"), b["name"].alias("name"), b["text"].alias("input_json")).alias("value")
+    )
+    return F.map_from_entries(F.transform(folded, entry))
 
 
 def named_events(text: Column) -> Column:

@@ -14,6 +14,23 @@ def hour_key(ts: Column) -> Column:
     return F.date_format(ts, HOUR_FORMAT)
 
 
+def moment(epoch: Column) -> Column:
+    """TIMESTAMP of an epoch in seconds, to the microsecond."""
+    return F.timestamp_micros(F.round(epoch * 1_000_000).cast("bigint"))
+
+
+def local_hour_key(moment: Column, zone: str) -> Column:
+    """The wall-clock hour of a TIMESTAMP in a zone; the session's zone is UTC."""
+    return hour_key(F.from_utc_timestamp(moment, zone))
+
+
+def hour_end(key: Column, zone: str = "UTC") -> Column:
+    """UTC wall clock of the end of a zone's hour. An hour that a clock change
+    repeats ends after the second time."""
+    local = hour_start(key) + F.lit(timedelta(hours=1))
+    return F.to_utc_timestamp(local.cast("timestamp"), zone).cast("timestamp_ntz")
+
+
 def hour_start(key: Column) -> Column:
     return F.to_timestamp_ntz(key, F.lit(HOUR_FORMAT))
 

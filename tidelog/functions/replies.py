@@ -84,8 +84,8 @@ def _says_something(reply: Column, with_tools: bool = False) -> Column:
 
 
 def plain_reply_view(text: Column, with_tools: bool = True) -> Column:
-    """Viewer rule: the JSON message, or the first 500 characters of anything else."""
-    other = _reply(F.left(text, F.lit(500)), F.lit(""), False, F.lit(None), F.lit(None), F.array())
+    """Viewer rule: the JSON message, or the whole text of anything else."""
+    other = _reply(text, F.lit(""), False, F.lit(None), F.lit(None), F.array())
     return V.bind(
         V.parse_object(text), lambda whole: F.when(whole.isNotNull(), _from_message(whole, with_tools)).otherwise(other)
     )

@@ -31,9 +31,9 @@ def find_ignore_case(text: Column, needle: str) -> Column:
     return F.coalesce(F.instr(F.lower(text), F.lower(F.lit(needle))), F.lit(0))
 
 
-def snippet(text: Column, position: Column, needle: str, margin: int = 80, limit: int = 300) -> Column:
-    """Text around a hit on one line, ``margin`` characters to each side."""
+def snippet(text: Column, position: Column, needle: str, margin: int = 80) -> Column:
+    """The whole hit on one line, with ``margin`` characters to each side."""
     hit = position - 1
     start = F.greatest(F.lit(0), hit - margin)
     piece = F.substring(text, start + 1, hit + len(needle) + margin - start)
-    return F.left(F.translate(piece, "\t\r\n", "   "), F.lit(limit))
+    return F.translate(piece, "\t\r\n", "   ")

@@ -1,4 +1,4 @@
-"""Archiving whole hours: choose, write, verify, then drop the source."""
+"""Archiving hours: choose, add to the archive, verify, then drop what was read."""
 
 from __future__ import annotations
 
@@ -7,10 +7,15 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codec
 from ..functions import hours as H
+from ..functions import variants as V
+from ..schema import LOG_SCHEMA
 from ..sources.dataset import as_lines
-from ..sources.log_table import drop_hours, replace_hours
-from .sizes import small_side
+from ..sources.log_table import by_hour, delete_files, drop_folder, hour_files, read_log, read_or_empty
+from .cleaning import clean_dataset
+from .decoding import compute_once
+from .rules import kept_row
 
 
 def targets_before(windows: DataFrame, before: str) -> DataFrame:
@@ -20,7 +25,7 @@ def targets_before(windows: DataFrame, before: str) -> DataFrame:
 
 def targets_pending(windows: DataFrame, archives: DataFrame, limit: int | None = None) -> DataFrame:
     """Hours without an archive, oldest first; ``limit=1`` takes the oldest only."""
-    left = windows.join(small_side(archives.select("hour_key").distinct()), "hour_key", "left_anti").orderBy("hour_key")
+    left = windows.join(archives.select("hour_key"), "hour_key", "left_anti").orderBy("hour_key")
     return left if limit is None else left.limit(limit)
 
 
@@ -58,14 +63,18 @@ def checksums(lines: DataFrame) -> DataFrame:
     return lines.groupBy("hour_key").agg(F.count(F.lit(1)).alias("records"), _checksum().alias("checksum"))
 
 
-def _write_archive(lines: DataFrame, path: str) -> None:
-    replace_hours(lines, compression="zstd", **{"parquet.compression.codec.zstd.level": "19"}).parquet(path)
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return read_or_empty(spark, path, "seq_id BIGINT, value STRING, hour_key STRING")
 
 
 def verify(source: DataFrame, archived: DataFrame) -> DataFrame:
-    """Per hour of the source: does the re-read archive have the same records?"""
+    """Per hour of the source: does the re-read archive have the same records?
+
+    The archive may hold more records of the hour, from earlier runs; they are not looked at.
+    """
     want = checksums(source)
-    got = checksums(archived).select(
+    ids = source.select("hour_key", "seq_id").distinct()
+    got = checksums(archived.join(ids, ["hour_key", "seq_id"], "left_semi")).select(
         "hour_key", F.col("records").alias("archived_records"), F.col("checksum").alias("archived_checksum")
     )
     same = (F.col("records") == F.col("archived_records")) & (F.col("checksum") == F.col("archived_checksum"))
@@ -75,33 +84,62 @@ def verify(source: DataFrame, archived: DataFrame) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("seq_id BIGINT, value STRING, hour_key STRING").parquet(path)
+def unreadable(log: DataFrame) -> DataFrame:
+    """Rows that pass the row rules but whose body is no JSON object (too large or malformed ones too)."""
+    body = F.when(F.octet_length("body") > 0, codec.decode_body(F.col("body")))
+    rows = log.where(kept_row() & (F.octet_length("body") > 0))
+    read = compute_once(rows, F.struct(V.parse_object(body).isNull().alias("bad")), "_r").where("_r.bad")
+    return read.drop("_r")
+
+
+def _add(rows: DataFrame, path: str, schema: str, **options: str) -> None:
+    """Add rows to a table by hour, but for ids that an earlier run has stored there."""
+    there = read_or_empty(rows.sparkSession, path, schema).select("hour_key", "seq_id")
+    fresh = rows.join(there, ["hour_key", "seq_id"], "left_anti")
+    by_hour(fresh).write.mode("append").partitionBy("hour_key").options(**options).parquet(path)
 
 
 def archive_hours(
-    spark: SparkSession, log_path: str, records: DataFrame, archive_path: str, staging_path: str,
-    keep_source: bool = False,
+    spark: SparkSession, log: DataFrame, archive_path: str, staging_path: str, keep_source: bool = False,
+    hours: DataFrame | None = None, rejects_path: str | None = None, **options,
 ) -> DataFrame:
-    """Archive the hours of ``records`` and drop them from the log.
+    """Clean ``hours`` (all by default) of ``log``, add them to the archive, check, drop the source.
+
+    ``log`` is a scan of a stored log, with filters at most.
+
+    Nothing is replaced and nothing unseen is deleted:
 
-    Give a fresh ``staging_path``: the records are staged there first, so the archive is checked against the very
-    rows it was written from. An hour that fails the check loses its archive
-    and keeps its source; the other hours go on.
+    * the frame's files are listed before anything is read, and only these files are deleted; rows that
+      land meanwhile are in other files;
+    * an hour that has an archive already gets further files beside the old ones; records stored by an
+      earlier run, also by one that broke off, are not stored again;
+    * rows whose body cannot be read go to the reject table (``<archive>-rejects``) before their hour goes;
+    * an hour that fails the check keeps its source. Its archive keeps what was there before.
+
+    The report has one row an hour: records, archived_records, verified, unreadable. Staged records are removed.
     """
-    replace_hours(as_lines(records), compression="zstd").parquet(staging_path)
-    staged = read_lines(spark, staging_path)
-    _write_archive(staged, archive_path)
-    report_path = f"{staging_path}-report"
-    archived = read_lines(spark, archive_path).join(
-        small_side(staged.select("hour_key").distinct()), "hour_key", "left_semi"
-    )
-    verify(staged, archived).write.mode("overwrite").parquet(report_path)
-    report = spark.read.parquet(report_path)
-    # one short row per hour; streamed to the driver, never held as a whole
-    for row in report.toLocalIterator():
-        if not row.verified:
-            drop_hours(spark, archive_path, [row.hour_key])
-        elif not keep_source:
-            drop_hours(spark, log_path, [row.hour_key])
+    rejects_path = rejects_path or f"{archive_path}-rejects"
+    wanted = lambda rows: rows if hours is None else rows.join(hours.select("hour_key"), "hour_key", "left_semi")
+    wanted(hour_files(log)).write.parquet(f"{staging_path}/files")
+    log = wanted(log)
+    as_lines(clean_dataset(log, **options)).write.partitionBy("hour_key").option("compression", "zstd").parquet(f"{staging_path}/records")
+    unreadable(log).write.partitionBy("hour_key").parquet(f"{staging_path}/rejects")
+    staged = read_lines(spark, f"{staging_path}/records")
+    bad = read_log(spark, f"{staging_path}/rejects")
+    hour_files(read_lines(spark, archive_path)).write.parquet(f"{staging_path}/before")
+    _add(staged, archive_path, "seq_id BIGINT, value STRING, hour_key STRING", compression="zstd", **{"parquet.compression.codec.zstd.level": "19"})
+    _add(bad, rejects_path, LOG_SCHEMA, compression="zstd")
+    counted = bad.groupBy("hour_key").agg(F.count(F.lit(1)).alias("unreadable"))
+    report = verify(staged, read_lines(spark, archive_path)).join(counted, "hour_key", "left")
+    report.withColumn("unreadable", F.coalesce("unreadable", F.lit(0))).write.parquet(f"{staging_path}-report")
+    report = spark.read.parquet(f"{staging_path}-report")
+    files = spark.read.parquet(f"{staging_path}/files")
+    before = spark.read.parquet(f"{staging_path}/before")
+    failed = hour_files(read_lines(spark, archive_path)).join(report.where("NOT verified"), "hour_key", "left_semi")
+    # file names are streamed to the driver, never held as a whole
+    delete_files(spark, (row.file for row in failed.join(before, ["hour_key", "file"], "left_anti").toLocalIterator()))
+    if not keep_source:
+        done = files.join(report.where("verified"), "hour_key", "left_semi")
+        delete_files(spark, (row.file for row in done.toLocalIterator()))
+    drop_folder(spark, staging_path)
     return report

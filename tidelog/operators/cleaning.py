@@ -120,6 +120,24 @@ def clean_dataset(
     return kept.select("hour_key", "seq_id", "request", "response", "metadata")
 
 
+def without_copies(records: DataFrame, scope: str = "hour", min_output_len: int = HARD_MINIMUM) -> DataFrame:
+    """``clean_dataset`` for landed records: the ids to leave out come from narrow columns.
+
+    Requests with copies, and first copies that are too short, are few; the payloads are neither sorted
+    nor shuffled unless the list of ids is too long to be broadcast.
+    """
+    if scope not in ("hour", "global"):
+        raise ValueError(f"unknown scope {scope!r}")
+    keys = ["hour_key", "dedup_key"] if scope == "hour" else ["dedup_key"]
+    narrow = records.select("hour_key", "seq_id", "dedup_key", "out_len")
+    several = narrow.groupBy(*keys).agg(F.min("seq_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    copies = narrow.join(several, keys).where(F.col("seq_id") != F.col("_first")).select("hour_key", "seq_id")
+    kept = records.join(copies, ["hour_key", "seq_id"], "left_anti")
+    if min_output_len > HARD_MINIMUM:
+        kept = kept.where(F.col("out_len") >= min_output_len)
+    return kept.select("hour_key", "seq_id", "request", "response", "metadata")
+
+
 def clean_stats(log: DataFrame, min_output_len: int = HARD_MINIMUM, **options) -> DataFrame:
     """Per hour: total, deduped, short_output, kept.
 
@@ -127,10 +145,10 @@ def clean_stats(log: DataFrame, min_output_len: int = HARD_MINIMUM, **options) -
     are partial sums, so only (hour, hash) pairs are shuffled.
     """
     records = clean_records(log, **options).select("hour_key", "seq_id", "dedup_key", "out_len")
-    return _stats_of(records, min_output_len)
+    return stats_of(records, min_output_len)
 
 
-def _stats_of(records: DataFrame, min_output_len: int) -> DataFrame:
+def stats_of(records: DataFrame, min_output_len: int) -> DataFrame:
     per_request = records.groupBy("hour_key", "dedup_key").agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by(F.col("out_len") >= min_output_len, "seq_id").alias("long_enough"),

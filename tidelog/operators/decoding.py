@@ -47,12 +47,12 @@ def with_reply(decoded: DataFrame, **options) -> DataFrame:
 
 
 def with_shown_reply(decoded: DataFrame, **options) -> DataFrame:
-    """As ``with_reply``, but rows outside the messages path show the first 1000
-    characters of what came back, and rows without a response an empty text."""
+    """As ``with_reply``, but rows outside the messages path show what came back
+    as it is, and rows without a response an empty text."""
     text = F.col("response_text")
     chat = (F.col("method") == "POST") & F.contains("path", F.lit(MESSAGES_PATH)) & (text != "")
     raw = F.struct(
-        F.left(text, F.lit(1000)).alias("text"), F.lit("").alias("thinking"), F.lit(False).alias("is_streaming"),
+        text.alias("text"), F.lit("").alias("thinking"), F.lit(False).alias("is_streaming"),
         F.lit(None).cast("map<string,variant>").alias("usage"), F.lit(None).cast("string").alias("stop_reason"),
         F.array().alias("tool_calls"),
     ).cast(R.REPLY_TYPE)

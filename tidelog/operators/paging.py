@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..functions import variants as V
 
-MAX_PAGE = 200
 
-
-def newest_first(df: DataFrame, page: int, limit: int, max_limit: int = MAX_PAGE) -> DataFrame:
+def newest_first(df: DataFrame, page: int, limit: int) -> DataFrame:
     """One page; ties in time are broken by id so pages never overlap."""
-    limit = min(limit, max_limit)
+    if page < 1 or limit < 1:
+        raise ValueError("page and limit start at 1")
     return df.orderBy(F.desc("ts"), F.desc("seq_id")).offset((page - 1) * limit).limit(limit)
 
 
@@ -32,11 +31,10 @@ def request_page(
     Bodies are decoded after the limit, so only the rows of the page travel to
     Python. The total is a scalar subquery over two narrow columns.
     """
-    if model:
+    if model is not None:
         log = log.where(F.col("model") == model)
-    if status:
+    if status is not None:
         log = log.where(F.col("status") == status)
-    limit = min(limit, MAX_PAGE)
     total = log.agg(F.count(F.lit(1))).scalar()
     rows = newest_first(log, page, limit)
     return rows.withColumn("_body", codec.decode_lenient(F.col("body"))).select(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import variants as V
 from ..schema import MESSAGES_PATH
-from .sizes import small_side
 
 
 def skip_reason() -> Column:
@@ -52,13 +51,13 @@ def model_of_body(body: Column) -> Column:
 def resolve_route(log: DataFrame, routes: DataFrame, default_url: str) -> DataFrame:
     """Add the upstream of each row: ``url``, ``patch_sse`` and ``target``.
 
-    Routes come from a configuration file; their number is checked before the
-    broadcast. An empty model never matches.
+    A plain join: Spark broadcasts the routes if their bytes allow. An empty
+    model never matches.
     """
     usable = routes.where("model <> ''").select("model", F.col("url").alias("_url"), F.col("patch_sse").alias("_patch"))
     url = F.coalesce("_url", F.lit(default_url))
     return (
-        log.join(small_side(usable), "model", "left")
+        log.join(usable, "model", "left")
         .withColumn("url", url)
         .withColumn("patch_sse", F.coalesce("_patch", F.lit(False)))
         .withColumn("target", F.concat(F.rtrim("url", F.lit("/")), "path"))

@@ -1,33 +1,36 @@
 """Reading slices of the log.
 
-Predicates stay on the raw ``hour_key`` and ``ts`` columns: the first prunes
-partitions, the second skips Parquet row groups.
+An hour or a day is what ``hour_key`` says, in the zone of the capture; the
+predicate prunes partitions. Times compare ``ts``, or ``ts_epoch`` where a row
+was landed without ``ts``.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hours as H
 
+# the zone farthest west of UTC
+WIDEST_OFFSET = timedelta(hours=12)
 
 def in_hour(key: str) -> Column:
-    start, end = H.span_of(*key.split("_"))
-    return (F.col("hour_key") == key) & (F.col("ts") >= H.ntz(start)) & (F.col("ts") < H.ntz(end))
+    return F.col("hour_key") == key
 
 
 def on_date(date: str) -> Column:
-    start, end = H.span_of(date)
-    return F.startswith("hour_key", F.lit(f"{date}_")) & (F.col("ts") >= H.ntz(start)) & (F.col("ts") < H.ntz(end))
+    return F.startswith("hour_key", F.lit(f"{date}_"))
 
 
 def last_day(as_of: datetime) -> Column:
-    """The 24 hours before ``as_of``, bounded by hour so that partitions prune."""
+    """The 24 hours before ``as_of`` (UTC). Partitions prune by a bound that holds in every zone."""
     cutoff = as_of - timedelta(days=1)
-    return (F.col("ts") >= H.ntz(cutoff)) & (F.col("hour_key") >= cutoff.strftime("%Y-%m-%d_%H"))
+    without = F.col("ts").isNull() & (F.col("ts_epoch") >= cutoff.replace(tzinfo=timezone.utc).timestamp())
+    earliest = (cutoff - WIDEST_OFFSET).strftime("%Y-%m-%d_%H")
+    return ((F.col("ts") >= H.ntz(cutoff)) | without) & (F.col("hour_key") >= earliest)
 
 
 def scan_window(log: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,7 @@ from ..functions.text import find_ignore_case, snippet
 from .decoding import compute_once
 from .paging import newest_first
 from .rules import searchable
-
-MAX_HITS = 100
+from .scans import time_filter
 
 
 def search(decoded: DataFrame, query: str, scope: str = "all") -> DataFrame:
@@ -44,7 +45,15 @@ def search(decoded: DataFrame, query: str, scope: str = "all") -> DataFrame:
     )
 
 
+def search_within(
+    decoded: DataFrame, query: str, scope: str = "all", hour_key: str | None = None, date: str | None = None,
+    as_of: datetime | None = None,
+) -> DataFrame:
+    """Hits of an hour, else of a day, else of the 24 hours before ``as_of``. The time prunes partitions first."""
+    return search(time_filter(decoded, hour_key, date, as_of), query, scope)
+
+
 def search_page(hits: DataFrame, page: int = 1, limit: int = 30) -> DataFrame:
     """A page of hits, newest first; the total counts all of them."""
     total = hits.agg(F.count(F.lit(1))).scalar()
-    return newest_first(hits, page, limit, MAX_HITS).withColumn("total", total)
+    return newest_first(hits, page, limit).withColumn("total", total)

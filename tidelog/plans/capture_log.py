@@ -26,6 +26,8 @@ from ..sources.log_table import read_log, write_log
 
 RUN = 8
 BLOCK_STRIDE = 1 << 40
+# Copies of a request: 1 whole, 2 whole again, before them 0 with a short reply, behind them 3 with an empty one.
+_COPIES = "k = 1 OR (k = 0 AND {c} % 10 = 0) OR (k = 2 AND {c} % 5 = 0) OR (k = 3 AND {c} % 24 = 23)"
 
 _LOOKUP = (
     '{"name":"lookup","description":"Find things","input_schema":'
@@ -225,21 +227,20 @@ def spark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(_spark_j, _spark_struct, _spark_list, _spark_rest)
     frames = f"array_join(transform(events, e -> {_FRAME}), '')"
     return (
-        runs.selectExpr("conv_id AS c", "block", "turns", "explode(CASE WHEN conv_id % 5 = 0 THEN array(0, 1) ELSE array(0) END) AS copy")
+        runs.selectExpr("conv_id AS c", "block", "turns", f"explode(filter(array(0, 1, 2, 3), k -> {_COPIES.replace('{c}', 'conv_id')})) AS copy")
         .selectExpr("*", "element_at(turns, -1) AS final")
         .selectExpr("*", "final.role = 'assistant' AS replied")
         .selectExpr("*", "CASE WHEN replied THEN slice(turns, 1, size(turns) - 1) ELSE turns END AS asked")
         .selectExpr(
             "*",
-            """CASE WHEN NOT replied THEN NULL WHEN c % 24 = 23 THEN '' WHEN copy = 0 AND c % 10 = 0 THEN left(final.text, 5)
-               ELSE final.text END AS reply""",
+            "CASE WHEN NOT replied THEN NULL WHEN copy = 3 THEN '' WHEN copy = 0 THEN left(final.text, 5) ELSE final.text END AS reply",
             "coalesce(try_element_at(asked, -1).text, '') AS last_ask",
             "aggregate(asked, 0, (n, t) -> n + length(t.text)) AS asked_len",
             f"concat('[', array_join(transform(asked, t -> {_expand(_MESSAGE, _spark_j)}), ','), ']') AS messages_json",
         )
         .selectExpr(
             "*",
-            "CASE WHEN replied AND c % 2 = 1 AND c % 24 <> 23 THEN concat('Consider: ', left(last_ask, 60)) ELSE '' END AS thought",
+            "CASE WHEN replied AND c % 2 = 1 AND copy <> 3 THEN concat('Consider: ', left(last_ask, 60)) ELSE '' END AS thought",
             f"{parts['start_text']} AS start_text", f"{parts['rest']} AS rest",
             f"{parts['args2']} AS args2", f"{parts['args3']} AS args3",
         )
@@ -250,7 +251,7 @@ def spark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .selectExpr("*", f"{_STREAM_TEXT.replace('{frames}', frames)} AS stream_text")
         .selectExpr(
-            f"block * {BLOCK_STRIDE} + c * 2 + copy AS seq_id",
+            f"block * {BLOCK_STRIDE} + c * 4 + copy AS seq_id",
             "timestamp_ntz'2024-03-01 00:00:00' + make_dt_interval(CAST(c div 86400 AS INT), CAST(c % 24 AS INT), 0, "
             "(c div 24) % 3600 + copy * 0.5) AS ts",
             "concat('m', c % 7) AS model",
@@ -348,14 +349,13 @@ WITH c0 AS (
     FROM conversations GROUP BY ALL
 ),
 c1 AS (
-    SELECT *, unnest(CASE WHEN c % 5 = 0 THEN [0, 1] ELSE [0] END) AS copy, turns[-1] AS final FROM c0
+    SELECT *, unnest(list_filter([0, 1, 2, 3], lambda k: {_COPIES.replace('{c}', 'c')})) AS copy, turns[-1] AS final FROM c0
 ),
 c2 AS (SELECT *, final.role = 'assistant' AS replied FROM c1),
 c3 AS (SELECT *, CASE WHEN replied THEN turns[:-2] ELSE turns END AS asked FROM c2),
 c4 AS (
     SELECT *,
-        CASE WHEN NOT replied THEN NULL WHEN c % 24 = 23 THEN '' WHEN copy = 0 AND c % 10 = 0 THEN left(final.text, 5)
-            ELSE final.text END AS reply,
+        CASE WHEN NOT replied THEN NULL WHEN copy = 3 THEN '' WHEN copy = 0 THEN left(final.text, 5) ELSE final.text END AS reply,
         coalesce(asked[-1].text, '') AS last_ask,
         CAST(coalesce(list_sum(list_transform(asked, lambda t: length(t.text))), 0) AS BIGINT) AS asked_len,
         '[' || coalesce(array_to_string(list_transform(asked, lambda t: {_expand(_MESSAGE, _duck_j)}), ','), '') || ']' AS messages_json
@@ -363,7 +363,7 @@ c4 AS (
 ),
 c5 AS (
     SELECT *,
-        CASE WHEN replied AND c % 2 = 1 AND c % 24 <> 23 THEN 'Consider: ' || left(last_ask, 60) ELSE '' END AS thought,
+        CASE WHEN replied AND c % 2 = 1 AND copy <> 3 THEN 'Consider: ' || left(last_ask, 60) ELSE '' END AS thought,
         {_DUCK_PARTS['start_text']} AS start_text, {_DUCK_PARTS['rest']} AS rest,
         {_DUCK_PARTS['args2']} AS args2, {_DUCK_PARTS['args3']} AS args3
     FROM c4
@@ -378,7 +378,7 @@ c7 AS (
 ),
 c8 AS (
     SELECT *,
-        CAST(block * {BLOCK_STRIDE} + c * 2 + copy AS BIGINT) AS seq_id,
+        CAST(block * {BLOCK_STRIDE} + c * 4 + copy AS BIGINT) AS seq_id,
         TIMESTAMP '2024-03-01 00:00:00' + to_days(CAST(c // 86400 AS INT)) + to_hours(c % 24)
             + to_milliseconds((c // 24) % 3600 * 1000 + copy * 500) AS ts,
         'm' || (c % 7) AS model,
@@ -391,7 +391,7 @@ c8 AS (
 c AS (
     SELECT *, strftime(ts, '%Y-%m-%d_%H') AS hour_key, events IS NOT NULL AS streamed,
         replied AND c % 9 <> 6 AS readable,
-        CASE WHEN replied AND c % 9 = 6 THEN left('upstream said: ' || reply, 500) ELSE reply END AS shown,
+        CASE WHEN replied AND c % 9 = 6 THEN 'upstream said: ' || reply ELSE reply END AS shown,
         CASE WHEN replied AND c % 9 = 6 THEN '' ELSE thought END AS thinking_shown,
         CASE WHEN c % 4 = 0 AND streamed THEN 'tool_use' ELSE 'end_turn' END AS first_stop,
         CASE WHEN streamed AND c % 7 = 5 THEN NULL WHEN c % 4 = 0 AND streamed THEN 'tool_use' ELSE 'end_turn' END AS stop_reason,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec
@@ -10,8 +12,10 @@ from ..functions import events as EV
 from ..functions import replies as R
 from ..functions import variants as V
 from ..operators import archive, cleaning, decoding, paging, rules, turns
+from ..schema import LOG_SCHEMA
 from ..session import work_dir
-from ..sources import dataset
+from ..sources import dataset, log_table
+from . import jobs
 from .capture_log import C, capture_log, decoded_log
 from .event_log import E, event_log
 from .event_queries import route_table
@@ -264,12 +268,12 @@ def clean_min_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_RECORDS} SELECT 'hour' AS scope, seq_id FROM records WHERE nth = 1
     UNION ALL SELECT 'global', seq_id FROM records WHERE nth_global = 1""")
 def dedup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # one pass: the payloads are decoded once, both scopes come from the hash and two narrow columns
     records = cleaning.clean_records(capture_log(spark, sf_dir)).select("hour_key", "seq_id", "dedup_key")
-
-    def kept(scope: str) -> DataFrame:
-        return cleaning.dedup(records, scope).select(F.lit(scope).alias("scope"), "seq_id")
-
-    return kept("hour").union(kept("global"))
+    first = records.groupBy("hour_key", "dedup_key").agg(F.min("seq_id").alias("seq_id"))
+    over_all = F.row_number().over(Window.partitionBy("dedup_key").orderBy("seq_id")) == 1
+    scopes = F.when(F.col("_all"), F.array(F.lit("hour"), F.lit("global"))).otherwise(F.array(F.lit("hour")))
+    return first.withColumn("_all", over_all).select(F.explode(scopes).alias("scope"), "seq_id")
 
 
 @query(f"""{_RECORDS} SELECT hour_key, count(*) AS records_total, count(*) FILTER (nth > 1) AS records_deduped,
@@ -307,8 +311,29 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM records WHERE nth = 1 GROUP BY 1""")
 def archive_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark, "archive")
-    records = cleaning.clean_dataset(capture_log(spark, sf_dir))
-    return archive.archive_hours(spark, f"{root}/log", records, f"{root}/archives", f"{root}/cleaned", keep_source=True)
+    report = archive.archive_hours(spark, capture_log(spark, sf_dir), f"{root}/archives", f"{root}/cleaned", keep_source=True)
+    return report.drop("unreadable")
+
+
+# An archived hour gets late rows: they are added, nothing is replaced, and the log is empty afterwards.
+# Copies are found within a run. An hour without records stays in the log.
+@query(f"""{_RECORDS}, runs AS (
+        SELECT *, row_number() OVER (PARTITION BY seq_id % 3 = 0, hour_key, model, messages_json ORDER BY seq_id) AS nth_run FROM records),
+    k AS (SELECT hour_key, bool_or(seq_id % 3 = 0) AS has_late, bool_or(seq_id % 3 <> 0) AS has_early FROM records GROUP BY 1)
+    SELECT 'archive' AS part, hour_key, seq_id FROM runs WHERE nth_run = 1
+    UNION ALL SELECT 'log', c.hour_key, c.seq_id FROM c LEFT JOIN k ON c.hour_key = k.hour_key
+    WHERE NOT coalesce(has_late, false) AND (c.seq_id % 3 = 0 OR NOT coalesce(has_early, false))""")
+def archive_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = work_dir(spark, "late-archive")
+    rows = capture_log(spark, sf_dir)
+    late = F.col("seq_id") % 3 == 0
+    for part in (rows.where(~late), rows.where(late)):
+        log_table.write_log(part, f"{root}/log")
+        now = datetime(2030, 1, 1)
+        jobs.archive_pending(spark, f"{root}/log", f"{root}/archives", now, everything=True)
+    archived = archive.read_lines(spark, f"{root}/archives").select(F.lit("archive").alias("part"), "hour_key", "seq_id")
+    left = log_table.read_or_empty(spark, f"{root}/log", LOG_SCHEMA).select(F.lit("log").alias("part"), "hour_key", "seq_id")
+    return archived.union(left)
 
 
 @query(f"""{C} SELECT seq_id, concat_ws(',', 'model', 'messages', CASE WHEN c % 3 <> 0 THEN 'system' END, 'max_tokens',
@@ -337,7 +362,7 @@ def request_page_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         duration_ms, strlen(body_text) AS body_len, CAST(NULL AS VARCHAR) AS error,
         CAST(len(list_filter(asked, lambda t: t.role <> 'system')) AS BIGINT) AS messages,
         CAST(CASE c % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 END AS BIGINT) AS tools,
-        CASE WHEN NOT replied THEN '' WHEN path = '/v1/messages' THEN shown ELSE left(response_text, 1000) END AS text,
+        CASE WHEN NOT replied THEN '' WHEN path = '/v1/messages' THEN shown ELSE response_text END AS text,
         CASE WHEN replied AND path = '/v1/messages' THEN thinking_shown ELSE '' END AS thinking,
         CASE WHEN readable AND path = '/v1/messages' THEN stop_reason END AS stop_reason,
         md5(coalesce(response_text, '')) AS raw_md5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,8 +184,8 @@ def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hits(source: str, needle: str, scope: str) -> str:
     """Oracle: hits in an expression over ``c`` with the text around the first one."""
     return f"""SELECT seq_id, ts, model, '{scope}' AS scope,
-        left(translate(substring(x, greatest(0, i - 81) + 1, i - 1 + {len(needle)} + 80 - greatest(0, i - 81)),
-            chr(9) || chr(13) || chr(10), '   '), 300) AS snippet
+        translate(substring(x, greatest(0, i - 81) + 1, i - 1 + {len(needle)} + 80 - greatest(0, i - 81)),
+            chr(9) || chr(13) || chr(10), '   ') AS snippet, hour_key
     FROM (SELECT *, instr(lower(x), lower('{needle}')) AS i FROM (SELECT *, {source} AS x FROM c)) WHERE i > 0"""
 
 
@@ -215,6 +217,25 @@ def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WINDOW = "2024-03-01_07"
+
+
+@query(f"""{C}, hits AS ({_hits('body_text', 'on', 'body')}
+        UNION ALL SELECT * FROM ({_hits(_REPLY, 'on', 'response')}) WHERE seq_id NOT IN (
+            SELECT seq_id FROM ({_hits('body_text', 'on', 'body')})))
+    SELECT kind, seq_id, scope, snippet FROM hits, (VALUES ('hour'), ('date'), ('last day')) k(kind)
+    WHERE CASE kind WHEN 'hour' THEN hour_key = '{_WINDOW}' WHEN 'date' THEN hour_key[:10] = '{_WINDOW[:10]}'
+        ELSE ts >= TIMESTAMP '2024-03-01 12:30:00' END""")
+def search_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = decoded_log(spark, sf_dir)
+
+    def within(kind: str, **time) -> DataFrame:
+        return search.search_within(log, "on", **time).select(F.lit(kind).alias("kind"), "seq_id", "scope", "snippet")
+
+    day, now = _WINDOW[:10], datetime(2024, 3, 2, 12, 30)
+    return within("hour", hour_key=_WINDOW).union(within("date", date=day)).union(within("last day", as_of=now))
+
+
 # ------------------------------------------------------------------ documents and tokens
 
 @query("SELECT md5(text) AS text_md5, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -223,7 +244,7 @@ def dedup_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A conversation (in runs of RUN turns) as token ids: per turn a prefix, the role,
-# its length, a thinking mark for the assistant, an end mark; some end in a bare prefix.
+# an id for each word, a thinking mark for the assistant, an end mark; some end in a bare prefix.
 _ROLE_IDS = {"user": 846, "assistant": 74455}
 _SYSTEM_ID = 8678
 _BLOCK = 1 << 40
@@ -234,7 +255,8 @@ def token_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(role == "user", _ROLE_IDS["user"]).when(role == "assistant", _ROLE_IDS["assistant"]).otherwise(_SYSTEM_ID)
 
     def ids(t: Column) -> Column:
-        head = F.array(F.lit(tokens.TURN_PREFIX), role_id(t["role"]), F.length(t["text"]))
+        words = F.transform(F.filter(F.split(t["text"], " "), lambda w: w != ""), lambda w: F.ascii(w) * 31 + F.length(w) * 7)
+        head = F.concat(F.array(F.lit(tokens.TURN_PREFIX), role_id(t["role"])), words)
         think = F.when(t["role"] == "assistant", F.array(F.lit(tokens.THINK))).otherwise(F.array().cast("array<int>"))
         call = F.when(t["turn"] % 4 == 3, F.array(F.lit(tokens.TOOL_CALL))).otherwise(F.array().cast("array<int>"))
         return F.concat(head, think, call, F.array(F.lit(tokens.END_OF_TURN)))
@@ -255,8 +277,8 @@ def token_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOKENS = f"""WITH r AS (
     SELECT conv_id, turn // {RUN} AS block, turn, [{tokens.TURN_PREFIX},
-        CASE role WHEN 'user' THEN {_ROLE_IDS['user']} WHEN 'assistant' THEN {_ROLE_IDS['assistant']} ELSE {_SYSTEM_ID} END,
-        length(text)] || CASE WHEN role = 'assistant' THEN [{tokens.THINK}] ELSE [] END
+        CASE role WHEN 'user' THEN {_ROLE_IDS['user']} WHEN 'assistant' THEN {_ROLE_IDS['assistant']} ELSE {_SYSTEM_ID} END] || list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''),
+            lambda w: CAST(unicode(w) * 31 + length(w) * 7 AS INTEGER)) || CASE WHEN role = 'assistant' THEN [{tokens.THINK}] ELSE [] END
         || CASE WHEN turn % 4 = 3 THEN [{tokens.TOOL_CALL}] ELSE [] END || [{tokens.END_OF_TURN}] AS ids FROM conversations
 ), k AS (
     SELECT CAST(block * {_BLOCK} + conv_id AS BIGINT) AS seq_id, 'm' || (conv_id % 7) AS model,

@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codec
 from ..functions import hours as H
 from ..operators import archive, merge, paging, reports, rules, scans
 from ..operators.numbering import number_rows
@@ -99,6 +100,28 @@ def hour_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("seq_id", H.hour_key(started).alias("hour_key"))
 
 
+ZONES = {"-08:00": -480, "+05:30": 330}
+
+
+# Captures know an epoch and the wall clock of their zone; bodies are landed in stored form.
+@query(" UNION ALL ".join(
+    f"""SELECT '{zone}' AS zone, event_id + 1 AS seq_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, props AS body,
+        strftime(ts + to_minutes({minutes}), '%Y-%m-%d_%H') AS hour_key FROM events""" for zone, minutes in ZONES.items()
+))
+def land_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = event_log(spark, sf_dir).select("ts_epoch", "seq_id", "method", "path", F.decode("body", "utf-8").alias("body"))
+
+    def landed(zone: str) -> DataFrame:
+        rows = log_table.land_entries(captures, zone)
+        return rows.select(
+            F.lit(zone).alias("zone"), "seq_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
+            codec.decode_body(F.col("body")).alias("body"), "hour_key",
+        )
+
+    west, east = map(landed, ZONES)
+    return west.union(east)
+
+
 # ------------------------------------------------------------------ rules
 
 @query(f"""{E} SELECT CASE WHEN status IS DISTINCT FROM 200 THEN 'status' WHEN error IS NOT NULL THEN 'error'

@@ -5,14 +5,14 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import hours as H
 from ..operators import archive, cleaning, scans
-from ..operators.sizes import small_side
+from ..schema import LOG_SCHEMA
 from ..session import configure, work_dir
 from ..sources import dataset, log_table
 from ..streaming import late
-from ..streaming.state import read_or_empty
 
 HOURS = "hour_key STRING"
 
@@ -23,7 +23,9 @@ def clean(
 ) -> DataFrame:
     """Write the dataset of one hour, of the first hour of a day, or of all hours.
 
-    Returns the statistics per hour; a day without rows gives none.
+    The log is decoded once, into a staging table; the copies to leave out are found on its narrow
+    columns. Every hour that was read is replaced, also one that has no records any more. Returns the
+    stored statistics per hour; a day without rows gives none.
     """
     configure(spark)
     log = log_table.read_log(spark, log_path)
@@ -32,15 +34,26 @@ def clean(
         log = log if hour_key else log.where("false")
     if hour_key is not None:
         log = log.where(scans.in_hour(hour_key))
-    records = cleaning.clean_dataset(log, min_output_len, **options)
-    dataset.write_dataset(records, dataset_path)
-    return cleaning.clean_stats(log, min_output_len, **options)
+    staging = work_dir(spark, "clean")
+    scope = options.pop("scope", "hour")
+    records = cleaning.clean_records(log, **options)
+    records.write.parquet(f"{staging}/records")
+    records = spark.read.schema(records.schema).parquet(f"{staging}/records")
+    dataset.write_dataset(cleaning.without_copies(records, scope, min_output_len), dataset_path)
+    stats = cleaning.stats_of(records, min_output_len)
+    stats.write.parquet(f"{staging}-stats")
+    stats = spark.read.schema(stats.schema).parquet(f"{staging}-stats").orderBy("hour_key")
+    empty = scans.list_windows(log).join(stats.where("records_kept > 0"), "hour_key", "left_anti")
+    log_table.drop_hours(spark, dataset_path, (row.hour_key for row in empty.toLocalIterator()))
+    log_table.drop_folder(spark, staging)
+    return stats
 
 
 def archive_pending(
     spark: SparkSession, log_path: str, archive_path: str, now: datetime, allowed: timedelta = late.ALLOWED,
     day: str | None = None, hour: str | None = None, before: str | None = None, everything: bool = False,
-    limit: int | None = None, dry_run: bool = False, keep_source: bool = False, retain_days: int = 0, **options,
+    limit: int | None = None, dry_run: bool = False, keep_source: bool = False, retain_days: int = 0, zone: str = "UTC",
+    **options,
 ) -> DataFrame:
     """One run of the periodic archive job.
 
@@ -50,21 +63,33 @@ def archive_pending(
     """
     configure(spark)
     log = log_table.read_log(spark, log_path)
-    archives = read_or_empty(spark, archive_path, HOURS).select("hour_key").distinct()
-    windows = late.closed_hours(scans.list_windows(log), H.ntz(now), allowed)
+    archives = log_table.read_or_empty(spark, archive_path, HOURS).select("hour_key").distinct()
+    windows = late.closed_hours(scans.list_windows(log), H.ntz(now), allowed, zone)
     targets = archive.archive_targets(windows, archives, day, hour, before, everything, limit)
     if dry_run:
         return targets
-    wanted = log.join(small_side(targets), "hour_key", "left_semi")
-    records = cleaning.clean_dataset(wanted, **options)
-    report = archive.archive_hours(spark, log_path, records, archive_path, work_dir(spark, "cleaned"), keep_source)
+    # the targets are few narrow rows, one an hour, landed so that their number is known
+    chosen = work_dir(spark, "targets")
+    targets.write.parquet(chosen)
+    hours = spark.read.schema(HOURS).parquet(chosen)
+    report = archive.archive_hours(spark, log, archive_path, work_dir(spark, "cleaned"), keep_source, hours, **options)
+    log_table.drop_folder(spark, chosen)
     if retain_days > 0:
         retain(spark, archive_path, now.date(), retain_days)
     return report
 
 
+def archive_late(
+    spark: SparkSession, root: str, archive_path: str, now: datetime, keep_source: bool = False, **options
+) -> DataFrame:
+    """Add the rows of the quarantine that ``start_ingest`` keeps under ``root`` to the archives of their hours."""
+    configure(spark)
+    late_rows = log_table.read_or_empty(spark, f"{root}/late", LOG_SCHEMA).where(F.col("ts") <= H.ntz(now))
+    return archive.archive_hours(spark, late_rows, archive_path, work_dir(spark, "late"), keep_source, **options)
+
+
 def retain(spark: SparkSession, archive_path: str, as_of: date, days: int) -> None:
     """Remove archives older than ``days`` days."""
-    archives = read_or_empty(spark, archive_path, HOURS).select("hour_key").distinct()
+    archives = log_table.read_or_empty(spark, archive_path, HOURS).select("hour_key").distinct()
     old = archive.expired(archives, as_of, days)
     log_table.drop_hours(spark, archive_path, (row.hour_key for row in old.toLocalIterator()))

@@ -10,6 +10,7 @@ LOG_SCHEMA = """
 """
 
 LOG_COLUMNS = [part.split()[0] for part in LOG_SCHEMA.split(",")]
+LOG_TYPES = dict(part.split() for part in LOG_SCHEMA.split(","))
 
 # The log with its payloads decoded and its replies rebuilt.
 DECODED_SCHEMA = """

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators.sizes import small_side
-from ..schema import LOG_SCHEMA
+from ..functions import hours as H
+from ..schema import LOG_COLUMNS, LOG_SCHEMA, LOG_TYPES
 
 
 def by_hour(df: DataFrame) -> DataFrame:
@@ -39,6 +40,25 @@ def read_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFr
     return spark.read.schema(schema).parquet(path)
 
 
+def land_entries(rows: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Captured rows as log rows: ``ts`` (UTC) and ``hour_key`` (the wall clock of the
+    capture's zone) from the epoch, text bodies encoded. Columns a capture lacks are NULL."""
+    started = H.moment(F.col("ts_epoch"))
+    rows = rows.withColumns({"ts": started.cast("timestamp_ntz"), "hour_key": H.local_hour_key(started, zone)})
+    whole = rows.select([F.col(c) if c in rows.columns else F.lit(None).cast(LOG_TYPES[c]).alias(c) for c in LOG_COLUMNS])
+    return encode_entries(whole) if dict(rows.dtypes).get("body") == "string" else whole
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table that may not exist yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def encode_entries(rows: DataFrame) -> DataFrame:
     """Rows with a text ``body`` in stored form: gzip body, NULL for an empty one or no error."""
     return rows.withColumn("body", codec.encode_gzip(F.col("body"))).withColumn(
@@ -48,16 +68,37 @@ def encode_entries(rows: DataFrame) -> DataFrame:
 
 def keep_unarchived(log: DataFrame, archived: DataFrame) -> DataFrame:
     """What is left of the log after the archived hours are dropped, rejected rows included."""
-    return log.join(small_side(archived.select("hour_key").distinct()), "hour_key", "left_anti")
+    return log.join(archived.select("hour_key"), "hour_key", "left_anti")
 
 
-def drop_hours(spark: SparkSession, path: str, hour_keys: Iterable[str]) -> None:
-    """Remove the folders of some hours of a log on storage, also below batch folders."""
+def hour_files(rows: DataFrame) -> DataFrame:
+    """(hour_key, file): the files a frame over a stored table reads. Only their hour column is read.
+
+    A frame lists its files once, when it is made: files that arrive later are not in it.
+    """
+    return rows.select("hour_key", F.input_file_name().alias("file")).distinct()
+
+
+def delete_files(spark: SparkSession, files: Iterable[str]) -> None:
+    """Delete exactly these files (as ``input_file_name`` gives them), and hour folders left empty."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in files:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        storage = path.getFileSystem(conf)
+        storage.delete(path, False)
+        # not recursive: a folder that has got new rows meanwhile stays
+        folder = path.getParent()
+        if folder.getName().startswith("hour_key=") and not storage.listStatus(folder):
+            storage.delete(folder, False)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_hours(spark: SparkSession, path: str, hour_keys: Iterable[str]) -> None:
+    """Remove whole hours of a table on storage."""
     for key in hour_keys:
-        for pattern in (f"{path}/hour_key={key}", f"{path}/batch=*/hour_key={key}"):
-            folder = jvm.org.apache.hadoop.fs.Path(pattern)
-            storage = folder.getFileSystem(conf)
-            for found in storage.globStatus(folder) or []:
-                storage.delete(found.getPath(), True)
+        drop_folder(spark, f"{path}/hour_key={key}")

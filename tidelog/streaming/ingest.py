@@ -10,14 +10,17 @@ batch that is run again after a failure gives the same files.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import first_arrivals, with_bucket
-from ..sources.log_table import by_hour, read_log
-from .state import read_or_empty, write_batch
+from ..sources.log_table import by_hour, read_log, read_or_empty
+from .late import ALLOWED, is_late
+from .state import write_batch
 
 TRIGGER = "2 seconds"
 

@@ -26,30 +26,32 @@ def finished_at() -> Column:
     return F.col("ts") + F.make_dt_interval(secs=(micros / F.lit(1_000_000)).cast("decimal(18,6)"))
 
 
-def closes_at(allowed: timedelta) -> Column:
-    return H.hour_start(F.col("hour_key")) + F.lit(timedelta(hours=1) + allowed)
+def closes_at(allowed: timedelta, zone: str = "UTC") -> Column:
+    return H.hour_end(F.col("hour_key"), zone) + F.lit(allowed)
 
 
-def is_late(allowed: timedelta = ALLOWED) -> Column:
-    return finished_at() > closes_at(allowed)
+def is_late(allowed: timedelta = ALLOWED, zone: str = "UTC") -> Column:
+    """A row without a duration or a start is not known to be late."""
+    return F.coalesce(finished_at() > closes_at(allowed, zone), F.lit(False))
 
 
-def late_rows(log: DataFrame, allowed: timedelta = ALLOWED) -> DataFrame:
-    return log.where(is_late(allowed))
+def late_rows(log: DataFrame, allowed: timedelta = ALLOWED, zone: str = "UTC") -> DataFrame:
+    return log.where(is_late(allowed, zone))
 
 
-def closed_hours(windows: DataFrame, now: Column, allowed: timedelta = ALLOWED) -> DataFrame:
-    """Hours that may be archived."""
-    return windows.where(closes_at(allowed) <= now)
+def closed_hours(windows: DataFrame, now: Column, allowed: timedelta = ALLOWED, zone: str = "UTC") -> DataFrame:
+    """Hours that may be archived; ``now`` is UTC."""
+    return windows.where(closes_at(allowed, zone) <= now)
 
 
 def start_routing(
-    rows: DataFrame, root: str, checkpoint: str, allowed: timedelta = ALLOWED, available_now: bool = False
+    rows: DataFrame, root: str, checkpoint: str, allowed: timedelta = ALLOWED, available_now: bool = False,
+    zone: str = "UTC",
 ) -> StreamingQuery:
     """Send rows to ``late=false`` (the log) or ``late=true`` (the quarantine) in one write."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tagged = batch.withColumn("late", is_late(allowed)).hint("rebalance", "late", "hour_key")
+        tagged = batch.withColumn("late", is_late(allowed, zone)).hint("rebalance", "late", "hour_key")
         write_batch(tagged, root, batch_id, "late", "hour_key")
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
