@@ -30,10 +30,13 @@ class Profile:
     images: bool
     tool_parts: bool
     redacted: bool
+    tool_messages: bool = False
 
 
 VIEWER = Profile("\n\n", False, True, False, True, True)
 CONVERTER = Profile("", True, False, True, False, False)
+# tool calls as fields of the assistant's message, results as messages of their own
+AGENT = Profile("", True, False, True, True, False, tool_messages=True)
 
 PART_TYPE = (
     "STRUCT<type: STRING, text: STRING, url: STRING, id: STRING, name: STRING, "
@@ -42,6 +45,9 @@ PART_TYPE = (
 MESSAGE_TYPE = (
     f"STRUCT<role: STRING, content_text: STRING, content_parts: ARRAY<{PART_TYPE}>, reasoning: STRING>"
 )
+AGENT_MESSAGE_TYPE = (
+    MESSAGE_TYPE[:-1] + ", tool_calls: ARRAY<STRUCT<id: STRING, name: STRING, arguments: STRING>>, tool_call_id: STRING>"
+)
 
 
 def _nothing() -> Column:
@@ -196,6 +202,49 @@ def convert_messages(body: Column, profile: Profile) -> Column:
     return F.coalesce(kept, F.array().cast(f"array<{MESSAGE_TYPE}>"))
 
 
+def _result_text(content: Column) -> Column:
+    """Text of a tool result: a string, the text blocks of an array on lines of their own, else its JSON."""
+
+    def read(result: Column) -> Column:
+        texts = F.filter(F.transform(V.items(result), lambda b: V.text_of(b, "text")), lambda t: t.isNotNull())
+        return F.coalesce(V.plain_string(result), F.when(F.size(texts) > 0, F.array_join(texts, "\n")), content)
+
+    return V.bind(F.try_parse_json(content), read)
+
+
+def _agent_message(role, text, parts, reasoning, calls, call_id) -> Column:
+    return F.struct(
+        role.alias("role"), text.alias("content_text"), parts.alias("content_parts"), reasoning.alias("reasoning"),
+        calls.alias("tool_calls"), call_id.alias("tool_call_id"),
+    ).cast(AGENT_MESSAGE_TYPE)
+
+
+def tool_messages(messages: Column) -> Column:
+    """Messages with tool parts as messages with tool calls: a call moves into ``tool_calls`` of its
+    message, a result becomes a message of role ``tool`` in front of what else its turn says."""
+
+    def split(m: Column) -> Column:
+        parts = F.coalesce(m["content_parts"], F.array().cast(f"array<{PART_TYPE}>"))
+        uses = F.filter(parts, lambda p: p["type"] == "tool_use")
+        results = F.transform(
+            F.filter(parts, lambda p: p["type"] == "tool_result"),
+            lambda p: _agent_message(F.lit("tool"), _result_text(p["content"]), F.lit(None), F.lit(None), F.lit(None), p["tool_use_id"]),
+        )
+        calls = F.transform(uses, lambda p: F.struct(p["id"].alias("id"), p["name"].alias("name"), p["input"].alias("arguments")))
+
+        def own(rest: Column) -> Column:
+            single = (F.size(rest) == 1) & (F.get(rest, 0)["type"] == "text")
+            text = F.coalesce(m["content_text"], F.when(single, F.get(rest, 0)["text"]))
+            several = F.when((F.size(rest) > 0) & ~single, rest)
+            message = _agent_message(m["role"], text, several, m["reasoning"], F.when(F.size(uses) > 0, calls), F.lit(None))
+            empty = (F.size(results) > 0) & text.isNull() & (F.size(rest) == 0) & (F.size(uses) == 0)
+            return F.when(empty, results).otherwise(F.concat(results, F.array(message)))
+
+        return V.bind(F.filter(parts, lambda p: ~p["type"].isin("tool_use", "tool_result")), own)
+
+    return F.flatten(F.transform(messages, split))
+
+
 def with_system(body: Column, profile: Profile) -> Column:
     """System message first, when there is one, then the converted turns."""
 
@@ -206,7 +255,8 @@ def with_system(body: Column, profile: Profile) -> Column:
         ).cast(MESSAGE_TYPE)
         return F.when(text.isNotNull(), F.array(first)).otherwise(F.array().cast(f"array<{MESSAGE_TYPE}>"))
 
-    return F.concat(V.bind(merge_system(body, profile), lead), convert_messages(body, profile))
+    found = F.concat(V.bind(merge_system(body, profile), lead), convert_messages(body, profile))
+    return tool_messages(found) if profile.tool_messages else found
 
 
 def convert_tools(body: Column) -> Column:
@@ -265,6 +315,16 @@ def message_text(message: Column) -> Column:
     return F.coalesce(message["content_text"], F.array_join(texts, ""), F.lit(""))
 
 
+def tool_text(message: Column) -> Column:
+    """Calls of a message as the prompt shows them, one JSON object a line; empty without any."""
+
+    def show(call: Column) -> Column:
+        whole = F.struct(call["name"].alias("name"), F.try_parse_json(call["arguments"]).alias("arguments"))
+        return F.concat(F.lit("\n<tool_call>"), F.to_json(whole), F.lit("</tool_call>"))
+
+    return F.coalesce(F.array_join(F.transform(message["tool_calls"], show), ""), F.lit(""))
+
+
 # Fixed values of the prompt format.
 TURN = "▌"
 THINK_OPEN = "▌thinking\n"
@@ -276,9 +336,9 @@ TOOL_INSTRUCTIONS = "[tool call format instructions]..."
 
 def render_prompt(
     messages: Column, tools: Column, generation: bool = True, thinking: bool = True,
-    instructions: str = TOOL_INSTRUCTIONS,
+    instructions: str = TOOL_INSTRUCTIONS, tools_shown: bool = False,
 ) -> Column:
-    """Prompt text of converted messages (text turns).
+    """Prompt text of converted messages: text, and with ``tools_shown`` calls and results.
 
     Tools go in front of the system text, inside the system section.
     """
@@ -296,7 +356,7 @@ def render_prompt(
     turns = F.filter(messages, lambda m: m["role"] != "system")
     body = F.array_join(
         F.transform(
-            turns, lambda m: F.concat(F.lit(TURN), m["role"], F.lit("\n"), message_text(m), F.lit(f"{TURN}\n"))
+            turns, lambda m: F.concat(F.lit(TURN), m["role"], F.lit("\n"), message_text(m), tool_text(m) if tools_shown else F.lit(""), F.lit(f"{TURN}\n"))
         ),
         "",
     )

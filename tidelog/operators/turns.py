@@ -87,8 +87,11 @@ def tool_fields(calls: DataFrame, json_column: str = "input_json") -> DataFrame:
     )
 
 
-def convert_requests(decoded: DataFrame, profile: C.Profile = C.CONVERTER) -> DataFrame:
-    """Add the converted request: system, messages (system first), tools, tool_choice, settings."""
+def convert_requests(decoded: DataFrame, profile: C.Profile = C.AGENT) -> DataFrame:
+    """Add the converted request: system, messages (system first), tools, tool_choice, settings.
+
+    By default tool calls and results are kept, in the target schema's form.
+    """
     body = F.col("body_json")
     parsed = parsed_body(decoded)
     return parsed.select(
@@ -102,29 +105,40 @@ def convert_requests(decoded: DataFrame, profile: C.Profile = C.CONVERTER) -> Da
     )
 
 
-def convert_stats(decoded: DataFrame) -> DataFrame:
+def convert_stats(decoded: DataFrame, profile: C.Profile = C.CONVERTER) -> DataFrame:
     """Sizes before and after conversion."""
+    return convert_requests(decoded, profile).select("seq_id", *source_facts())
+
+
+def source_facts() -> list[Column]:
+    """Of a converted request: its model and sizes before and after."""
     body = F.col("body_json")
     system = V.get(body, "system", "variant")
     blocks = F.coalesce(F.size(V.items(system)), F.when(V.truthy(body, "system"), F.lit(1)).otherwise(0))
-    converted = convert_requests(decoded, C.CONVERTER)
 
     def count(column: Column) -> Column:
         return F.coalesce(column, F.lit(0)).cast("bigint")
 
-    return converted.select(
-        "seq_id",
+    return [
         V.text_of(body, "model").alias("original_model"),
         count(F.size(V.items(body, "messages"))).alias("original_messages_count"),
         blocks.cast("bigint").alias("original_system_blocks"),
         count(F.size(V.items(body, "tools"))).alias("original_tools_count"),
         count(F.length("system_text")).alias("converted_system_length"),
         count(F.size("messages")).alias("converted_messages_count"),
-    )
+    ]
 
 
-def converted_json(converted: DataFrame) -> DataFrame:
-    """The converted request as one JSON text per row, keys left out where there is no value."""
+def converted_json(converted: DataFrame, *keep: str | Column) -> DataFrame:
+    """The converted request as one JSON text per row, keys left out where there is no value.
+
+    ``keep``: further columns of the result.
+    """
+    has_tools = "tool_calls" in converted.schema["messages"].dataType.elementType.names
+
+    def call(c: Column) -> Column:
+        function = F.struct(c["name"].alias("name"), c["arguments"].alias("arguments"))
+        return F.struct(c["id"].alias("id"), F.lit("function").alias("type"), function.alias("function"))
 
     def part(p: Column) -> Column:
         image = F.struct(F.lit("image_url").alias("type"), F.struct(p["url"].alias("url")).alias("image_url"))
@@ -142,6 +156,7 @@ def converted_json(converted: DataFrame) -> DataFrame:
         return F.struct(
             m["role"].alias("role"), F.coalesce(as_text, F.try_parse_json(parts)).alias("content"),
             m["reasoning"].alias("reasoning"),
+            *([F.transform(m["tool_calls"], call).alias("tool_calls"), m["tool_call_id"].alias("tool_call_id")] if has_tools else []),
         )
 
     choice = F.col("tool_choice")
@@ -157,9 +172,24 @@ def converted_json(converted: DataFrame) -> DataFrame:
                 .otherwise(F.try_parse_json(F.concat(F.lit('"'), choice, F.lit('"')))).alias("tool_choice"),
             )
         ).alias("openai_request"),
+        *keep,
     )
 
 
+def converted_lines(decoded: DataFrame, profile: C.Profile = C.AGENT) -> DataFrame:
+    """hour_key, seq_id and ``value``: ``{"seq_id": ..., "openai_request": ..., "_source": ...}`` as one JSON line."""
+    rows = converted_json(convert_requests(decoded, profile), "hour_key", F.struct(*source_facts()).alias("_source"))
+    whole = F.struct("seq_id", F.parse_json("openai_request").alias("openai_request"), "_source")
+    return rows.select("hour_key", "seq_id", F.to_json(whole).alias("value"))
+
+
+def prompt_lines(decoded: DataFrame, profile: C.Profile = C.AGENT, **options) -> DataFrame:
+    """hour_key, seq_id and ``value``: ``{"seq_id": ..., "prompt": ...}`` as one JSON line."""
+    prompt = C.render_prompt(F.col("messages"), F.col("tools"), tools_shown=profile.tool_messages, **options)
+    rows = convert_requests(decoded, profile).select("hour_key", "seq_id", prompt.alias("prompt"))
+    return rows.select("hour_key", "seq_id", F.to_json(F.struct("seq_id", "prompt")).alias("value"))
+
+
 def request_detail(with_reply: DataFrame, seq_ids: list[int] | None = None) -> DataFrame:
     """Everything about a request, nothing trimmed: facts, converted request, system text, reply.
 

@@ -292,6 +292,12 @@ def _land(spark: SparkSession, sf_dir: str, name: str, schema: str, build: Calla
     return read_log(spark, _landed[key], schema)
 
 
+def capture_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the captured log is stored."""
+    capture_log(spark, sf_dir)
+    return _landed[(spark.sparkContext.applicationId, sf_dir, "capture")]
+
+
 def capture_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log on storage: an hour-partitioned table of encoded payloads."""
     return _land(spark, sf_dir, "capture", LOG_SCHEMA, lambda: captured(spark, sf_dir))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import chat
 from ..operators import cleaning, decoding, search, tokens, turns
-from .capture_log import RUN, C, decoded_log
+from ..session import work_dir
+from . import jobs
+from .capture_log import RUN, C, capture_path, decoded_log
 from .registry import query
 
 # CTE ``t``: one row per turn of a request.
@@ -101,6 +103,53 @@ def convert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_AGENT = f"""{T}, turn AS (SELECT *, CAST(place AS BIGINT) AS nth FROM t WHERE role <> 'system'),
+    agent AS (
+        SELECT seq_id, nth, 0 AS sub, 'tool' AS role, 'ok' AS content_text, NULL AS parts, NULL AS calls, 'tu_' || (turn - 1) AS tool_call_id
+        FROM turn WHERE c % 2 = 1 AND role = 'user' AND turn > 0
+        UNION ALL SELECT seq_id, nth, 1, role, CASE WHEN c % 2 = 0 OR role = 'assistant' OR turn % 4 <> 2 THEN text END,
+            CASE WHEN c % 2 = 1 AND role = 'user' AND turn % 4 = 2 THEN 'text:' || text || '|image_url:' || {_IMAGE} END,
+            CASE WHEN c % 2 = 1 AND role = 'assistant' THEN 'tu_' || turn || ':lookup:{{"q":' || CAST(to_json(left(text, 8)) AS VARCHAR) || '}}' END, NULL
+        FROM turn)"""
+
+
+@query(f"""{_AGENT} SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY nth, sub) - 1 AS place, role, content_text, parts, calls,
+        tool_call_id FROM agent""")
+def convert_tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat.tool_messages(chat.convert_messages(F.col("body_json"), chat.AGENT))
+    rows = turns.parsed_body(decoded_log(spark, sf_dir)).select("seq_id", F.posexplode(messages).alias("place", "m"))
+    part = lambda p: F.concat_ws(":", p["type"], p["text"], p["url"])
+    call = lambda c: F.concat_ws(":", c["id"], c["name"], c["arguments"])
+    return rows.select(
+        "seq_id", F.col("place").cast("bigint").alias("place"), "m.role", "m.content_text",
+        F.array_join(F.transform("m.content_parts", part), "|").alias("parts"),
+        F.array_join(F.transform("m.tool_calls", call), "|").alias("calls"), "m.tool_call_id",
+    )
+
+
+# Written as JSON lines and read back.
+@query(f"""{_AGENT}, s AS (SELECT *, array_to_string({_CONVERTER_SYSTEM}, '') AS system FROM c),
+    n AS (SELECT seq_id, count(*) AS messages, count(tool_call_id) AS tool_messages, count(calls) AS calls FROM agent GROUP BY 1)
+    SELECT s.seq_id, s.hour_key, model, CAST(coalesce(messages, 0) + (system <> '')::INT AS BIGINT) AS messages,
+        coalesce(tool_messages, 0) AS tool_messages, coalesce(calls, 0) AS calls, CAST(len(asked) AS BIGINT) AS original_messages,
+        CAST(coalesce(messages, 0) + (system <> '')::INT AS BIGINT) AS converted_messages
+    FROM s LEFT JOIN n ON s.seq_id = n.seq_id WHERE path = '/v1/messages'""")
+def converted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "converted")
+    jobs.convert(spark, capture_path(spark, sf_dir), path)
+    message = "ARRAY<STRUCT<role: STRING, tool_call_id: STRING, tool_calls: ARRAY<STRUCT<id: STRING>>>>"
+    facts = "STRUCT<original_messages_count: BIGINT, converted_messages_count: BIGINT, seq_id: BIGINT>"
+    rows = spark.read.schema(f"openai_request STRUCT<model: STRING, messages: {message}>, _source {facts}, seq_id BIGINT, hour_key STRING").json(path)
+    messages = F.col("openai_request.messages")
+    count = lambda test: F.size(F.filter(messages, test)).cast("bigint")
+    return rows.select(
+        "seq_id", "hour_key", "openai_request.model", F.size(messages).cast("bigint").alias("messages"),
+        count(lambda m: m["role"] == "tool").alias("tool_messages"), count(lambda m: m["tool_calls"].isNotNull()).alias("calls"),
+        F.col("_source.original_messages_count").alias("original_messages"),
+        F.col("_source.converted_messages_count").alias("converted_messages"),
+    )
+
+
 @query(f"{T} SELECT seq_id, {_IMAGE} AS url FROM t WHERE c % 2 = 1 AND role = 'user' AND turn % 4 = 2")
 def convert_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = turns.parsed_body(decoded_log(spark, sf_dir)).select(

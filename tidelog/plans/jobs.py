@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hours as H
-from ..operators import archive, cleaning, scans
+from ..operators import archive, cleaning, decoding, rules, scans, turns
 from ..schema import LOG_SCHEMA
 from ..session import configure, work_dir
 from ..sources import dataset, log_table
@@ -49,6 +49,21 @@ def clean(
     return stats
 
 
+def _write_lines(lines: DataFrame, path: str) -> None:
+    log_table.by_hour(lines).select("value", "hour_key").write.mode("overwrite").partitionBy("hour_key").option(
+        "partitionOverwriteMode", "dynamic"
+    ).option("compression", "gzip").text(path)
+
+
+def convert(spark: SparkSession, log_path: str, path: str, hour_key: str | None = None, prompts: bool = False, **options) -> None:
+    """Write the converted requests, with their sizes before and after, or the prompts: one JSON line each, by hour."""
+    configure(spark)
+    log = log_table.read_log(spark, log_path).where(rules.kept_row())
+    log = log if hour_key is None else log.where(scans.in_hour(hour_key))
+    lines = turns.prompt_lines if prompts else turns.converted_lines
+    _write_lines(lines(decoding.decode(log), **options), path)
+
+
 def archive_pending(
     spark: SparkSession, log_path: str, archive_path: str, now: datetime, allowed: timedelta = late.ALLOWED,
     day: str | None = None, hour: str | None = None, before: str | None = None, everything: bool = False,
