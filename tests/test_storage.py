@@ -13,7 +13,8 @@ from tidelog.functions import codec
 from tidelog.operators import archive, cleaning, scans
 from tidelog.schema import LOG_SCHEMA
 from tidelog.sources import dataset, log_table, routes
-from tidelog.streaming import hourly, ingest, late
+from tidelog.plans import jobs
+from tidelog.streaming import hourly, ingest, late, state
 from tidelog.streaming.state import run_to_end
 
 HOUR = timedelta(hours=1)
@@ -219,6 +220,44 @@ def test_a_batch_run_again_changes_nothing(spark, log, tmp_path):
     assert sorted(r.seq_id for r in ingest.read_ingested(spark, str(tmp_path)).collect()) == [1, 2, 3]
 
 
+def test_parts_stay_few(spark, log, tmp_path):
+    root = str(tmp_path)
+    sink = ingest.LogSink(root, every=4)
+    for number in range(21):
+        late_by = 3 * 3_600_000.0 if number % 5 == 4 else 10.0
+        rows = log({"seq_id": number, "duration_ms": late_by}, {"seq_id": max(0, number - 3), "error": "again"})
+        sink(rows.withColumn("arrival_no", F.monotonically_increasing_id()), number)
+    sink(log({"seq_id": 20}).withColumn("arrival_no", F.lit(0)), 20)  # run again
+    for table in ("entries", "late", "keys"):
+        assert [p.level for p in state.parts(spark, f"{root}/{table}")] == [2, 1, 0]
+        assert len([n for n in os.listdir(f"{root}/{table}") if n.startswith("part=")]) == 3
+    kept, quarantined = ingest.read_ingested(spark, root).collect(), ingest.read_ingested(spark, root, "late").collect()
+    assert sorted(r.seq_id for r in kept + quarantined) == list(range(21))
+    assert sorted(r.seq_id for r in quarantined) == [4, 9, 14, 19] and not any(r.error for r in kept)
+    found = ingest.lookup(spark, root, 7)
+    assert [r.seq_id for r in found.collect()] == [7] and ingest.lookup(spark, root, 999).count() == 0
+    assert "PartitionFilters: [isnotnull(hour_key" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_late_rows_reach_the_archive(spark, log, tmp_path):
+    root, out = str(tmp_path / "root"), str(tmp_path / "archives")
+    sink = ingest.LogSink(root)
+    rows = log({"body": request("in time")}, {"body": request("late"), "duration_ms": 3 * 3_600_000.0})
+    sink(rows.withColumn("arrival_no", F.col("seq_id")), 0)
+    now = START + 50 * HOUR
+    jobs.archive_pending(spark, f"{root}/entries", out, now)
+    assert [r.seq_id for r in archive.read_lines(spark, out).collect()] == [1]
+    jobs.archive_late(spark, root, out, now)
+    assert sorted(r.seq_id for r in archive.read_lines(spark, out).collect()) == [1, 2]
+    assert ingest.read_ingested(spark, root).count() == ingest.read_ingested(spark, root, "late").count() == 0
+
+
+def test_text_bodies_are_encoded(spark, log, tmp_path):
+    rows = log({}).withColumn("body", F.lit('{"a":1}')).withColumn("arrival_no", F.lit(0))
+    ingest.LogSink(str(tmp_path))(rows, 0)
+    assert gzip.decompress(bytes(ingest.read_ingested(spark, str(tmp_path)).first().body)) == b'{"a":1}'
+
+
 def test_hourly_counts_take_late_rows(spark, log, tmp_path):
     landing, out, check = (str(tmp_path / n) for n in ("landing", "out", "checkpoint"))
     stream = lambda: spark.readStream.schema(LOG_SCHEMA).parquet(landing)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..functions import hours as H
 from ..functions import variants as V
-from ..schema import LOG_SCHEMA
+from ..schema import LOG_COLUMNS, LOG_SCHEMA
 from ..sources.dataset import as_lines
 from ..sources.log_table import by_hour, delete_files, drop_folder, hour_files, read_log, read_or_empty
 from .cleaning import clean_dataset
@@ -89,7 +89,7 @@ def unreadable(log: DataFrame) -> DataFrame:
     body = F.when(F.octet_length("body") > 0, codec.decode_body(F.col("body")))
     rows = log.where(kept_row() & (F.octet_length("body") > 0))
     read = compute_once(rows, F.struct(V.parse_object(body).isNull().alias("bad")), "_r").where("_r.bad")
-    return read.drop("_r")
+    return read.select(LOG_COLUMNS)
 
 
 def _add(rows: DataFrame, path: str, schema: str, **options: str) -> None:

@@ -15,7 +15,7 @@ from ..schema import LOG_SCHEMA
 from ..session import work_dir
 from ..sources import log_table, routes
 from ..streaming import hourly, ingest, late
-from ..streaming.state import run_to_end
+from ..streaming.state import read_parts, run_to_end
 from .event_log import E, event_log, from_events
 from .registry import query
 
@@ -310,4 +310,4 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             _event_stream(spark, sf_dir), f"{root}/rows", f"{root}/checkpoint", allowed=timedelta(0), available_now=True
         )
     )
-    return log_table.read_log(spark, f"{root}/rows", f"{LOG_SCHEMA}, late BOOLEAN").select("seq_id", "hour_key", "late")
+    return read_parts(spark, f"{root}/rows", f"{LOG_SCHEMA}, late BOOLEAN").select("seq_id", "hour_key", "late")

@@ -12,11 +12,17 @@ from ..operators import archive, cleaning, decoding, rules, scans, turns
 from ..schema import LOG_SCHEMA
 from ..session import configure, work_dir
 from ..sources import dataset, log_table
-from ..streaming import late
+from ..streaming import ingest, late
+from ..streaming.state import parts, read_parts
 
 HOURS = "hour_key STRING"
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """A stored log: plain, or the parts that ``start_ingest`` keeps."""
+    return read_parts(spark, path, LOG_SCHEMA) if parts(spark, path) else log_table.read_log(spark, path)
+
+
 def clean(
     spark: SparkSession, log_path: str, dataset_path: str, hour_key: str | None = None, day: str | None = None,
     min_output_len: int = cleaning.HARD_MINIMUM, **options,
@@ -28,7 +34,7 @@ def clean(
     stored statistics per hour; a day without rows gives none.
     """
     configure(spark)
-    log = log_table.read_log(spark, log_path)
+    log = _stored(spark, log_path)
     if day is not None:
         hour_key = scans.first_hour_of_day(log, day).first().hour_key
         log = log if hour_key else log.where("false")
@@ -58,7 +64,7 @@ def _write_lines(lines: DataFrame, path: str) -> None:
 def convert(spark: SparkSession, log_path: str, path: str, hour_key: str | None = None, prompts: bool = False, **options) -> None:
     """Write the converted requests, with their sizes before and after, or the prompts: one JSON line each, by hour."""
     configure(spark)
-    log = log_table.read_log(spark, log_path).where(rules.kept_row())
+    log = _stored(spark, log_path).where(rules.kept_row())
     log = log if hour_key is None else log.where(scans.in_hour(hour_key))
     lines = turns.prompt_lines if prompts else turns.converted_lines
     _write_lines(lines(decoding.decode(log), **options), path)
@@ -77,7 +83,7 @@ def archive_pending(
     ``retain_days`` days are removed afterwards, 0 keeps all.
     """
     configure(spark)
-    log = log_table.read_log(spark, log_path)
+    log = _stored(spark, log_path)
     archives = log_table.read_or_empty(spark, archive_path, HOURS).select("hour_key").distinct()
     windows = late.closed_hours(scans.list_windows(log), H.ntz(now), allowed, zone)
     targets = archive.archive_targets(windows, archives, day, hour, before, everything, limit)
@@ -99,7 +105,7 @@ def archive_late(
 ) -> DataFrame:
     """Add the rows of the quarantine that ``start_ingest`` keeps under ``root`` to the archives of their hours."""
     configure(spark)
-    late_rows = log_table.read_or_empty(spark, f"{root}/late", LOG_SCHEMA).where(F.col("ts") <= H.ntz(now))
+    late_rows = ingest.read_ingested(spark, root, "late").where(F.col("ts") <= H.ntz(now))
     return archive.archive_hours(spark, late_rows, archive_path, work_dir(spark, "late"), keep_source, **options)
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .state import write_batch
+from .state import EVERY, merge_parts, read_parts, write_batch
+
+STATE = "hour_start TIMESTAMP_NTZ, count BIGINT, body_total BIGINT, batch BIGINT"
 
 
 def hourly_counts(rows: DataFrame) -> DataFrame:
@@ -17,11 +19,22 @@ def hourly_counts(rows: DataFrame) -> DataFrame:
     ).select(F.col("window.start").alias("hour_start"), "count", "body_total")
 
 
-def start_hourly(rows: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Each batch writes the hours it changed under its own id (safe to run again)."""
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("hour_start").agg(F.max_by(F.struct("count", "body_total"), "batch").alias("v"), F.max("batch").alias("batch")).select(
+        "hour_start", "v.count", "v.body_total", "batch"
+    )
+
+
+def start_hourly(
+    rows: DataFrame, path: str, checkpoint: str, available_now: bool = False, every: int = EVERY
+) -> StreamingQuery:
+    """Each batch writes the hours it changed under its own id (safe to run again); merged parts keep
+    the newest state of an hour only."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id)
+        write_batch(batch.withColumn("batch", F.lit(batch_id).cast("bigint")), path, batch_id)
+        if batch_id % every == every - 1:
+            merge_parts(batch.sparkSession, path, STATE, lambda old, to: _newest(old).write.mode("overwrite").parquet(to), every)
 
     writer = hourly_counts(rows).writeStream.outputMode("update").foreachBatch(write)
     writer = writer.option("checkpointLocation", checkpoint)
@@ -30,8 +43,4 @@ def start_hourly(rows: DataFrame, path: str, checkpoint: str, available_now: boo
 
 def read_hourly(spark: SparkSession, path: str) -> DataFrame:
     """The newest state of every hour."""
-    newest = F.max_by(F.struct("count", "body_total"), "batch")
-    return (
-        spark.read.parquet(path).groupBy("hour_start").agg(newest.alias("v"))
-        .select("hour_start", "v.count", "v.body_total")
-    )
+    return _newest(read_parts(spark, path, STATE)).drop("batch")

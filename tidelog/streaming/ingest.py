@@ -1,11 +1,14 @@
 """Continuous ingest into the hour-partitioned log.
 
 Each micro-batch keeps the first arrival of every seq_id and drops ids that an
-earlier batch stored. Ids are remembered in a narrow side table laid out by id
-range, so a batch reads the ranges it touches, not the log.
+earlier batch stored. Ids are remembered with their hour in a narrow side table
+laid out by id range, so a batch joins the ranges it touches, not the log.
 
-Both writes go to a folder named after the batch and replace it as a whole: a
-batch that is run again after a failure gives the same files.
+Rows that finish after their hour was closed go to a quarantine beside the log,
+from where ``jobs.archive_late`` adds them to the archive of their hour.
+
+All tables are kept in parts (see ``state``): a batch that is run again after a
+failure gives the same files, and small parts are merged.
 """
 
 from __future__ import annotations
@@ -17,48 +20,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import first_arrivals, with_bucket
-from ..sources.log_table import by_hour, read_log, read_or_empty
+from ..operators.merge import BUCKET, first_arrivals, with_bucket
+from ..schema import LOG_SCHEMA
+from ..sources.log_table import by_hour, encode_entries
 from .late import ALLOWED, is_late
-from .state import write_batch
+from .state import EVERY, merge_parts, read_parts, write_batch
 
 TRIGGER = "2 seconds"
+KEYS = "seq_id BIGINT, hour_key STRING, seq_bucket BIGINT"
+
+
+def _write_entries(rows: DataFrame, path: str) -> None:
+    by_hour(rows).write.mode("overwrite").partitionBy("hour_key").parquet(path)
+
+
+def _write_keys(rows: DataFrame, path: str) -> None:
+    rows.hint("rebalance", "seq_bucket").write.mode("overwrite").partitionBy("seq_bucket").parquet(path)
 
 
 class LogSink:
-    """foreachBatch sink: ``<root>/entries`` and ``<root>/keys``."""
+    """foreachBatch sink: ``<root>/entries``, ``<root>/late`` and ``<root>/keys``."""
 
-    def __init__(self, root: str):
-        self.entries, self.keys = f"{root}/entries", f"{root}/keys"
+    def __init__(self, root: str, allowed: timedelta = ALLOWED, zone: str = "UTC", every: int = EVERY):
+        self.entries, self.late, self.keys = f"{root}/entries", f"{root}/late", f"{root}/keys"
+        self.allowed, self.zone, self.every = allowed, zone, every
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        # read three times below; a lost block is computed again from the source
+        if dict(batch.dtypes)["body"] == "string":
+            batch = encode_entries(batch)
+        # read several times below; a lost block is computed again from the source
         arrivals = with_bucket(first_arrivals(batch)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             self._store(arrivals, batch_id)
         finally:
             arrivals.unpersist()
+        if batch_id % self.every == self.every - 1:
+            # keys last: a batch run again must not find its own keys before its rows are safe
+            spark = batch.sparkSession
+            merge_parts(spark, self.entries, LOG_SCHEMA, _write_entries, self.every)
+            merge_parts(spark, self.late, LOG_SCHEMA, _write_entries, self.every)
+            merge_parts(spark, self.keys, KEYS, _write_keys, self.every)
 
     def _store(self, arrivals: DataFrame, batch_id: int) -> None:
-        low, high = arrivals.agg(F.min("seq_bucket"), F.max("seq_bucket")).first()
-        if low is None:
+        # at most one bucket a row of the batch; they prune the folders of the key table
+        buckets = [row.seq_bucket for row in arrivals.select("seq_bucket").distinct().collect()]
+        if not buckets:
             return
-        known = read_or_empty(arrivals.sparkSession, self.keys, "seq_id BIGINT, seq_bucket BIGINT, batch BIGINT").where(
-            F.col("seq_bucket").between(low, high) & (F.col("batch") < batch_id)
-        )
-        fresh = arrivals.join(known.select("seq_id"), "seq_id", "left_anti")
-        write_batch(by_hour(fresh.drop("seq_bucket", "arrival_no")), self.entries, batch_id, "hour_key")
-        write_batch(fresh.select("seq_id", "seq_bucket").hint("rebalance"), self.keys, batch_id, "seq_bucket")
+        known = read_parts(arrivals.sparkSession, self.keys, KEYS, before=batch_id).where(F.col("seq_bucket").isin(buckets))
+        fresh = arrivals.join(known.select("seq_bucket", "seq_id"), ["seq_bucket", "seq_id"], "left_anti")
+        late = is_late(self.allowed, self.zone)
+        rows = fresh.drop("seq_bucket", "arrival_no")
+        write_batch(by_hour(rows.where(~late)), self.entries, batch_id, "hour_key")
+        write_batch(by_hour(rows.where(late)), self.late, batch_id, "hour_key")
+        write_batch(fresh.select("seq_id", "hour_key", "seq_bucket").hint("rebalance"), self.keys, batch_id, "seq_bucket")
 
 
 def start_ingest(
-    arrivals: DataFrame, root: str, checkpoint: str, available_now: bool = False
+    arrivals: DataFrame, root: str, checkpoint: str, available_now: bool = False, allowed: timedelta = ALLOWED,
+    zone: str = "UTC", every: int = EVERY,
 ) -> StreamingQuery:
-    """``arrivals``: streaming log rows plus ``arrival_no``, their order of arrival."""
-    writer = arrivals.writeStream.foreachBatch(LogSink(root)).option("checkpointLocation", checkpoint)
+    """``arrivals``: streaming log rows plus ``arrival_no``, their order of arrival. Text bodies are encoded."""
+    writer = arrivals.writeStream.foreachBatch(LogSink(root, allowed, zone, every)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=TRIGGER)
     return writer.start()
 
 
-def read_ingested(spark: SparkSession, root: str) -> DataFrame:
-    return read_log(spark, f"{root}/entries")
+def read_ingested(spark: SparkSession, root: str, table: str = "entries") -> DataFrame:
+    return read_parts(spark, f"{root}/{table}", LOG_SCHEMA)
+
+
+def lookup(spark: SparkSession, root: str, seq_id: int) -> DataFrame:
+    """Point lookup: the key table names the hour, so one folder of the log is read."""
+    keys = read_parts(spark, f"{root}/keys", KEYS).where((F.col("seq_bucket") == seq_id // BUCKET) & (F.col("seq_id") == seq_id))
+    found = keys.select("hour_key").first()
+    rows = read_ingested(spark, root).unionByName(read_ingested(spark, root, "late"))
+    return rows.where((F.col("hour_key") == (found.hour_key if found else "")) & (F.col("seq_id") == seq_id))

@@ -1,13 +1,86 @@
-"""Small helpers shared by the streaming jobs."""
+"""Tables that micro-batches write, kept small in number of folders.
+
+A table is a folder of parts, ``part=l<level>-<first batch>-<last batch>``. A batch writes a part of
+level 0 of its own and replaces it when it is run again. Whenever ``EVERY`` parts of a level are
+there, they are merged into one of the next level, so a table has at most ``EVERY`` parts a level
+and the number of levels grows with the logarithm of the batches.
+
+A part counts once it is complete (``_SUCCESS``) and no complete part of a higher level covers its
+batches; merged parts are deleted afterwards, so a merge that breaks off changes nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.log_table import drop_folder
+
+EVERY = 50
+
+
+class Part(NamedTuple):
+    level: int
+    first: int
+    last: int
+
+    @property
+    def folder(self) -> str:
+        return f"part=l{self.level}-{self.first:012d}-{self.last:012d}"
+
+
+def parts(spark: SparkSession, root: str) -> list[Part]:
+    """The parts that count, by batch."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    storage = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not storage.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in storage.listStatus(folder)]
+    found = []
+    for name in names:
+        complete = name.startswith("part=l") and storage.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS"))
+        if complete:
+            level, first, last = name.removeprefix("part=l").split("-")
+            found.append(Part(int(level), int(first), int(last)))
+    kept: list[Part] = []
+    for part in sorted(found, reverse=True):
+        if not any(k.first <= part.first and part.last <= k.last for k in kept):
+            kept.append(part)
+    return sorted(kept, key=lambda p: p.first)
+
+
+def read_parts(spark: SparkSession, root: str, schema: str, before: int | None = None) -> DataFrame:
+    """All rows; ``before`` leaves out batches from this one on."""
+    chosen = [p for p in parts(spark, root) if before is None or p.last < before]
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/{p.folder}" for p in chosen])
+    return rows.drop("part")
 
 
 def write_batch(rows: DataFrame, root: str, batch_id: int, *folders: str) -> None:
-    """Write one micro-batch into its own folder; a batch run again replaces it."""
-    rows.write.mode("overwrite").partitionBy(*folders).parquet(f"{root}/batch={batch_id}")
+    """Write one micro-batch; a batch run again replaces its part."""
+    rows.write.mode("overwrite").partitionBy(*folders).parquet(f"{root}/{Part(0, batch_id, batch_id).folder}")
+
+
+def merge_parts(spark: SparkSession, root: str, schema: str, write: Callable[[DataFrame, str], None], every: int = EVERY) -> None:
+    """Merge the parts of every level that is full; ``write(rows, path)`` lays the rows out."""
+    level = 0
+    while True:
+        there = parts(spark, root)
+        full = [p for p in there if p.level == level]
+        if len(full) >= every:
+            merged = Part(level + 1, full[0].first, full[-1].last)
+            rows = spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/{p.folder}" for p in full])
+            write(rows.drop("part"), f"{root}/{merged.folder}")
+            for p in full:
+                drop_folder(spark, f"{root}/{p.folder}")
+        elif level >= max((p.level for p in there), default=0):
+            return
+        level += 1
 
 
 def run_to_end(query) -> None:
