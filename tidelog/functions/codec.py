@@ -40,23 +40,14 @@ def _gunzip_lenient(data: bytes | None) -> str | None:
         return None
 
 
-def _unpack(data: bytes | None) -> str | None:
-    """gzip, then brotli when the library exists, else NULL (plain bytes)."""
-    if data is None:
-        return None
-    if data[:2] == b"\x1f\x8b":
-        try:
-            return gzip.decompress(data).decode("utf-8", errors="replace")
-        except Exception:
-            pass
-    if HAS_BROTLI:
-        import brotli
+def _brotli(data: bytes | None) -> str | None:
+    """NULL when the bytes are no brotli stream."""
+    import brotli
 
-        try:
-            return brotli.decompress(data).decode("utf-8", errors="replace")
-        except Exception:
-            pass
-    return None
+    try:
+        return None if data is None else brotli.decompress(data).decode("utf-8", errors="replace")
+    except Exception:
+        return None
 
 
 def _pack(text: str | None) -> bytes | None:
@@ -78,8 +69,8 @@ def _gunzip_lenient_udf(data: pd.Series) -> pd.Series:
 
 
 @_once(T.StringType())
-def _unpack_udf(data: pd.Series) -> pd.Series:
-    return data.map(_unpack)
+def _brotli_udf(data: pd.Series) -> pd.Series:
+    return data.map(_brotli)
 
 
 @_once(T.BinaryType())
@@ -108,7 +99,8 @@ def decode_lenient(data: Column) -> Column:
 
 
 def decode_response(data: Column) -> Column:
-    """gzip, brotli (if installed) or plain, bad bytes replaced."""
-    wanted = data if HAS_BROTLI else F.when(is_gzip(data), data)
-    packed = _unpack_udf(wanted)
-    return F.coalesce(packed, F.make_valid_utf8(data.cast("string")), F.lit(""))
+    """gzip, brotli (if installed) or plain, bad bytes replaced. The first bytes tell gzip."""
+    found = [_gunzip_lenient_udf(F.when(is_gzip(data), data))]
+    if HAS_BROTLI:
+        found.append(_brotli_udf(F.when(~is_gzip(data), data)))
+    return F.coalesce(*found, F.make_valid_utf8(data.cast("string")), F.lit(""))

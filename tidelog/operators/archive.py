@@ -42,8 +42,12 @@ def archive_targets(
     if day:
         return windows.where(F.col("hour_key") == f"{day}_{hour}")
     if before:
-        return targets_before(windows, before)
-    return windows.orderBy("hour_key") if everything else targets_pending(windows, archives, limit)
+        chosen = targets_before(windows, before)
+    elif everything:
+        chosen = windows.orderBy("hour_key")
+    else:
+        chosen = targets_pending(windows, archives)
+    return chosen if limit is None else chosen.limit(limit)
 
 
 def expired(archives: DataFrame, as_of: date, days: int) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import codec
 from ..functions import events as E
 from ..functions import replies as R
 from ..functions import variants as V
+from ..functions.memo import once_per_application
 from ..functions.text import stripped_length
 from ..schema import METADATA_TYPE, REQUEST_KEYS, RESPONSE_TYPE, TOOL_CALL_TYPE
 from .decoding import compute_once
@@ -33,6 +34,29 @@ def _dedup_key(request: Column) -> Column:
     )
 
 
+@once_per_application
+def _parsed(mode: str, compat_sniff: bool, keep_tool_calls: bool) -> Column:
+    """Body and reply of a row with its texts in _body and _text."""
+    text = F.col("_text")
+    streamed = R.streamed_reply(text, mode, with_tools=keep_tool_calls)
+    reply = F.when(E.looks_streaming(text, compat_sniff), streamed).otherwise(
+        R.plain_reply_clean(text, mode, keep_tool_calls)
+    )
+    return F.struct(V.parse_object(F.col("_body")).alias("body"), reply.alias("reply"))
+
+
+@once_per_application
+def _measured() -> Column:
+    answer = F.col("_p.reply")
+    return F.struct(
+        request_fields(F.col("_p.body")).alias("request"),
+        F.greatest(
+            F.coalesce(stripped_length(answer["text"]), F.lit(0)),
+            F.coalesce(stripped_length(answer["thinking"]), F.lit(0)),
+        ).alias("out_len"),
+    )
+
+
 def clean_records(
     log: DataFrame, mode: str = E.ALL_LINES, compat_sniff: bool = False, keep_tool_calls: bool = False
 ) -> DataFrame:
@@ -47,28 +71,11 @@ def clean_records(
         codec.decode_body(F.col("body")).alias("_body"),
         codec.decode_response(F.col("response")).alias("_text"),
     )
-    text = F.col("_text")
-    streamed = R.streamed_reply(text, mode, with_tools=keep_tool_calls)
-    reply = F.when(E.looks_streaming(text, compat_sniff), streamed).otherwise(
-        R.plain_reply_clean(text, mode, keep_tool_calls)
-    )
     parsed = compute_once(
-        rows,
-        F.struct(V.parse_object(F.col("_body")).alias("body"), reply.alias("reply")),
-        "_p", "hour_key", "seq_id", "model", "status", "duration_ms",
+        rows, _parsed(mode, compat_sniff, keep_tool_calls), "_p", "hour_key", "seq_id", "model", "status", "duration_ms"
     )
     answer = F.col("_p.reply")
-    measured = compute_once(
-        parsed.where(V.truthy(F.col("_p.body"), "messages")),
-        F.struct(
-            request_fields(F.col("_p.body")).alias("request"),
-            F.greatest(
-                F.coalesce(stripped_length(answer["text"]), F.lit(0)),
-                F.coalesce(stripped_length(answer["thinking"]), F.lit(0)),
-            ).alias("out_len"),
-        ),
-        "_m",
-    )
+    measured = compute_once(parsed.where(V.truthy(F.col("_p.body"), "messages")), _measured(), "_m")
     said_enough = F.col("_m.out_len") >= HARD_MINIMUM
     if keep_tool_calls:
         said_enough = said_enough | (F.size(answer["tool_calls"]) > 0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..functions import events as E
 from ..functions import replies as R
+from ..functions.memo import once_per_application
 from ..schema import MESSAGES_PATH
 
 
@@ -41,12 +42,21 @@ def reply_of(
     return F.when(E.looks_streaming(text, compat_sniff), streamed).otherwise(R.plain_reply_view(text, with_tools))
 
 
-def with_reply(decoded: DataFrame, **options) -> DataFrame:
+@once_per_application
+def _reply(mode: str, compat_sniff: bool, with_tools: bool) -> Column:
+    return reply_of(F.col("response_text"), mode, compat_sniff, with_tools)
+
+
+def with_reply(
+    decoded: DataFrame, mode: str = E.ALL_LINES, compat_sniff: bool = False, with_tools: bool = True
+) -> DataFrame:
     """Add the ``reply`` struct of every response."""
-    return compute_once(decoded, reply_of(F.col("response_text"), **options), "reply")
+    return compute_once(decoded, _reply(mode, compat_sniff, with_tools), "reply")
 
 
-def with_shown_reply(decoded: DataFrame, **options) -> DataFrame:
+def with_shown_reply(
+    decoded: DataFrame, mode: str = E.ALL_LINES, compat_sniff: bool = False, with_tools: bool = True
+) -> DataFrame:
     """As ``with_reply``, but rows outside the messages path show what came back
     as it is, and rows without a response an empty text."""
     text = F.col("response_text")
@@ -56,7 +66,7 @@ def with_shown_reply(decoded: DataFrame, **options) -> DataFrame:
         F.lit(None).cast("map<string,variant>").alias("usage"), F.lit(None).cast("string").alias("stop_reason"),
         F.array().alias("tool_calls"),
     ).cast(R.REPLY_TYPE)
-    return compute_once(decoded, F.when(chat, reply_of(text, **options)).otherwise(raw), "reply")
+    return compute_once(decoded, F.when(chat, _reply(mode, compat_sniff, with_tools)).otherwise(raw), "reply")
 
 
 def explode_events(decoded: DataFrame, mode: str = E.ALL_LINES) -> DataFrame:

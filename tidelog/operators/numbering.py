@@ -1,17 +1,37 @@
 """Consecutive numbers over a big table.
 
 A row_number over a whole table (or a hot hour) sorts it in one task. Here the
-integer key is cut into buckets of fixed width: rows are numbered inside their
-bucket, which cannot hold more than ``width`` distinct keys, and the bucket's
-offset comes from the running sum of bucket counts.
+integer key is cut into buckets of fixed width, the buckets into wider ones and
+so on. Rows are numbered inside their bucket, and a bucket's offset is the
+running sum of the counts before it, inside the next wider bucket. With
+``WIDTH`` 65,536 and three levels above the rows no window holds more than
+65,536 rows, whatever 64-bit keys there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 65_536
+LEVELS = 3
+
+
+def _wider(key: Column, width: int) -> Column:
+    return F.floor(key / F.lit(width)).cast("bigint") if width & (width - 1) else F.shiftright(key, width.bit_length() - 1)
+
+
+def _offsets(counts: DataFrame, within: list[str], level: int, width: int) -> DataFrame:
+    """Add ``_offset`` to (within, _bucket, _rows): the rows of all buckets before."""
+    if level == LEVELS:
+        before = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    counts = counts.withColumn("_wide", _wider(F.col("_bucket"), width))
+    totals = counts.groupBy(*within, F.col("_wide")).agg(F.sum("_rows").alias("_rows")).withColumnRenamed("_wide", "_bucket")
+    starts = _offsets(totals, within, level + 1, width).withColumnsRenamed({"_bucket": "_wide", "_offset": "_start"})
+    before = Window.partitionBy(*within, "_wide").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.withColumn("_inside", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    return inside.join(starts, [*within, "_wide"]).select(*within, "_bucket", (F.col("_start") + F.col("_inside")).alias("_offset"))
 
 
 def number_rows(
@@ -19,26 +39,12 @@ def number_rows(
 ) -> DataFrame:
     """Add BIGINT ``name``: the rank of ``key`` (unique) within each group, from ``start``."""
     within = within or []
-    keyed = df.withColumn("_bucket", F.floor(F.col(key) / F.lit(width)).cast("bigint"))
-    bucket = [*within, "_bucket"]
-    counts = keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_rows"))
-    # Second level: one row per bucket is left; spans of WIDTH buckets bound each window.
-    spans = counts.withColumn("_span", F.floor(F.col("_bucket") / F.lit(WIDTH)).cast("bigint"))
-    span_totals = spans.groupBy(*within, "_span").agg(F.sum("_rows").alias("_span_rows"))
-    before_span = Window.partitionBy(*within).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    span_offsets = span_totals.withColumn(
-        "_span_start", F.coalesce(F.sum("_span_rows").over(before_span), F.lit(0))
-    ).drop("_span_rows")
-    before = Window.partitionBy(*within, "_span").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        spans.withColumn("_in_span", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .join(span_offsets, [*within, "_span"])
-        .select(*bucket, (F.col("_span_start") + F.col("_in_span")).alias("_offset"))
-    )
-    place = F.row_number().over(Window.partitionBy(*bucket).orderBy(key))
+    keyed = df.withColumn("_bucket", _wider(F.col(key).cast("bigint"), width))
+    counts = keyed.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    place = F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy(key))
     return (
         keyed.withColumn("_place", place)
-        .join(offsets, bucket)
+        .join(_offsets(counts, within, 1, width), [*within, "_bucket"])
         .withColumn(name, (F.col("_offset") + F.col("_place") - 1 + F.lit(start)).cast("bigint"))
         .drop("_bucket", "_place", "_offset")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chat as C
 from ..functions import variants as V
+from ..functions.memo import once_per_application
 
 
 def parsed_body(decoded: DataFrame) -> DataFrame:
@@ -92,17 +93,30 @@ def convert_requests(decoded: DataFrame, profile: C.Profile = C.AGENT) -> DataFr
 
     By default tool calls and results are kept, in the target schema's form.
     """
+    return parsed_body(decoded).select(*decoded.columns, "body_json", *_converted(profile))
+
+
+@once_per_application
+def _converted(profile: C.Profile) -> list[Column]:
     body = F.col("body_json")
-    parsed = parsed_body(decoded)
-    return parsed.select(
-        *decoded.columns, "body_json",
+    return [
         F.coalesce(V.text_of(body, "model"), F.lit("")).alias("request_model"),
         C.merge_system(body, profile).alias("system_text"),
         C.with_system(body, profile).alias("messages"),
         C.convert_tools(body).alias("tools"),
         C.convert_tool_choice(body).alias("tool_choice"),
         *[column.alias(name) for name, column in C.request_scalars(body).items()],
-    )
+    ]
+
+
+@once_per_application
+def _shown() -> list[Column]:
+    body = F.col("body_json")
+    return [
+        C.convert_messages(body, C.VIEWER).alias("messages"),
+        C.convert_tools(body).alias("tools"),
+        F.coalesce(C.merge_system(body, C.VIEWER), F.lit("")).alias("system_prompt"),
+    ]
 
 
 def convert_stats(decoded: DataFrame, profile: C.Profile = C.CONVERTER) -> DataFrame:
@@ -196,12 +210,7 @@ def request_detail(with_reply: DataFrame, seq_ids: list[int] | None = None) -> D
     ``with_reply`` is the decoded log with its ``reply`` struct.
     """
     rows = with_reply if seq_ids is None else with_reply.where(F.col("seq_id").isin(seq_ids))
-    body = F.col("body_json")
     return parsed_body(rows).select(
         "seq_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "hour_key", "method", "path", "model",
-        "status", "duration_ms", "body_len", "resp_size", "error",
-        C.convert_messages(body, C.VIEWER).alias("messages"),
-        C.convert_tools(body).alias("tools"),
-        F.coalesce(C.merge_system(body, C.VIEWER), F.lit("")).alias("system_prompt"),
-        "reply", F.col("response_text").alias("raw_text"),
+        "status", "duration_ms", "body_len", "resp_size", "error", *_shown(), "reply", F.col("response_text").alias("raw_text"),
     )
