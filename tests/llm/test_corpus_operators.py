@@ -285,16 +285,17 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
     docs = near_docs()
     table = spark.createDataFrame([(i, t, "clash") for i, t in docs], DOCS + ", node string").repartition(3)
-    got = neardup.near_duplicates(table).drop("text_hash").collect()
+    got = neardup.near_duplicates(table).drop("text_hash", "component").collect()
     assert len(got) == len(docs) and {tuple(r) for r in got} == brute_components(docs)
 
 
 def test_one_of_each_group_stays(spark):
     docs = near_docs()
     kept = {i for i, _, _, keeps in brute_components(docs) if keeps}
-    repeated = docs + docs[:20] + [(None, "alone " * 9), (None, None)]
-    got = neardup.one_of_each(spark.createDataFrame(repeated, DOCS)).collect()
-    assert Counter(r.doc_id for r in got) == Counter([*kept, None, None])
+    repeated = docs + docs[:20] + [(None, "alone " * 9), (None, "other " * 9), (None, "other  " * 9), (None, None)]
+    table = spark.createDataFrame([(*r, "clash") for r in repeated], DOCS + ", component string")
+    got = neardup.one_of_each(table).collect()
+    assert Counter(r.doc_id for r in got) == Counter([*kept, None, None, None]) and got[0].component == "clash"
     assert neardup.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
 
 

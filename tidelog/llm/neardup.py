@@ -228,6 +228,11 @@ def _link_block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
+def _slot(value: Column) -> Column:
+    """One of SLOTS hash slots."""
+    return F.pmod(F.xxhash64(value), F.lit(SLOTS)).cast("int")
+
+
 def _text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
@@ -298,7 +303,10 @@ def links(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, kept), one row a document."""
+    """(doc_id, text_hash, n_shingles, component, component_id, kept), one row a document.
+
+    ``component`` numbers the components; it is NULL for documents without shingles.
+    """
     rows = land(features(docs, doc_id, text), "near-features")
     classes = land(
         rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature")), "near-classes"
@@ -308,36 +316,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("text"))
     # most texts have no partner and need not move: a set of at most SLOTS hash slots, broadcast,
     # tells nearly all of them; the join that follows is exact
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
-    slots = wanted.select(slot("least").alias("_slot")).distinct()
-    texts = texts.join(F.broadcast(slots), slot("_id") == F.col("_slot"), "left_semi")
+    slots = wanted.select(_slot(F.col("least")).alias("_slot")).distinct()
+    texts = texts.join(F.broadcast(slots), _slot(F.col("_id")) == F.col("_slot"), "left_semi")
     members = texts.hint("merge").join(wanted, F.col("_id").eqNullSafe(F.col("least")))
     members = members.select("node", "family", "weight", "text").mapInArrow(_sets, MEMBERS)
     found = components(links(land(members, "near-members")))
     roots = land(classes.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = land(skew_join(roots, least, "root").select("node", "component_id"), "near-components")
+    named = land(skew_join(roots, least, "root").select("node", F.col("root").alias("component"), "component_id"), "near-components")
     linked = rows.where("node IS NOT NULL").select("doc_id", "text_hash", "node", "n_shingles").join(named, "node")
-    alone = rows.where("node IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "text_hash", "n_shingles", "component_id").union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = rows.where("node IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("node").alias("component"), F.col("doc_id").alias("component_id"))
+    return linked.select(*alone.columns).union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, one of each group of near duplicates: that of the smallest id.
+    """The documents, one of each group of near duplicates: that of the smallest id (then text hash).
 
     Documents without words are no duplicates of anything; of rows equal in id and text one stays.
+    Only documents that share a hash slot with one that goes are compared with the list of those.
     """
-    near = near_duplicates(docs, doc_id, text).where("kept")
-    # ids may repeat with other texts: of a component one (id, text) stays
-    grouped = near.where("n_shingles > 0").groupBy("component_id").agg(F.min("text_hash").alias("text_hash"))
-    alone = near.where("n_shingles = 0").select("component_id", "text_hash").distinct()
-    kept = land(grouped.union(alone).toDF("_id", "_hash"), "near-kept")
-    rows = docs.withColumn("_hash", _text_hash(text))
-    twice = land(rows.groupBy(F.col(doc_id).alias("_id"), "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "near-repeated")
-    same = lambda right: F.col(doc_id).eqNullSafe(right["_id"]) & (rows["_hash"] == right["_hash"])
-    rows = rows.join(kept, same(kept), "left_semi")
-    if twice.isEmpty():
-        return rows.drop("_hash")
-    single = rows.join(twice, same(twice), "left_anti")
-    several = rows.join(twice, same(twice), "left_semi").dropDuplicates([doc_id, "_hash"])
-    return single.union(several).drop("_hash")
+    near = land(near_duplicates(docs, doc_id, text), "near-all")
+    grouped = near.where("n_shingles > 0").select("component", "doc_id", "text_hash")
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("one"))
+    stays = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash"))
+    gone = land(skew_join(grouped, first, "component").where(~stays).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "near-gone")
+    twice = near.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("n"))
+    twice = land(twice.where("n > 1").drop("n"), "near-repeated")
+    rows = docs.withColumn("_hash", _text_hash(text)).withColumn("_slot", _slot(F.col("_hash")))
+    slots = F.broadcast(gone.union(twice).select(_slot(F.col("_hash")).alias("_slot")).distinct())  # at most SLOTS rows
+    same = lambda right: F.col(doc_id).cast("bigint").eqNullSafe(right["_id"]) & (F.col("_hash_") == right["_hash"])
+    clear = rows.join(slots, "_slot", "left_anti")
+    met = rows.join(slots, "_slot", "left_semi").withColumnRenamed("_hash", "_hash_")
+    met = met.join(gone, same(gone), "left_anti")
+    if not twice.isEmpty():
+        several = met.join(twice, same(twice), "left_semi").dropDuplicates([doc_id, "_hash_"])
+        met = met.join(twice, same(twice), "left_anti").union(several)
+    return clear.select(docs.columns).union(met.select(docs.columns))

@@ -113,7 +113,7 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "component")
 
 
 @query
