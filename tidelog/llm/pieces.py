@@ -19,6 +19,7 @@ name of the result is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import sys
@@ -49,6 +50,7 @@ class Pieces:
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2
 
+        self.name = hashlib.sha1(model).hexdigest()
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         kind = sentencepiece_model_pb2.ModelProto.SentencePiece
@@ -86,10 +88,19 @@ class Encoder:
         for piece, score, i in pieces.scored:
             self.automaton.add_word(piece, (len(piece), score, i))
         self.automaton.make_automaton()
+        self.matches = self.automaton.iter
         self.singles = {piece for piece, _, _ in pieces.scored if len(piece) == 1}
+        # finds a character that has no piece of its own
+        self.foreign = re.compile("[^" + re.escape("".join(sorted(self.singles))) + "]", re.DOTALL).search
         self.byte_ids, self.unknown = pieces.byte_ids, pieces.unknown
-        self.cache: dict[str, array] = {}
-        self.lengths = {i: len(piece) for piece, _, i in pieces.scored}
+        self.lengths = [0] * len(pieces.bytes_of)
+        for piece, _, i in pieces.scored:
+            self.lengths[i] = len(piece)
+        # tasks that follow one another in a Python worker share the words they know
+        shared = vars(sys).setdefault("_tidelog_known_words", {})
+        if pieces.name not in shared:
+            shared.clear()
+        self.cache: dict[str, array] = shared.setdefault(pieces.name, {})
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     def _path(self, chunk: str) -> array:
@@ -98,16 +109,17 @@ class Encoder:
         low = (size + 1) * 2 * self.unknown
         # best[end] and piece[end] belong to the prefix that ends with character `end`;
         # index -1, the last cell, is the empty prefix
-        best, piece = [low] * size + [0], [-1] * size
-        if self.singles.issuperset(chunk):
-            for end, (length, score, i) in self.automaton.iter(chunk):
+        best, piece = [low] * (size + 1), [-1] * size
+        best[size] = 0
+        if self.foreign(chunk) is None:
+            for end, (length, score, i) in self.matches(chunk):
                 total = best[end - length] + score
                 if total > best[end]:
                     best[end] = total
                     piece[end] = i
         else:
             done = 0  # a character without a piece is relaxed after the matches of its end
-            for end, (length, score, i) in self.automaton.iter(chunk):
+            for end, (length, score, i) in self.matches(chunk):
                 while done < end:
                     self._unknown(chunk, done, best, piece)
                     done += 1
@@ -118,28 +130,26 @@ class Encoder:
             while done < size:
                 self._unknown(chunk, done, best, piece)
                 done += 1
-        ids, end, lengths = array("i"), size - 1, self.lengths
+        ids, end, lengths = [], size - 1, self.lengths
         while end >= 0:
             i = piece[end]
             if i >= 0:
                 ids.append(i)
                 end -= lengths[i]
             else:
-                ids.extend(self.byte_ids[b] for b in reversed(chunk[end].encode("utf-8", "surrogatepass")))
+                ids.extend([self.byte_ids[b] for b in reversed(chunk[end].encode("utf-8", "surrogatepass"))])
                 end -= 1
         ids.reverse()
-        return ids
+        return array("i", ids)
 
     def _unknown(self, chunk: str, at: int, best: list[int], piece: list[int]) -> None:
         if chunk[at] not in self.singles and best[at - 1] + self.unknown > best[at]:
             best[at], piece[at] = best[at - 1] + self.unknown, -1
 
     def _word(self, word: str) -> array:
-        """A word with its mark; short ones are kept."""
+        """A word with its mark; short ones are kept while there is room, the frequent ones come first."""
         ids = self._path(word)
-        if len(word) <= CACHE_LONGEST:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
+        if len(word) <= CACHE_LONGEST and len(self.cache) < CACHE_ENTRIES:
             self.cache[word[1:]] = ids
         return ids
 
@@ -214,9 +224,10 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: s
             column = batch.column(ids)
             values = column.values
             lowest, highest = pc.min_max(values).as_py().values()
-            flat = values.to_pylist()
             if values.null_count or lowest is not None and (lowest < 0 or highest >= nothing):
-                flat = [i if i is not None and 0 <= i < nothing else nothing for i in flat]
+                flat = [i if i is not None and 0 <= i < nothing else nothing for i in values.to_pylist()]
+            else:
+                flat = values.to_numpy().tolist()
             ends = column.offsets.to_pylist()
             known = column.is_valid().to_pylist()
             texts = [one(flat[a:b]) if k else None for a, b, k in zip(ends, ends[1:], known, strict=False)]
