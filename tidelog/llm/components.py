@@ -16,7 +16,7 @@ from .common import land, skew_join
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return skew_join(both, least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return skew_join(both, least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:

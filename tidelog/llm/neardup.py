@@ -10,12 +10,13 @@ collides MATCHES times:
 * prefix: with pairs ordered from rare to frequent, classes that collide MATCHES times share one
   of their first K - MATCHES + 1 pairs, so only those are posted. What many documents have in
   common (a shared line or passage) is frequent and stays out of nearly all prefixes;
-* classes that share postings, directly or over others, are a family. Inside a family collisions
-  are counted, pairs below MATCHES are skipped, the others are confirmed on their full sets.
+* the postings of a pair belong to the family of their centre, the class whose pairs are the most
+  frequent, so classes that share a posting share a family. Inside a family collisions are counted, pairs below MATCHES are skipped, the others are confirmed on
+  their full sets.
 
 A family may be a large part of the corpus (near copies of one text), and no family is handled
 by one task. Members of a large family are first compared with its CENTRES classes of the most
-frequent pairs, which are those that most copies resemble. What they link is one component and
+frequent pairs, which are those that most copies resemble. The largest part that these link
 needs no more comparisons inside; the classes left over are compared with the whole family,
 block by block. No pair of classes that may link two components is passed over, and no task
 emits more links than it has rows.
@@ -191,15 +192,33 @@ class _Sets:
 
 
 def _to_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of members with the centres that came along in their row."""
+    """Members with the centres they are linked with, as ids and as the bits of ``mask``."""
     for batch in batches:
-        found = []
-        for row in batch.to_pylist():
+        masks, links = [], []
+        for row in batch.select(["signature", "shingles", "centres"]).to_pylist():
             centres = row["centres"]
-            sets = _Sets([c["signature"] for c in centres], [c["shingles"] for c in centres])
-            found += [(row["node"], centres[i]["node"]) for i in sets.near(row["signature"], row["shingles"]) if centres[i]["node"] != row["node"]]
-        a, b = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            near = _Sets([c["signature"] for c in centres], [c["shingles"] for c in centres]).near(row["signature"], row["shingles"])
+            masks.append(sum(1 << int(i) for i in near))
+            links.append([centres[i]["node"] for i in near])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("family"), batch.column("node"), pa.array(masks, pa.int32()), pa.array(links, pa.list_(pa.int64()))],
+            names=["family", "node", "mask", "links"],
+        )
+
+
+def _mask_roots(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a family's distinct masks (fewer than 2^CENTRES): the lowest centre of each one's component."""
+    parts: list[int] = []
+    for mask in rows["mask"]:
+        mask = int(mask)
+        parts, apart = [p for p in parts if not p & mask], [p for p in parts if p & mask]
+        for p in apart:
+            mask |= p
+        parts.append(mask)
+    whole = [next(p for p in parts if p & int(m)) for m in rows["mask"]]
+    sizes = rows["n"].groupby(whole).sum()
+    main = max(sizes.index, key=lambda p: (sizes[p], -p))
+    return rows[["family", "mask"]].assign(lowest=[(w & -w).bit_length() - 1 for w in whole], main=[w == main for w in whole])
 
 
 def _link_block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -256,50 +275,60 @@ def postings(classes: DataFrame) -> DataFrame:
 
 
 def families(posted: DataFrame) -> DataFrame:
-    """(node, family, weight) of classes that share postings."""
-    centre = posted.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = skew_join(posted, centre.select("token", F.col("top.node").alias("centre")), "token")
-    found = components(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    weights = posted.groupBy("node").agg(F.max("weight").alias("weight"))
-    return found.join(weights, "node").select("node", F.col("root").alias("family"), "weight")
+    """(node, family, weight) of classes that share postings.
+
+    A token's centre is its heaviest class, its family the heaviest centre that this class itself
+    is posted with. The family depends on the token alone, so classes that share one meet; few
+    classes are in more than one family.
+    """
+    top = posted.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = land(
+        skew_join(posted, top.select("token", F.col("top.weight").alias("heavy"), F.col("top.node").alias("centre")), "token").drop("token"), "near-centres"
+    )
+    best = named.groupBy("node").agg(F.max(F.struct("heavy", "centre")).alias("best")).select(F.col("node").alias("centre"), F.col("best.centre").alias("family"))
+    return skew_join(named, best, "centre").groupBy("node", "family").agg(F.max("weight").alias("weight"))
 
 
 def links(members: DataFrame) -> DataFrame:
     """(a, b): confirmed links that make the components of every family; other links add nothing."""
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    sizes = land(members.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "family-sizes")
     large = land(sizes.where(F.col("size") > BLOCK), "large-families")
+    small = members.join(sizes.where(F.col("size") <= BLOCK).select("family"), "family")
+    data = ["family", "node", "root", "signature", "shingles"]
+    none = F.lit(0).cast("bigint")
+    alone = small.withColumns({"root": F.col("node"), "block": none, "left_block": none})
+    units = alone.select(*data, F.explode(F.array(F.lit(False), F.lit(True))).alias("left"), "block", "left_block")
+    if large.isEmpty():
+        return units.groupBy("family", "block", "left_block").applyInPandas(_link_block, "a bigint, b bigint")
     # centres of large families: at most CENTRES rows each
     by_weight = Window.partitionBy("family").orderBy(F.desc("weight"), "node")
     heavy = members.join(large, "family")
-    centres = heavy.select("family", "node", "weight").withColumn("rank", F.row_number().over(by_weight)).where(F.col("rank") <= CENTRES)
-    centres = members.join(centres.select("node"), "node", "left_semi").groupBy("family").agg(
+    best = heavy.select("family", "node", "weight").withColumn("rank", F.row_number().over(by_weight)).where(F.col("rank") <= CENTRES)
+    centres = members.join(best.select("family", "node"), ["family", "node"]).groupBy("family").agg(
         F.collect_list(F.struct("node", "signature", "shingles")).alias("centres")
     )
     centres = land(centres, "centres")
-    first = land(members.join(centres, "family").select("node", "signature", "shingles", "centres").mapInArrow(_to_centres, "a bigint, b bigint"), "centre-links")
-    # what the centres link is done among itself, if it is the largest such part of its family
-    known = land(components(first), "centre-components")
-    roots = members.select("node", "family").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    main = roots.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(
-        F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size")
-    )
-    main = main.select(
-        "family", "size", F.when(F.col("size") > BLOCK, F.col("top.root")).alias("main"),
-        F.when(F.col("size") > BLOCK, F.col("size") - F.col("top.n")).otherwise(F.col("size")).alias("rest"),
-    ).where("rest > 0")
-    main = land(main.withColumns({"blocks": F.ceil(F.col("size") / BLOCK), "left_blocks": F.ceil(F.col("rest") / BLOCK)}), "families")
-    placed = members.join(land(roots.drop("family"), "roots"), "node").join(main, "family")
-    shuffled = F.xxhash64("node")
-    block = F.pmod(shuffled, F.col("blocks")).alias("block")
-    left_block = F.pmod(shuffled, F.col("left_blocks")).alias("left_block")
-    data = ["family", "node", "root", "signature", "shingles"]
-    every = placed.select(*data, F.lit(False).alias("left"), block, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("left_blocks") - 1)).alias("left_block"))
-    rest = placed.where(F.col("main").isNull() | (F.col("root") != F.col("main"))).select(
-        *data, F.lit(True).alias("left"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), left_block
+    masked = members.join(centres, "family").select("family", "node", "signature", "shingles", "centres")
+    masked = land(masked.mapInArrow(_to_centres, "family bigint, node bigint, mask int, links array<bigint>"), "centre-links")
+    masks = masked.where("mask <> 0").groupBy("family", "mask").agg(F.count(F.lit(1)).alias("n"))
+    roots = masks.groupBy("family").applyInPandas(_mask_roots, "family bigint, mask int, lowest int, main boolean")
+    ids = centres.select("family", F.transform("centres", lambda c: c["node"]).alias("ids"))
+    roots = land(roots.join(ids, "family").select("family", "mask", "main", F.get("ids", F.col("lowest")).alias("root")), "centre-roots")
+    placed = masked.select("family", "node", "mask").join(roots, ["family", "mask"], "left").select(
+        "family", "node", F.coalesce("root", "node").alias("root"), F.coalesce(~F.col("main"), F.lit(True)).alias("rest")
     )
-    columns = [*data, "left", "block", "left_block"]
-    pairs = every.select(*columns).union(rest.select(*columns)).groupBy("family", "block", "left_block").applyInPandas(_link_block, "a bigint, b bigint")
-    return first.union(pairs)
+    placed = land(placed, "placed")
+    facts = placed.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.count_if("rest").alias("rest_size")).where("rest_size > 0")
+    facts = land(facts.select("family", F.ceil(F.col("size") / BLOCK).alias("blocks"), F.ceil(F.col("rest_size") / BLOCK).alias("left_blocks")), "families")
+    rows = members.join(placed, ["family", "node"]).join(facts, "family")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+    left_block = F.pmod(F.xxhash64("node"), F.col("left_blocks")).alias("left_block")
+    each = lambda n: F.explode(F.sequence(none, F.col(n) - 1))
+    every = rows.select(*data, F.lit(False).alias("left"), block, each("left_blocks").alias("left_block"))
+    rest = rows.where("rest").select(*data, F.lit(True).alias("left"), each("blocks").alias("block"), left_block)
+    units = units.union(every).union(rest)
+    pairs = units.groupBy("family", "block", "left_block").applyInPandas(_link_block, "a bigint, b bigint")
+    return pairs.union(masked.select(F.col("node").alias("a"), F.explode("links").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
