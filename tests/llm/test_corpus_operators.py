@@ -207,6 +207,20 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_among_near_copies(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in range(4):  # a few thousand near copies around each of four queries
+        centre = rng.normal(size=64)
+        centre /= np.linalg.norm(centre)
+        rows += [(50 * n, centre)] + [(1000 * n + 1001 + i, centre + rng.normal(size=64) * 10.0 ** -rng.integers(2, 4)) for i in range(999)]
+    vectors = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    table = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").repartition(3)
+    asks = lambda i: i % 50 == 0 and i < 200
+    got = topk.top_k(table, (F.col("vec_id") % 50 == 0) & (F.col("vec_id") < 200), k=70).collect()
+    assert {tuple(r) for r in got} == brute_top(vectors, asks, 70) and len(got) == 4 * 70
+
+
 # ---- components
 
 

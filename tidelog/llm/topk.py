@@ -2,7 +2,8 @@
 
 Every candidate is scored against a block of queries. A round gives, per query, a histogram
 of the scores inside the bracket that holds its k-th value; the histograms are summed over the
-cluster, the bracket shrinks to one bin, and the next round scores again with finer bins. When
+cluster, the bracket shrinks to one bin, and the next round scores again with finer bins. Bins
+are whole numbers wide, so the last ones may reach past the bracket; what lies there is not counted. When
 a bracket is one integer wide, or no more than SLACK scores lie above its lower edge, that edge
 is the query's bound: a last pass keeps scores from the bound on and breaks ties by id.
 
@@ -56,6 +57,7 @@ class _Block:
         reach = [math.isqrt(n * largest) + 1 for n in norms]  # no score lies beyond |q| * max |x|
         self.low = np.array([-r for r in reach], np.int64)
         self.width = np.array([-(-(2 * r + 1) // BINS) for r in reach], np.int64)
+        self.high = np.array([r + 1 for r in reach], np.int64)  # the first value above the bracket
         self.need = np.full(len(ids), k, np.int64)
         self.open = np.ones(len(ids), bool)
 
@@ -91,7 +93,7 @@ def _histograms(blocks: dict[int, _Block]):
             b = blocks[size]
             found, own = b.scores(ids, vectors)
             place = (found - b.low[:, None]) // b.width[:, None]
-            inside = (place >= 0) & (place < BINS) & ~own & b.open[:, None]
+            inside = (place >= 0) & (found < b.high[:, None]) & ~own & b.open[:, None]
             q, _ = np.nonzero(inside)
             counts[size] += np.bincount(q * BINS + place[inside], minlength=counts[size].size).reshape(-1, BINS)
         for size, count in counts.items():
@@ -119,6 +121,7 @@ def _shrink(block: _Block, rows: list) -> None:
             continue
         place = int(np.flatnonzero(enough[q])[-1])
         block.low[q] += place * block.width[q]
+        block.high[q] = min(block.high[q], block.low[q] + block.width[q])
         above = int(upto[q, place] - count[q, place])
         if block.width[q] == 1 or upto[q, place] <= min(SLACK, block.need[q] + SLACK):
             block.open[q] = False
