@@ -221,6 +221,18 @@ def test_top_k_among_near_copies(spark):
     assert {tuple(r) for r in got} == brute_top(vectors, asks, 70) and len(got) == 4 * 70
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)]
+    vectors += [(150, [1e8 / 256, 0.0, -1.0, 2.0]), (151, [-1e8 / 256, 3.0, 0.0, 1.0]), (200, [3e5, 4e5, 1.0, 0.0]), (152, [2.0**40 + 1, 1.0, 1.0, -1.0])]
+    vectors += [(250, [3e38, -1.0, 0.5, 1e30]), (251, [-3e38, 1e38, 1.0, 1.0]), (252, [1e30, 1e-3, 1e20, 3.0]), (253, [1e30, 1e-3, 1e20, 4.0])]
+    for kept, own_bits in ((vectors[:122], True), (vectors, False)):
+        table = spark.createDataFrame(kept, "vec_id bigint, embedding array<double>").repartition(3)
+        got = {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 50 == 0).collect()}
+        want = brute_top(kept, lambda i: i % 50 == 0, 5)
+        assert got == {(*r[:3], r[3] if -(2**63) <= r[3] < 2**63 else None) for r in want} and all(r[3] is not None for r in got) == own_bits
+
+
 # ---- components
 
 
