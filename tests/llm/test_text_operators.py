@@ -301,6 +301,21 @@ def test_terms_that_reveal_an_address(spark):
     assert out[33].text == texts[33] and out[34].text is None and out[0].spans == "clash"
 
 
+def test_terms_far_from_the_address_and_in_brackets(spark):
+    far = "and other words go on, " * 12
+    texts = [f"ask Zebulon {('red', 'green', 'blue')[n]}. {far}zeb@mail.org {far}<Zebulon> and 'Zebulon' (\"Zebulon\") é😀 [Zebulon]{'.' * n}" for n in range(3)]
+    texts += [f"ask nobody else of it. {far}<nobody> {n}" for n in range(40)]
+    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert all([texts[i][t.start : t.end] for t in rows[i].terms] == ["Zebulon"] * 5 for i in range(3))
+    assert all(not rows[i].terms for i in range(3, 43))
+
+
+def test_places_of_many_matches(spark):
+    text = "é😀ab, x" * 1000
+    (row,) = spark.createDataFrame([(0, text)], DOCS).select(pii._located(F.col("text"), pii.WORD).alias("w")).collect()
+    assert [(w.start, w.end, w.value) for w in row.w] == [(m.start(), m.end(), m.group()) for m in re.finditer("[a-zé]+", text)]
+
+
 def test_revealing_terms_by_hand(spark):
     contexts = spark.createDataFrame(
         [("e", "t", c, 0, 0) for c in (1, 2, 2)] + [("e", "u", 1, 0, 0)] * 5 + [("f", "t", 9, 0, 0)], "entity string, term string, context long, start int, end int"

@@ -1,17 +1,19 @@
 """Personal data: patterns, and terms that give a protected value away.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found by pattern with
-offsets in code points. A value found this way is a protected entity. Terms near an entity are
-then judged by what the corpus says about them: with p(e) the share of the corpus' words that
-stand near entity e, the entity's information is -log2 p(e), and a term t tells
+offsets in code points. A value found this way is a protected entity. Terms of the texts that hold
+an entity are then judged by what the corpus says about them: with p(e) the share of the corpus'
+words that stand in texts with entity e, the entity's information is -log2 p(e), and a term t tells
 log2(p(e, t) / (p(e) p(t))) of it. A term that tells at least ``disclose`` of the information,
-in at least ``support`` different contexts of the entity, is a span as well: from ``remove`` on
-it is removed, below it is generalised to its class.
+in at least ``support`` different contexts of the entity, is a span as well, wherever it stands in a
+text with the entity: from ``remove`` on it is removed, below it is generalised to its class.
 
-Counts cover the whole corpus: every word of every text, every context of every entity (the
-words within ``CONTEXT`` characters on either side of each occurrence). Contexts grow with the
-occurrences, never with their square. Copies of a context count as occurrences, but not as
-support.
+Counts cover the whole corpus: every word of every text, every text of every entity. A word is a
+run of letters with single ' or - inside, whatever stands around it; words of an address are none.
+A context is the sequence of a text's terms (words of three letters or more). Entities that occur
+in the same texts have equal counts and are judged once, so a text of many addresses that occur
+nowhere else costs one pass over its words. Copies of a text count as occurrences, but not as
+support. Texts without an entity keep their words.
 
 Everything is DataFrame code. Defined cases: NULL and empty texts have no spans; equal texts have
 equal spans, so spans are joined by the text's hash and repeated rows or ids do no harm; extra
@@ -37,9 +39,9 @@ PATTERNS = {
 # a text without this character or digit has no match
 NEEDS = {"email": "@", "phone": "+"}
 TERM = "term"
-TERM_PATTERN = r"(?:(?<=[\s,;:!?(])|^)[\p{L}][\p{L}'-]{2,}+(?=$|[\s,;:!?)]|\.(?:\s|$))"
-NOT_A_WORD = r"[^\p{L}'-]+"
-CONTEXT = 64
+WORD = r"\p{L}++(?:['-]\p{L}++)*+"
+TERM_LETTERS = 3
+RUN = 64
 SUPPORT = 2
 DISCLOSE, REMOVE = 0.85, 0.95
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -69,8 +71,16 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of the value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """ARRAY<STRUCT<start, end, value>> of the matches, in code points, end exclusive."""
+    """ARRAY<STRUCT<start, end, value>> of the matches, in code points, end exclusive.
+
+    Places are summed up within runs of RUN matches, then over the runs, as arrays are copied to be appended to.
+    """
     kind = "array<struct<start:int,end:int,value:string>>"
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # what stands in front of each match, and behind the last
@@ -83,8 +93,20 @@ def _located(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    cut = lambda pairs: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN).cast("int")),
+        lambda n: F.aggregate(F.slice(pairs, n * RUN + 1, F.lit(RUN)), first, add),
+    )
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = lambda runs: F.aggregate(
+        runs, begin, lambda s, r: F.struct((s["at"] + r["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"]
+    )
+    shift = lambda run, by: F.transform(
+        run["out"], lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), w["value"].alias("value"))
+    )
+    whole = lambda runs: F.flatten(F.zip_with(runs, starts(runs), shift))
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(matches)).alias("between"), matches.alias("match"))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(pairs, first, add, lambda s: s["out"])).otherwise(F.array().cast(kind))
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(pairs, lambda p: _let(cut(p), whole))).otherwise(F.array().cast(kind))
 
 
 def _kind_spans(text: Column, kind: str) -> Column:
@@ -103,46 +125,51 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """The words around a span: ARRAY<STRUCT<start, end, value>>, cut words left out."""
-    front = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    before = F.substring(text, front + 1, span["start"] - front)
-    after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    # a side that does not reach the text's edge may start or end within a word
-    left = F.when(front > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
-    right = F.when(F.length(after) == CONTEXT, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
-    shift = lambda words, by: F.transform(
-        words, lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("value"))
-    )
-    return F.concat(
-        shift(_located(left, TERM_PATTERN), span["start"] - F.length(left)), shift(_located(right, TERM_PATTERN), span["end"])
-    )
+def _without_addresses(text: Column) -> Column:
+    """The text with spaces for every e-mail address: the only entities with letters."""
+    pattern = PATTERNS["email"]
+    blank = lambda front, match: F.concat(front, F.repeat(F.lit(" "), F.coalesce(F.length(match), F.lit(0))))
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    blanked = F.array_join(F.zip_with(F.split(text, pattern, -1), matches, blank), "")
+    return F.when(F.contains(text, F.lit(NEEDS["email"])), blanked).otherwise(text)
 
 
-def _contexts(docs: DataFrame, text: str) -> DataFrame:
-    """One row per word near an entity: key of the text, entity, term, place, and the context it stands in."""
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """One row per text with entities: key, copies, context, entities, terms with their places."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("spans", base_spans(F.col("t"))).where(F.size("spans") > 0)
-    rows = rows.select("t", text_key(F.col("t")).alias("key"), F.explode("spans").alias("span"))
-    rows = rows.select(
-        "key", F.concat_ws(":", "span.kind", F.lower("span.value")).alias("entity"), _near(F.col("t"), F.col("span")).alias("words")
-    )
-    context = F.xxhash64(F.transform("words", lambda w: w["value"]))
-    return rows.withColumn("context", context).select("key", "entity", "context", F.explode("words").alias("w")).select(
-        "key", "entity", "context", F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")
+    named = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))
+    terms = F.filter(_located(_without_addresses(F.col("t")), WORD), lambda w: F.length(w["value"]) >= TERM_LETTERS)
+    words = F.transform(terms, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value")))
+    rows = rows.select(text_key(F.col("t")).alias("key"), F.array_distinct(named).alias("entities"), words.alias("words"))
+    rows = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    return rows.withColumn("context", F.xxhash64(F.transform("words", lambda w: w["value"])))
+
+
+def _contexts(docs: DataFrame, text: str) -> DataFrame:
+    """One row per text, term place and kind of entity: those that occur in the same texts are one."""
+    texts = land(_texts(docs, text), "pii-texts")
+    held = texts.select("key", F.explode("entities").alias("name"))
+    same = F.struct(F.bit_xor("key.h").alias("h"), F.bit_xor("key.g").alias("g"), F.count(F.lit(1)).alias("n"))
+    alike = land(held.groupBy("name").agg(same.alias("entity")), "pii-entities")
+    held = land(held.join(alike, "name").select("key", "entity").distinct(), "pii-held")
+    rows = texts.select("key", "copies", "context", F.explode("words").alias("w"))
+    return rows.join(held, "key").select(
+        "key", "entity", "context", F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "copies"
     )
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, n) over all words of all texts."""
-    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), NOT_A_WORD)
-    return docs.select(F.explode(words).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    words = F.regexp_extract_all(_without_addresses(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
+    return docs.select(F.explode(words).alias("term")).select(F.lower("term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def revealing_terms(contexts: DataFrame, counts: DataFrame, total: int, support: int = SUPPORT, disclose: float = DISCLOSE) -> DataFrame:
     """(entity, term, share): terms that tell at least ``disclose`` of an entity's information."""
-    pairs = contexts.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("m"))
+    contexts = contexts if "copies" in contexts.columns else contexts.withColumn("copies", F.lit(1))
+    pairs = contexts.groupBy("entity", "term", "context").agg(F.sum("copies").alias("m"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("m").alias("n_et"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
-    near = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    near = contexts.groupBy("entity").agg(F.sum("copies").alias("n_e"))
     known = pairs.join(near, "entity").join(counts.withColumnRenamed("n", "n_t"), "term")
     told = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_t") * F.col("n_e")))
     share = told / F.log2(F.lit(float(total)) / F.col("n_e"))
