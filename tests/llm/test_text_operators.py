@@ -310,6 +310,14 @@ def test_terms_far_from_the_address_and_in_brackets(spark):
     assert all(not rows[i].terms for i in range(3, 43))
 
 
+def test_terms_of_an_entity_in_one_text(spark):
+    texts = ["ask Zebulon at zeb@mail.org today", *["write to Abimelech at abi@mail.org now"] * 5, "ask nobody at x@mail.org today"]
+    texts += [f"ask nobody at all today, write to nobody now {n}" for n in range(400)]
+    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    found = {i: [(texts[i][t.start : t.end], t.act) for t in r.terms] for i, r in rows.items() if r.terms}
+    assert found == {0: [("Zebulon", "generalise")], **{i: [("Abimelech", "generalise")] for i in range(1, 6)}}
+
+
 def test_places_of_many_matches(spark):
     text = "é😀ab, x" * 1000
     (row,) = spark.createDataFrame([(0, text)], DOCS).select(pii._located(F.col("text"), pii.WORD).alias("w")).collect()

@@ -4,9 +4,11 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers, found by
 offsets in code points. A value found this way is a protected entity. Terms of the texts that hold
 an entity are then judged by what the corpus says about them: with p(e) the share of the corpus'
 words that stand in texts with entity e, the entity's information is -log2 p(e), and a term t tells
-log2(p(e, t) / (p(e) p(t))) of it. A term that tells at least ``disclose`` of the information,
-in at least ``support`` different contexts of the entity, is a span as well, wherever it stands in a
-text with the entity: from ``remove`` on it is removed, below it is generalised to its class.
+log2(p(e, t) / (p(e) p(t))) of it. A term that tells at least ``disclose`` of the information is a
+span as well, wherever it stands in a text with the entity: from ``remove`` on it is removed, below
+it is generalised to its class. One context, in however many copies, says less of p(e, t) than
+several: such a count is halved, which takes one bit off what the term tells. An entity of one text
+is judged like any other. ``support`` can ask for a number of different contexts.
 
 Counts cover the whole corpus: every word of every text, every text of every entity. A word is a
 run of letters with single ' or - inside, whatever stands around it; words of an address are none.
@@ -42,7 +44,8 @@ TERM = "term"
 WORD = r"\p{L}++(?:['-]\p{L}++)*+"
 TERM_LETTERS = 3
 RUN = 64
-SUPPORT = 2
+SUPPORT = 1
+ONE_CONTEXT = 0.5
 DISCLOSE, REMOVE = 0.85, 0.95
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 TERMS = "array<struct<start:int,end:int,act:string>>"
@@ -171,7 +174,8 @@ def revealing_terms(contexts: DataFrame, counts: DataFrame, total: int, support:
     pairs = pairs.groupBy("entity", "term").agg(F.sum("m").alias("n_et"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
     near = contexts.groupBy("entity").agg(F.sum("copies").alias("n_e"))
     known = pairs.join(near, "entity").join(counts.withColumnRenamed("n", "n_t"), "term")
-    told = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_t") * F.col("n_e")))
+    seen = F.when(F.col("contexts") == 1, F.col("n_et") * ONE_CONTEXT).otherwise(F.col("n_et"))
+    told = F.log2(F.lit(float(total)) * seen / (F.col("n_t") * F.col("n_e")))
     share = told / F.log2(F.lit(float(total)) / F.col("n_e"))
     return known.withColumn("share", F.when(F.col("n_e") < total, share)).where(F.col("share") >= disclose).select("entity", "term", "share")
 
