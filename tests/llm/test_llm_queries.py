@@ -12,8 +12,9 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.test_corpus_operators import brute_components, brute_top, near_docs
+from tests.llm.test_sequence_operators import brute_infill, brute_trie, check_packing
 from tests.llm.test_text_operators import _brute_spans
-from tidelog.llm import pieces
+from tidelog.llm import packing, pieces
 from tidelog.session import configure
 
 SMALL = "/root/testdata/sf0.001"
@@ -22,7 +23,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
-    names = ("documents", "pages", "embeddings", "labels")
+    names = ("documents", "pages", "embeddings", "labels", "conversations")
     rows = {n: con.execute(f"SELECT * FROM '{SMALL}/{n}.parquet'").fetchall() for n in names}
     docs = [(i, t, lang, source) for i, t, lang, source, _ in rows["documents"][:120]]
     docs += [(1000 + i, t, "en", "src0") for i, t in near_docs()]
@@ -30,6 +31,7 @@ def tables():
     rows["documents"] = [(*d, len(d[1] or "")) for d in docs]
     rows["pages"] += [(5000, None, None), (5001, "", ""), (5002, "HTTP://Sub.EXAMPLE.net/en/x?y#z", "é" * 700), (5003, "ftp://a.example.net", "é" * 700)]
     rows["embeddings"] = rows["embeddings"][:160] + [(9000, None, 0), (9050, [0.0] * 64, 1), (9050, [0.0] * 64, 1)]
+    rows["conversations"] = rows["conversations"][:80] + [(None, 0, "user", "x"), (71, None, None, None), (71, 0, "user", "é"), (72, 3, "", "")]
     return rows
 
 
@@ -39,6 +41,7 @@ def folder(spark, tables, tmp_path_factory):
     kinds = {
         "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "pages": "page_id bigint, url string, html string",
         "embeddings": "vec_id bigint, embedding array<float>, label int", "labels": "doc_id bigint, quality int, toxic int",
+        "conversations": "conv_id bigint, turn bigint, role string, text string",
     }
     for name, kind in kinds.items():
         spark.createDataFrame(tables[name], kind).repartition(3).write.parquet(f"{path}/{name}.parquet")
@@ -48,7 +51,7 @@ def folder(spark, tables, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "pages", "embeddings", "labels"):
+    for name in ("documents", "pages", "embeddings", "labels", "conversations"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
     return str(path)
 
@@ -138,6 +141,37 @@ def test_quality(spark, folder, tables):
         assert r.predicted == (r.score >= 0.7)
 
 
+def test_prefix_trie(spark, folder, tables):
+    got = [tuple(r) for r in rows_of(spark, folder, "op11_prefix_trie")]
+    assert set(got) == brute_trie(tables["conversations"]) and len(got) == len(set(got))
+
+
+def test_infill(spark, folder, tables):
+    got = {r.doc_id: r for r in rows_of(spark, folder, "op12_infill")}
+    assert len(got) == len(tables["documents"])
+    for doc, text, *_ in tables["documents"]:
+        n, form, low, high, output = brute_infill(doc, text)
+        want = (n, form, low, None if low is None else high - low, hashlib.sha256(output.encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+        r = got[doc]
+        assert (r.n, r.form, r.prefix_chars, r.middle_chars, r.output_sha256, r.restored_sha256) == want
+
+
+def test_packing(spark, folder, tables):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.VOCABULARY)
+    got = rows_of(spark, folder, "op13_packing")
+    used = check_packing(got, 2048)
+    total = 0
+    for doc, text, *_ in tables["documents"]:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        total += len(ids)
+        bounds = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want = [(n, a, b - a, zlib.crc32(array("I", ids[a:b]).tobytes())) for n, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+        assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == doc) == want
+    assert used <= -(-total // 2048) * 1.05 + 1
+
+
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if re.match("op[0-9]+_|pipeline", n)))
 def test_empty_tables(spark, empty, name):
     assert rows_of(spark, empty, name) == []
