@@ -7,8 +7,9 @@ gap only, so a task keeps one number a gap and streams its pieces.
 
 Pieces are dealt at random into groups of about ``GROUP``, packed side by side. Bins that end up
 full are sequences; the pieces of all others are dealt again, in fewer groups, until one group is
-left. That one takes its pieces longest first and packs what stays open anew as long as that saves a
-sequence. So what is lost does not grow with the number of groups.
+left, or most pieces of a round lie in open bins: then these are sequences too. The last group takes
+its pieces longest first and packs what stays open anew as long as that saves a sequence. So what is
+lost does not grow with the number of groups.
 
 NULL and empty texts are one piece, the end id alone. Repeated rows are packed each, an empty table
 gives none. Of other columns those asked for are kept; ``piece``, ``start``, ``length``, ``ids``,
@@ -22,6 +23,7 @@ import re
 import sys
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,13 +43,34 @@ END = 0
 GROUP = 32_768
 # Pieces of at most one FILLER-th of a sequence are placed last, longest first: they close what the others leave open.
 FILLER = 16
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 18
 LONGEST_KNOWN = 32
+LONG_TEXT = 1 << 20
 # A single space between two characters that are no white space begins a new word of a byte-level
 # vocabulary, whatever stands around: words can be encoded one by one.
 BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: printable ones as themselves, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + n) for n, b in enumerate(hidden)}
+
+
+class _Known(dict):
+    """Ids of words, as bytes; short ones are kept while there is room."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(word) <= LONGEST_KNOWN and len(self) < KNOWN_WORDS:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit integers."""
 
@@ -57,47 +80,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
         # the strings of special tokens are ordinary text
         self.tokenizer.encode_special_tokens = True
-        # tasks that follow one another in a Python worker share the words they know
-        shared = vars(sys).setdefault("_tidelog_packed_words", {})
-        self.known: dict[str, bytes] = shared.setdefault(hashlib.sha1(vocabulary).hexdigest(), {})
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """The text in parts that are encoded alike on their own.
-
-        Where white space is single spaces and line breaks between words, a line break is a token of its own too.
-        """
-        lines = text.split("\n")
-        if len(lines) == 1:
-            first, *others = text.split(" ")
-            plain = [first, *others]
-            parts = [first, *[" " + word for word in others]]
+        self.pieces = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        # words as they stand, and words behind a single space
+        self.bare = _Known(self.encode_part)
+        self.spaced = _Known(lambda word: self.encode_part(" " + word))
+        self.newline = self.encode_part("\n")
+
+    def encode_part(self, part: str) -> bytes:
+        word = part[1:] if part[:1] == " " else part
+        # letters of Latin scripts are one pre-token, which goes to the vocabulary directly
+        if word.isalpha() and max(word) < "\u0250":
+            ids = [t.id for t in self.pieces(part.encode().decode("latin-1").translate(self.letters))]
         else:
-            plain, parts = [], []
-            for line in lines:
-                first, *others = line.split(" ")
-                plain.append(first)
-                plain += others
-                parts += ("\n", first)
-                parts += [" " + word for word in others]
-            del parts[0]
-        return parts if plain == text.split() else BEFORE_WORD.split(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, split = self.known, [self.words(text) for text in texts]
-        unknown = list({word for words in split for word in words if word not in known})
-        found = {}
-        for at in range(0, len(unknown), 1 << 14):
-            some = unknown[at : at + (1 << 14)]
-            for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = np.array(coded.ids, "<u4").tobytes()
-                if len(word) <= LONGEST_KNOWN and len(known) < KNOWN_WORDS:
-                    known[word] = ids
-                else:
-                    found[word] = ids
-        if found:
-            return [b"".join([known[w] if w in known else found[w] for w in words]) for words in split]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        done, at = [], 0
+        while len(text) - at > LONG_TEXT and (cut := BEFORE_WORD.search(text, at + LONG_TEXT)):
+            done.append(self._short(text[at : cut.start()]))
+            at = cut.start()
+        done.append(self._short(text[at:] if at else text))
+        return b"".join(done)
+
+    def _short(self, text: str) -> bytes:
+        lines = [line.split(" ") for line in text.split("\n")]
+        # white space is nothing but single spaces and line breaks between words: a line break is a token of its own
+        if list(chain.from_iterable(lines)) == text.split():
+            out = []
+            for words in lines:
+                out.append(self.bare[words[0]])
+                out += map(self.spaced.__getitem__, words[1:])
+                out.append(self.newline)
+            return b"".join(out[:-1])
+        return b"".join(map(self.bare.__getitem__, BEFORE_WORD.split(text)))
+
+
+def encoder_of(vocabulary: bytes) -> Encoder:
+    """One for all tasks that follow one another in a Python worker."""
+    shared = vars(sys).setdefault("_tidelog_encoders", {})
+    name = hashlib.sha1(vocabulary).hexdigest()
+    if name not in shared:
+        shared[name] = Encoder(vocabulary)
+    return shared[name]
 
 
 def cut(
@@ -118,11 +144,11 @@ def cut(
     width = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(data)
+        encode = encoder_of(data).encode
         for batch in batches:
             row, piece, start, length, check, pieces = [], [], [], [], [], []
-            for n, ids in enumerate(encoder.encode(batch.column(batch.num_columns - 1).to_pylist())):
-                ids += last
+            for n, text in enumerate(batch.column(batch.num_columns - 1)):
+                ids = encode(text.as_py()) + last
                 first = len(ids) % width or width
                 bounds = [0, *range(first, len(ids) + 1, width)]
                 for number, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
@@ -199,10 +225,9 @@ def _packer(level: int, final: bool, capacity: int) -> Callable[[pd.DataFrame],
         fillers = rows["length"] <= (capacity if final else capacity // FILLER)
         rows = rows.assign(_turn=-rows["length"].where(fillers, capacity)).sort_values(["_turn", "_order"], ignore_index=True)
         chosen, offsets, free = (_repacked if final else sum_of_squares)(rows["length"].to_numpy(), capacity)
-        numbers = pd.array((level << 44 | int(rows["_group"].iloc[0]) << 20) + chosen, "Int64")
-        if not final:
-            numbers[free[chosen] > 0] = pd.NA
-        return pd.DataFrame({"_row": rows["_row"], "length": rows["length"], "sequence_id": numbers, "offset": offsets})
+        numbers = (level << 44 | int(rows["_group"].iloc[0]) << 20) + chosen
+        opened = (free[chosen] > 0) & (not final)
+        return pd.DataFrame({"_row": rows["_row"], "length": rows["length"], "sequence_id": numbers, "offset": offsets, "_open": opened})
 
     return pack
 
@@ -217,19 +242,20 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Da
         "_row", (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
     )
     left = rows.where(F.col("length") < capacity).select("_row", "length")
-    schema = "_row BIGINT, length BIGINT, sequence_id BIGINT, offset BIGINT"
-    settled, level = [whole], 0
-    while True:
-        groups = max(1, -(-left.count() // group))
+    schema = "_row BIGINT, length BIGINT, sequence_id BIGINT, offset BIGINT, _open BOOLEAN"
+    settled, level, size = [whole], 0, left.count()
+    while size:
+        groups = -(-size // group)
         final = groups == 1
 
         order = F.xxhash64(F.lit(level), "_row")
         dealt = left.select("_row", "length", order.alias("_order"), F.pmod(F.xxhash64(F.lit(level), F.lit(0), "_row"), F.lit(groups)).alias("_group"))
         packed = land(dealt.groupBy("_group").applyInPandas(_packer(level, final, capacity), schema), "packed")
-        settled.append(packed.where("sequence_id IS NOT NULL").select("_row", "sequence_id", "offset"))
-        if final:
-            break
-        left, level = packed.where("sequence_id IS NULL").select("_row", "length"), level + 1
+        opened = packed.where("_open").count()
+        # where most bins stay open, as with pieces above half a sequence, dealing them again would not help
+        done = opened > size // 2
+        settled.append((packed if done else packed.where("NOT _open")).select("_row", "sequence_id", "offset"))
+        left, level, size = packed.where("_open").select("_row", "length"), level + 1, 0 if done else opened
     places = settled[0]
     for more in settled[1:]:
         places = places.union(more)
