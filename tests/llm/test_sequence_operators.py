@@ -3,13 +3,13 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import eulertour, infill, packing
+from tidelog.llm import bytepair, eulertour, infill, lengths, packing
 from tidelog.llm.queries import SHARED_MOST
 
 # ------------------------------------------------------------------ prefix trie
@@ -211,11 +211,26 @@ def test_pieces_and_sequences(spark):
     assert sum(r.length for r in whole) == sum(r.length for r in rows) and all(len(r.ids) == 4 * r.length <= 256 for r in whole)
 
 
-def test_encoder_splits_words_exactly():
+def test_ids_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.VOCABULARY)
+    tokenizer.encode_special_tokens = True
     with open(packing.VOCABULARY, "rb") as file:
-        encoder = packing.Encoder(file.read())
+        encoder = bytepair.Encoder(file.read())
     rng = random.Random(1)
-    parts = [" ", "\n", "\t", "\r\n", "  ", "a", "é", "’", "'s", "'", ".", "1", "漢", " ", "　", "\xa0", "\x1c", "\x85", "<|endoftext|>", "don't", "​", "— "]
-    long = ["word é " * 400_000, "\n" * 1_100_000, "x" * 50_000]
-    for text in [*("".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3_000)), *long]:
-        assert encoder.encode(text) == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    parts = [" ", "\n", "\t", "\r\n", "  ", "a", "é", "’", "'s", "'", ".", "1", "漢", "\u2009", "\u3000", "\xa0", "\x1c", "\x85", "<|endoftext|>", "don't"]
+    parts += ["\u200b", "— ", " " * 1_500, "\n" * 1_023, "\u3000" * 1_100]
+    long = ["word é " * 100_000, "\n" * 300_000, "x" * 50_000, "a" + " " * 200_000 + "b"]
+    for text in [*("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3_000)), *long]:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(ids, "<u4").tobytes() and encoder.count(text) == len(ids)
+
+
+def test_lengths_of_blank_texts(spark):
+    texts = [" " * 5_000_000, "\n" * 5_000_000, "a" + "\t " * 1_000_000 + "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    with open(lengths.VOCABULARY, "rb") as file:
+        encoder = bytepair.Encoder(file.read())
+    got = {r.encoded_len: r.n_docs for r in lengths.length_histogram(docs).collect()}
+    assert got == dict(Counter(encoder.count(t) for t in texts)) and max(got) == 5_000_000

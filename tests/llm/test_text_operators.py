@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import lengths, merkle, pieces, pii, urls
+from tidelog.llm import bytepair, lengths, merkle, pieces, pii, urls
 
 DOCS = "doc_id bigint, text string"
 
@@ -98,7 +98,7 @@ def test_lengths_against_brute_force(spark):
 
     with open(lengths.VOCABULARY, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    encoding = tiktoken.Encoding("t", pat_str=lengths.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("t", pat_str=bytepair.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["tide", "log", "é", "日本", "<|endoftext|>", "\n"]) for _ in range(rng.randrange(40))) for _ in range(60)]
     texts += [None, "", "", " " * 3000, "x" * 50_000, *texts[:5]]

@@ -8,8 +8,6 @@ empty table gives an empty histogram. Other columns are not read.
 
 from __future__ import annotations
 
-import base64
-import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -18,38 +16,33 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from . import bytepair
+from .common import land, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed: how the vocabulary's publisher splits text before merging.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPAN = 1024
 
 
-def encoded_length(text: Column, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> Column:
-    """Number of tokens of a text. The rank file (below 2 MB) is read once and sent to the tasks."""
+def encoded_length(text: Column, vocabulary: str = VOCABULARY, pattern: str = bytepair.PATTERN) -> Column:
+    """Number of tokens of a text. The vocabulary file (below 2 MB) is read once and sent to the tasks."""
     with open(vocabulary, "rb") as file:
-        ranks = file.read()
-    name = hashlib.sha1(ranks).hexdigest()
+        data = file.read()
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-
-        merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
-        encoding = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+        encoder = bytepair.encoder_of(data, pattern)
         for texts in batches:
-            yield pd.Series([len(encoding.encode_ordinary(t)) for t in texts], dtype="int64")
+            yield pd.Series([encoder.count(t) for t in texts], dtype="int64")
 
     count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(count, "bigint")(F.coalesce(text, F.lit("")))
 
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(encoded_len, n_docs): one row per distinct length."""
+    """(encoded_len, n_docs): one row per distinct length, landed, so that the texts are encoded once."""
     lengths = docs.select(encoded_length(text_of(text), vocabulary).alias("encoded_len"))
-    return lengths.groupBy("encoded_len").agg(F.count(F.lit(1)).alias("n_docs"))
+    return land(lengths.groupBy("encoded_len").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
 
 
 def suffix_sums(histogram: DataFrame, span: int = SPAN) -> DataFrame:

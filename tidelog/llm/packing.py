@@ -13,17 +13,15 @@ lost does not grow with the number of groups.
 
 NULL and empty texts are one piece, the end id alone. Repeated rows are packed each, an empty table
 gives none. Of other columns those asked for are kept; ``piece``, ``start``, ``length``, ``ids``,
-``sequence_id`` and ``offset`` are names of results.
+``sequence_id`` and ``offset`` are names of results. Ids are those that the ``tokenizers`` library gives
+for the vocabulary file, which the tests hold them to.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 import sys
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bytepair
 from .common import land, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,87 +42,6 @@ END = 0
 GROUP = 32_768
 # Pieces of at most one FILLER-th of a sequence are placed last, longest first: they close what the others leave open.
 FILLER = 16
-KNOWN_WORDS = 1 << 18
-LONGEST_KNOWN = 32
-LONG_TEXT = 1 << 20
-# A single space between two characters that are no white space begins a new word of a byte-level
-# vocabulary, whatever stands around: words can be encoded one by one.
-BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
-
-
-def _byte_letters() -> dict[int, str]:
-    """How a byte-level vocabulary writes bytes: printable ones as themselves, the others from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(0x100 + n) for n, b in enumerate(hidden)}
-
-
-class _Known(dict):
-    """Ids of words, as bytes; short ones are kept while there is room."""
-
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= LONGEST_KNOWN and len(self) < KNOWN_WORDS:
-            self[word] = ids
-        return ids
-
-
-class Encoder:
-    """Ids of whole texts as little-endian 32-bit integers."""
-
-    def __init__(self, vocabulary: bytes):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_buffer(vocabulary)
-        # the strings of special tokens are ordinary text
-        self.tokenizer.encode_special_tokens = True
-        self.pieces = self.tokenizer.model.tokenize
-        self.letters = _byte_letters()
-        # words as they stand, and words behind a single space
-        self.bare = _Known(self.encode_part)
-        self.spaced = _Known(lambda word: self.encode_part(" " + word))
-        self.newline = self.encode_part("\n")
-
-    def encode_part(self, part: str) -> bytes:
-        word = part[1:] if part[:1] == " " else part
-        # letters of Latin scripts are one pre-token, which goes to the vocabulary directly
-        if word.isalpha() and max(word) < "\u0250":
-            ids = [t.id for t in self.pieces(part.encode().decode("latin-1").translate(self.letters))]
-        else:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        done, at = [], 0
-        while len(text) - at > LONG_TEXT and (cut := BEFORE_WORD.search(text, at + LONG_TEXT)):
-            done.append(self._short(text[at : cut.start()]))
-            at = cut.start()
-        done.append(self._short(text[at:] if at else text))
-        return b"".join(done)
-
-    def _short(self, text: str) -> bytes:
-        lines = [line.split(" ") for line in text.split("\n")]
-        # white space is nothing but single spaces and line breaks between words: a line break is a token of its own
-        if list(chain.from_iterable(lines)) == text.split():
-            out = []
-            for words in lines:
-                out.append(self.bare[words[0]])
-                out += map(self.spaced.__getitem__, words[1:])
-                out.append(self.newline)
-            return b"".join(out[:-1])
-        return b"".join(map(self.bare.__getitem__, BEFORE_WORD.split(text)))
-
-
-def encoder_of(vocabulary: bytes) -> Encoder:
-    """One for all tasks that follow one another in a Python worker."""
-    shared = vars(sys).setdefault("_tidelog_encoders", {})
-    name = hashlib.sha1(vocabulary).hexdigest()
-    if name not in shared:
-        shared[name] = Encoder(vocabulary)
-    return shared[name]
 
 
 def cut(
@@ -144,7 +62,7 @@ def cut(
     width = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder_of(data).encode
+        encode = bytepair.encoder_of(data).encode
         for batch in batches:
             row, piece, start, length, check, pieces = [], [], [], [], [], []
             for n, text in enumerate(batch.column(batch.num_columns - 1)):
