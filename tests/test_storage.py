@@ -288,3 +288,66 @@ def test_shared_folder_comes_from_the_session(spark, monkeypatch):
     assert session.work_dir(spark, "x").startswith(base)
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert configured is None or base == configured.rstrip("/")
+
+
+# ------------------------------------------------------------------ archive runs cost what is new
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_an_archived_request_are_left_out(spark, log, tmp_path):
+    path, out = str(tmp_path / "log"), str(tmp_path / "archives")
+    log_table.write_log(log({"body": request("same")}, {"body": request("other")}), path)
+    archive.archive_hours(spark, stored(spark, path), out, str(tmp_path / "s1"))
+    late = log({"seq_id": 3, "body": request("same")}, {"seq_id": 4, "body": request("same"), "ts": START + HOUR}, {"seq_id": 5, "body": request("new")})
+    log_table.write_log(late, path)
+    report = archive.archive_hours(spark, stored(spark, path), out, str(tmp_path / "s2")).collect()
+    # the copy in another hour stays
+    assert sorted(r.seq_id for r in archive.read_lines(spark, out).collect()) == [1, 2, 4, 5]
+    assert sorted((r.hour_key[-2:], r.records, r.verified) for r in report) == [("10", 1, True), ("11", 1, True)]
+    assert hour_folders(path) == []
+    log_table.write_log(log({"seq_id": 9, "body": request("same"), "ts": START + HOUR}), path)
+    archive.archive_hours(spark, stored(spark, path), out, str(tmp_path / "s3"), scope="global")
+    assert archive.read_lines(spark, out).count() == 4
+
+
+def test_a_short_first_copy_hides_later_runs_too(spark, log, tmp_path):
+    path, out = str(tmp_path / "log"), str(tmp_path / "archives")
+    log_table.write_log(log({"body": request("q"), "response": reply("short")}), path)
+    archive.archive_hours(spark, stored(spark, path), out, str(tmp_path / "s1"), keep_source=True, min_output_len=20)
+    log_table.write_log(log({"seq_id": 2, "body": request("q"), "response": reply("an answer that is long enough")}), path)
+    archive.archive_hours(spark, stored(spark, path), out, str(tmp_path / "s2"), min_output_len=20)
+    assert archive.read_lines(spark, out).count() == 0
+
+
+def test_a_run_opens_its_own_hours_only(spark, log, tmp_path, monkeypatch):
+    path, out = str(tmp_path / "log"), str(tmp_path / "archives")
+    log_table.write_log(log({}, {"ts": START + HOUR}, {"ts": START + 2 * HOUR}), path)
+    now = START + 50 * HOUR
+    jobs.archive_pending(spark, path, out, now, limit=1)
+    first = archive.read_lines(spark, out).inputFiles()
+    seen = []
+    real = archive.read_or_empty
+
+    def spy(session, where, schema):
+        frame = real(session, where, schema)
+        if where == out and frame.inputFiles():
+            chosen = frame.where(F.col("hour_key").isin(["2024-05-01_11"]))
+            seen.append({r.f for r in chosen.select(F.input_file_name().alias("f")).distinct().collect()})
+        return frame
+
+    real_verify = archive.verify
+
+    def verify(want, got):
+        assert "PartitionFilters: [hour_key" in plan_of(got) or "PartitionFilters: [isnotnull(hour_key" in plan_of(got)
+        return real_verify(want, got)
+
+    monkeypatch.setattr(archive, "read_or_empty", spy)
+    monkeypatch.setattr(archive, "verify", verify)
+    report = jobs.archive_pending(spark, path, out, now, limit=1).collect()
+    assert [r.hour_key[-2:] for r in report] == ["11"] and seen
+    assert not {os.path.basename(f) for f in first} & {os.path.basename(f) for files in seen for f in files}
+    runs = archive.read_report(spark, out).collect()
+    assert sorted((r.hour_key[-2:], r.records, r.verified) for r in runs) == [("10", 1, True), ("11", 1, True)]
+    assert all(r.checksum is not None for r in runs)

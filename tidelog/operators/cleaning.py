@@ -58,25 +58,33 @@ def _measured() -> Column:
 
 
 def clean_records(
-    log: DataFrame, mode: str = E.ALL_LINES, compat_sniff: bool = False, keep_tool_calls: bool = False
+    log: DataFrame, mode: str = E.ALL_LINES, compat_sniff: bool = False, keep_tool_calls: bool = False,
+    with_unreadable: bool = False,
 ) -> DataFrame:
     """Records that pass every row rule, before dedup.
 
     Columns: hour_key, seq_id, request, response, metadata, dedup_key, out_len.
     All row-local: the cheap rules reach the scan, decoding happens once.
     ``keep_tool_calls`` adds the tool calls and keeps replies that only call tools.
+    ``with_unreadable`` adds rows that pass the row rules but whose body is no JSON object (too large or
+    malformed ones too), marked in the column ``unreadable``.
     """
-    rows = log.where(kept_row() & (F.octet_length("response") > 0)).select(
+    filled, replied = F.octet_length("body") > 0, F.octet_length("response") > 0
+    rows = log.where(kept_row() & (filled | replied if with_unreadable else replied)).select(
         "hour_key", "seq_id", "model", "status", "duration_ms",
         codec.decode_body(F.col("body")).alias("_body"),
         codec.decode_response(F.col("response")).alias("_text"),
+        F.coalesce(filled, F.lit(False)).alias("_filled"), F.coalesce(replied, F.lit(False)).alias("_replied"),
     )
     parsed = compute_once(
-        rows, _parsed(mode, compat_sniff, keep_tool_calls), "_p", "hour_key", "seq_id", "model", "status", "duration_ms"
+        rows, _parsed(mode, compat_sniff, keep_tool_calls), "_p", "hour_key", "seq_id", "model", "status", "duration_ms",
+        "_filled", "_replied",
     )
     answer = F.col("_p.reply")
-    measured = compute_once(parsed.where(V.truthy(F.col("_p.body"), "messages")), _measured(), "_m")
-    said_enough = F.col("_m.out_len") >= HARD_MINIMUM
+    unreadable = F.col("_filled") & F.col("_p.body").isNull() if with_unreadable else F.lit(False)
+    usable = F.col("_replied") & V.truthy(F.col("_p.body"), "messages")
+    measured = compute_once(parsed.where(unreadable | usable), _measured(), "_m")
+    said_enough = unreadable | (F.col("_m.out_len") >= HARD_MINIMUM)
     if keep_tool_calls:
         said_enough = said_enough | (F.size(answer["tool_calls"]) > 0)
     response = F.struct(
@@ -94,6 +102,7 @@ def clean_records(
         F.struct("seq_id", "model", "status", "duration_ms").cast(METADATA_TYPE).alias("metadata"),
         _dedup_key(F.col("_m.request")).alias("dedup_key"),
         F.col("_m.out_len").alias("out_len"),
+        *([unreadable.alias("unreadable")] if with_unreadable else []),
     )
 
 
@@ -110,10 +119,7 @@ def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def dedup(records: DataFrame, scope: str = "hour") -> DataFrame:
     """First record (by seq_id) of each request, per hour or over the whole log."""
-    if scope not in ("hour", "global"):
-        raise ValueError(f"unknown scope {scope!r}")
-    keys = ["hour_key", "dedup_key"] if scope == "hour" else ["dedup_key"]
-    return first_per_key(records, keys, "seq_id")
+    return first_per_key(records, scope_keys(scope), "seq_id")
 
 
 def clean_dataset(
@@ -127,19 +133,34 @@ def clean_dataset(
     return kept.select("hour_key", "seq_id", "request", "response", "metadata")
 
 
+def scope_keys(scope: str) -> list[str]:
+    if scope not in ("hour", "global"):
+        raise ValueError(f"unknown scope {scope!r}")
+    return ["hour_key", "dedup_key"] if scope == "hour" else ["dedup_key"]
+
+
+def copies_of(records: DataFrame, scope: str = "hour", known: DataFrame | None = None) -> DataFrame:
+    """(hour_key, seq_id) of records that copy another one: the first by seq_id, or, with ``known``
+    (hour_key, dedup_key, seq_id), one that was stored before. Only narrow columns are read."""
+    keys = scope_keys(scope)
+    narrow = records.select("hour_key", "seq_id", "dedup_key")
+    first = narrow.groupBy(*keys).agg(F.min("seq_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    if known is None:
+        first = first.where("_n > 1")
+    else:
+        stored = known.groupBy(*keys).agg(F.min("seq_id").alias("_stored"))
+        first = first.join(stored, keys, "left").where("_n > 1 OR _stored IS NOT NULL")
+        first = first.withColumn("_first", F.coalesce("_stored", "_first")).drop("_stored")
+    return narrow.join(first, keys).where(F.col("seq_id") != F.col("_first")).select("hour_key", "seq_id")
+
+
 def without_copies(records: DataFrame, scope: str = "hour", min_output_len: int = HARD_MINIMUM) -> DataFrame:
     """``clean_dataset`` for landed records: the ids to leave out come from narrow columns.
 
     Requests with copies, and first copies that are too short, are few; the payloads are neither sorted
     nor shuffled unless the list of ids is too long to be broadcast.
     """
-    if scope not in ("hour", "global"):
-        raise ValueError(f"unknown scope {scope!r}")
-    keys = ["hour_key", "dedup_key"] if scope == "hour" else ["dedup_key"]
-    narrow = records.select("hour_key", "seq_id", "dedup_key", "out_len")
-    several = narrow.groupBy(*keys).agg(F.min("seq_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    copies = narrow.join(several, keys).where(F.col("seq_id") != F.col("_first")).select("hour_key", "seq_id")
-    kept = records.join(copies, ["hour_key", "seq_id"], "left_anti")
+    kept = records.join(copies_of(records, scope), ["hour_key", "seq_id"], "left_anti")
     if min_output_len > HARD_MINIMUM:
         kept = kept.where(F.col("out_len") >= min_output_len)
     return kept.select("hour_key", "seq_id", "request", "response", "metadata")

@@ -312,13 +312,13 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark, "archive")
     report = archive.archive_hours(spark, capture_log(spark, sf_dir), f"{root}/archives", f"{root}/cleaned", keep_source=True)
-    return report.drop("unreadable")
+    return report.drop("unreadable", "checksum")
 
 
 # An archived hour gets late rows: they are added, nothing is replaced, and the log is empty afterwards.
-# Copies are found within a run. An hour without records stays in the log.
+# Of a request's copies over the whole hour one stays: the first that was stored. An hour without records stays in the log.
 @query(f"""{_RECORDS}, runs AS (
-        SELECT *, row_number() OVER (PARTITION BY seq_id % 3 = 0, hour_key, model, messages_json ORDER BY seq_id) AS nth_run FROM records),
+        SELECT *, row_number() OVER (PARTITION BY hour_key, model, messages_json ORDER BY seq_id % 3 = 0, seq_id) AS nth_run FROM records),
     k AS (SELECT hour_key, bool_or(seq_id % 3 = 0) AS has_late, bool_or(seq_id % 3 <> 0) AS has_early FROM records GROUP BY 1)
     SELECT 'archive' AS part, hour_key, seq_id FROM runs WHERE nth_run = 1
     UNION ALL SELECT 'log', c.hour_key, c.seq_id FROM c LEFT JOIN k ON c.hour_key = k.hour_key

@@ -79,12 +79,12 @@ def archive_pending(
     """One run of the periodic archive job.
 
     Takes the hours asked for that are closed at ``now``. A dry run returns
-    them; a run returns the report per archived hour. Archives older than
-    ``retain_days`` days are removed afterwards, 0 keeps all.
+    them; a run returns the report per archived hour. What is archived already is known from the reports of
+    earlier runs. Archives older than ``retain_days`` days are removed afterwards, 0 keeps all.
     """
     configure(spark)
     log = _stored(spark, log_path)
-    archives = log_table.read_or_empty(spark, archive_path, HOURS).select("hour_key").distinct()
+    archives = archive.archived_hours(spark, archive_path)
     windows = late.closed_hours(scans.list_windows(log), H.ntz(now), allowed, zone)
     targets = archive.archive_targets(windows, archives, day, hour, before, everything, limit)
     if dry_run:

@@ -11,8 +11,8 @@ from ..schema import DATASET_SCHEMA
 from .log_table import by_hour
 
 
-def as_lines(records: DataFrame) -> DataFrame:
-    """hour_key, seq_id and the record as a JSON line. Keys absent from a request
+def as_lines(records: DataFrame, *more: str) -> DataFrame:
+    """hour_key, seq_id, the columns ``more`` and the record as a JSON line. Keys absent from a request
     stay absent; the fixed response and metadata keys are always written."""
     whole = F.to_json(
         F.struct(
@@ -21,7 +21,7 @@ def as_lines(records: DataFrame) -> DataFrame:
             F.parse_json(F.to_json("metadata", {"ignoreNullFields": "false"})).alias("metadata"),
         )
     )
-    return records.select("hour_key", "seq_id", whole.alias("value"))
+    return records.select("hour_key", "seq_id", *more, whole.alias("value"))
 
 
 def write_dataset(records: DataFrame, path: str) -> None:
