@@ -167,7 +167,14 @@ def archive_hours(
         _add(log.join(bad, ["hour_key", "seq_id"], "left_semi").select(LOG_COLUMNS), rejects_path, LOG_SCHEMA, chosen, compression="zstd")
     _add(first.select("hour_key", "seq_id", "dedup_key"), keys_path, KEYS, chosen, compression="zstd")
     counted = bad.groupBy("hour_key").agg(F.count(F.lit(1)).alias("unreadable"))
-    report = verify(kept, archived()).join(counted, "hour_key", "left")
+    checked = verify(kept, archived())
+    # hours of which everything is stored already
+    nothing = F.lit(0).cast("bigint")
+    repeated = copies.select("hour_key").distinct().join(before, "hour_key", "left_semi").join(checked, "hour_key", "left_anti").select(
+        "hour_key", nothing.alias("records"), nothing.alias("archived_records"),
+        F.lit(None).cast("decimal(38,0)").alias("checksum"), F.lit(True).alias("verified"),
+    )
+    report = checked.unionByName(repeated).join(counted, "hour_key", "left")
     report = report.select(*[F.col(c) for c in report.columns[:-1]], F.coalesce("unreadable", F.lit(0)).cast("bigint").alias("unreadable"))
     report.write.parquet(f"{staging_path}-report")
     report = spark.read.parquet(f"{staging_path}-report")
