@@ -117,7 +117,7 @@ def test_numbering_matches_brute_force(spark):
 def test_first_arrival_wins(spark):
     rows = spark.createDataFrame([(1, 5, "late"), (1, 2, "early"), (2, 1, "known"), (3, 9, "x")], "seq_id BIGINT, arrival_no BIGINT, what STRING")
     known = spark.createDataFrame([(2,)], "seq_id BIGINT")
-    got = {r.seq_id: r.what for r in merge.new_rows(rows, known).collect()}
+    got = {r.seq_id: r.what for r in merge.new_rows(merge.first_arrivals(rows), known).collect()}
     assert got == {1: "early", 3: "x"}
 
 

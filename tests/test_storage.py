@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from tests.conftest import START, reply, request
 from tidelog import session
 from tidelog.functions import codec
-from tidelog.operators import archive, cleaning, scans
+from tidelog.operators import archive, cleaning, reports, scans
 from tidelog.schema import LOG_SCHEMA
 from tidelog.sources import dataset, log_table, routes
 from tidelog.plans import jobs
-from tidelog.streaming import hourly, ingest, late, state
-from tidelog.streaming.state import run_to_end
+from tidelog.streaming import hourly, ingest, late
+from tidelog.streaming.batches import run_to_end
 
 HOUR = timedelta(hours=1)
 
@@ -220,23 +220,28 @@ def test_a_batch_run_again_changes_nothing(spark, log, tmp_path):
     assert sorted(r.seq_id for r in ingest.read_ingested(spark, str(tmp_path)).collect()) == [1, 2, 3]
 
 
-def test_parts_stay_few(spark, log, tmp_path):
+def test_many_batches_and_their_compaction(spark, log, tmp_path):
     root = str(tmp_path)
-    sink = ingest.LogSink(root, every=4)
-    for number in range(21):
+    sink = ingest.LogSink(root)
+    for number in range(8):
         late_by = 3 * 3_600_000.0 if number % 5 == 4 else 10.0
         rows = log({"seq_id": number, "duration_ms": late_by}, {"seq_id": max(0, number - 3), "error": "again"})
         sink(rows.withColumn("arrival_no", F.monotonically_increasing_id()), number)
-    sink(log({"seq_id": 20}).withColumn("arrival_no", F.lit(0)), 20)  # run again
-    for table in ("entries", "late", "keys"):
-        assert [p.level for p in state.parts(spark, f"{root}/{table}")] == [2, 1, 0]
-        assert len([n for n in os.listdir(f"{root}/{table}") if n.startswith("part=")]) == 3
+    sink(log({"seq_id": 7}).withColumn("arrival_no", F.lit(0)), 7)  # run again
     kept, quarantined = ingest.read_ingested(spark, root).collect(), ingest.read_ingested(spark, root, "late").collect()
-    assert sorted(r.seq_id for r in kept + quarantined) == list(range(21))
-    assert sorted(r.seq_id for r in quarantined) == [4, 9, 14, 19] and not any(r.error for r in kept)
+    assert sorted(r.seq_id for r in kept + quarantined) == list(range(8))
+    assert sorted(r.seq_id for r in quarantined) == [4] and not any(r.error for r in kept)
+    # open hours are left alone; a closed one is rewritten, and the folders of its batches go
+    assert jobs.compact(spark, root, START) == 0
+    assert jobs.compact(spark, root, START + 5 * HOUR) == 7
+    assert [n for n in os.listdir(f"{root}/entries") if n.startswith("batch=") and n != "batch=4"] == ["batch=-1"]
+    assert sorted(r.seq_id for r in ingest.read_ingested(spark, root).collect()) == [0, 1, 2, 3, 5, 6, 7]
+    assert jobs.compact(spark, root, START + 5 * HOUR) == 0
     found = ingest.lookup(spark, root, 7)
     assert [r.seq_id for r in found.collect()] == [7] and ingest.lookup(spark, root, 999).count() == 0
-    assert "PartitionFilters: [isnotnull(hour_key" in found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(hour_key" in plan_of(found)
+    known = ingest.known_ids(spark, f"{root}/keys", [0, 5])
+    assert known.count() == 8 and ingest.known_ids(spark, f"{root}/keys", [3]).count() == 0
 
 
 def test_late_rows_reach_the_archive(spark, log, tmp_path):
@@ -263,10 +268,16 @@ def test_hourly_counts_take_late_rows(spark, log, tmp_path):
     stream = lambda: spark.readStream.schema(LOG_SCHEMA).parquet(landing)
     log({"body": b"ab"}, {"body": b"abc", "ts": START + 50 * HOUR}).write.mode("append").parquet(landing)
     run_to_end(hourly.start_hourly(stream(), out, check, available_now=True))
+    groups = hourly.start_summary(stream(), f"{out}-groups", f"{check}-groups", available_now=True)
+    run_to_end(groups)
     log({"body": b"a", "ts": START + timedelta(minutes=5)}).write.mode("append").parquet(landing)
     run_to_end(hourly.start_hourly(stream(), out, check, available_now=True))
     rows = hourly.read_hourly(spark, out).orderBy("hour_start").collect()
     assert [(r.hour_start.hour, r["count"], r.body_total) for r in rows] == [(10, 2, 3), (12, 1, 3)]
+    run_to_end(hourly.start_summary(stream(), f"{out}-groups", f"{check}-groups", available_now=True))
+    kept = hourly.read_summary(spark, f"{out}-groups")
+    assert reports.summary_of(kept).first() == reports.summary(spark.read.schema(LOG_SCHEMA).parquet(landing)).first()
+    assert kept.count() == 2
 
 
 def test_late_rows(spark, log, tmp_path):

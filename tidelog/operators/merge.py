@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .cleaning import first_per_key
 
-BUCKET = 1 << 20
+BUCKET = 1 << 14
 
 
 def with_bucket(rows: DataFrame) -> DataFrame:
@@ -18,6 +18,6 @@ def first_arrivals(rows: DataFrame, order: str = "arrival_no") -> DataFrame:
     return first_per_key(rows, ["seq_id"], order)
 
 
-def new_rows(arrivals: DataFrame, known: DataFrame, order: str = "arrival_no") -> DataFrame:
-    """Arrivals whose id is not known yet, the first of each id."""
-    return first_arrivals(arrivals, order).join(known.select("seq_id"), "seq_id", "left_anti")
+def new_rows(arrivals: DataFrame, known: DataFrame) -> DataFrame:
+    """Arrivals (first ones) whose id is not among the ``known``: those of the id ranges they touch."""
+    return arrivals.join(known.select("seq_id"), "seq_id", "left_anti")

@@ -30,6 +30,39 @@ def summary(log: DataFrame) -> DataFrame:
     )
 
 
+# What the reports can be answered from: narrow sums per hour, model and status.
+GROUP = ["hour_key", "model", "status", "failed"]
+GROUPED = "model STRING, status INT, failed BOOLEAN, n BIGINT, body_total BIGINT, resp_total BIGINT, hour_key STRING"
+
+
+def grouped(log: DataFrame) -> DataFrame:
+    # NULLs are groups of their own; a key that is joined on later must not be NULL
+    model, status = F.coalesce("model", F.lit("")), F.coalesce("status", F.lit(-1))
+    failed = F.coalesce("error", F.lit("")) != ""
+    sums = log.groupBy("hour_key", model.alias("model"), status.alias("status"), failed.alias("failed")).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("body_len"), F.lit(0)).alias("body_total"), F.sum(_resp_size()).alias("resp_total")
+    )
+    return sums.select([part.split()[0] for part in GROUPED.split(", ")])
+
+
+def summary_of(groups: DataFrame) -> DataFrame:
+    """``summary`` from the rows of ``grouped``."""
+
+    def total(value, where=None):
+        return F.coalesce(F.sum(value if where is None else F.when(where, value)), F.lit(0)).cast("bigint")
+
+    n, status = F.col("n"), F.col("status")
+    return groups.agg(
+        total(n).alias("total"), total(n, status == 200).alias("success"), total(n, (status != 200) & (status != -1)).alias("errors"),
+        total(n, status == -1).alias("pending"), total(n, F.col("failed")).alias("with_error"),
+        total(F.col("body_total")).alias("body_total"), total(F.col("resp_total")).alias("resp_total"),
+    )
+
+
+def by_model_of(groups: DataFrame) -> DataFrame:
+    return groups.groupBy("model").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "model")
+
+
 def by_model(log: DataFrame) -> DataFrame:
     return log.groupBy("model").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "model")
 
@@ -86,9 +119,17 @@ def window_sizes(log: DataFrame) -> DataFrame:
 
     Summed per hour first, so the rollup expands a few rows, not the log.
     """
-    hourly = log.groupBy("hour_key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("body_len").alias("b"), F.sum(_resp_size()).alias("r")
+    return _rolled_up(
+        log.groupBy("hour_key").agg(F.count(F.lit(1)).alias("n"), F.sum("body_len").alias("b"), F.sum(_resp_size()).alias("r"))
     )
+
+
+def window_sizes_of(groups: DataFrame) -> DataFrame:
+    """``window_sizes`` from the rows of ``grouped``."""
+    return _rolled_up(groups.groupBy("hour_key").agg(F.sum("n").alias("n"), F.sum("body_total").alias("b"), F.sum("resp_total").alias("r")))
+
+
+def _rolled_up(hourly: DataFrame) -> DataFrame:
     return (
         hourly.rollup("hour_key")
         .agg(

@@ -15,7 +15,7 @@ from ..schema import LOG_SCHEMA
 from ..session import work_dir
 from ..sources import log_table, routes
 from ..streaming import hourly, ingest, late
-from ..streaming.state import read_parts, run_to_end
+from ..streaming.batches import read_batches, run_to_end
 from .event_log import E, event_log, from_events
 from .registry import query
 
@@ -275,7 +275,9 @@ def _twice(log: DataFrame) -> DataFrame:
 def ingest_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
     known = log.where(F.col("hour_key") < ARCHIVED_UP_TO)
-    return merge.new_rows(_twice(log), known).select("seq_id", "error", "hour_key")
+    arrivals = merge.with_bucket(merge.first_arrivals(_twice(log)))
+    touched = merge.with_bucket(known).join(arrivals.select("seq_bucket").distinct(), "seq_bucket", "left_semi")
+    return merge.new_rows(arrivals, touched).select("seq_id", "error", "hour_key")
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,6 +303,28 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The reports from the groups that a stream keeps.
+@query(f"""{E} SELECT 'total' AS report, '' AS key, count(*) AS count, count(*) FILTER (status = 200) AS success,
+        count(*) FILTER (status <> 200) AS errors, count(*) FILTER (status IS NULL) AS pending, count(error) AS with_error,
+        CAST(sum(body_len) AS BIGINT) AS body_total, CAST(sum(resp_size) AS BIGINT) AS resp_total FROM e
+    UNION ALL SELECT 'model', model, count(*), NULL, NULL, NULL, NULL, NULL, NULL FROM e GROUP BY 2
+    UNION ALL SELECT 'hour', hour_key, count(*), NULL, NULL, NULL, NULL, CAST(sum(body_len) AS BIGINT), CAST(sum(resp_size) AS BIGINT)
+        FROM e GROUP BY 2""")
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = work_dir(spark, "summary")
+    run_to_end(hourly.start_summary(_event_stream(spark, sf_dir), f"{root}/groups", f"{root}/checkpoint", available_now=True))
+    groups = hourly.read_summary(spark, f"{root}/groups")
+    total = reports.summary_of(groups).select(
+        F.lit("total").alias("report"), F.lit("").alias("key"), F.col("total").alias("count"), "success", "errors", "pending",
+        "with_error", "body_total", "resp_total",
+    )
+    models = reports.by_model_of(groups).select(F.lit("model").alias("report"), F.col("model").alias("key"), "count")
+    hours = reports.window_sizes_of(groups).where("NOT is_total").select(
+        F.lit("hour").alias("report"), F.col("hour_key").alias("key"), F.col("entries").alias("count"), "body_total", "resp_total"
+    )
+    return total.unionByName(models, allowMissingColumns=True).unionByName(hours, allowMissingColumns=True)
+
+
 @query(f"""{E} SELECT seq_id, hour_key, ts + to_microseconds(CAST(round(duration_ms * 1000) AS BIGINT))
         > date_trunc('hour', ts) + INTERVAL 1 HOUR AS late FROM e""")
 def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,4 +334,4 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             _event_stream(spark, sf_dir), f"{root}/rows", f"{root}/checkpoint", allowed=timedelta(0), available_now=True
         )
     )
-    return read_parts(spark, f"{root}/rows", f"{LOG_SCHEMA}, late BOOLEAN").select("seq_id", "hour_key", "late")
+    return read_batches(spark, f"{root}/rows", f"{LOG_SCHEMA}, late BOOLEAN").select("seq_id", "hour_key", "late")

@@ -13,14 +13,39 @@ from ..schema import LOG_SCHEMA
 from ..session import configure, work_dir
 from ..sources import dataset, log_table
 from ..streaming import ingest, late
-from ..streaming.state import parts, read_parts
+from ..streaming.batches import read_batches, write_batch
 
 HOURS = "hour_key STRING"
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    """A stored log: plain, or the parts that ``start_ingest`` keeps."""
-    return read_parts(spark, path, LOG_SCHEMA) if parts(spark, path) else log_table.read_log(spark, path)
+    """A stored log: plain, or in the folders of batches that ``start_ingest`` writes."""
+    return read_batches(spark, path, LOG_SCHEMA)
+
+
+def compact(spark: SparkSession, root: str, now: datetime, allowed: timedelta = late.ALLOWED, zone: str = "UTC") -> int:
+    """Rewrite the closed hours of an ingested log, each in few files, and drop the files they were read from.
+
+    An ordinary job between the stream and the archive run of a scheduler: it takes closed hours only, which
+    the stream no longer writes to, and nobody else should read these while it runs. Returns the files dropped.
+    """
+    configure(spark)
+    path = f"{root}/entries"
+    log = read_batches(spark, path, LOG_SCHEMA)
+    staging = work_dir(spark, "compact")
+    closed = late.closed_hours(scans.list_windows(log), H.ntz(now), allowed, zone)
+    log_table.hour_files(log).join(closed, "hour_key", "left_semi").write.parquet(staging)
+    files = spark.read.schema("hour_key STRING, file STRING").parquet(staging)
+    several = files.groupBy("hour_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hours = [row.hour_key for row in several.toLocalIterator()]
+    if not hours:
+        return 0
+    lowest = log_table.read_or_empty(spark, path, f"{LOG_SCHEMA}, batch BIGINT").agg(F.min("batch")).first()[0]
+    write_batch(log_table.by_hour(log.where(F.col("hour_key").isin(hours))), path, min(lowest, 0) - 1, "hour_key")
+    dropped = [row.file for row in files.where(F.col("hour_key").isin(hours)).toLocalIterator()]
+    log_table.delete_files(spark, dropped)
+    log_table.drop_folder(spark, staging)
+    return len(dropped)
 
 
 def clean(

@@ -49,10 +49,11 @@ def land_entries(rows: DataFrame, zone: str = "UTC") -> DataFrame:
     return encode_entries(whole) if dict(rows.dtypes).get("body") == "string" else whole
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table that may not exist yet."""
+def read_or_empty(spark: SparkSession, path: str, schema: str, base: str | None = None) -> DataFrame:
+    """A Parquet table that may not exist yet. ``base``: the table that a ``path`` to some of its folders is of."""
+    reader = spark.read.schema(schema)
     try:
-        return spark.read.schema(schema).parquet(path)
+        return (reader.option("basePath", base) if base else reader).parquet(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -89,8 +90,12 @@ def delete_files(spark: SparkSession, files: Iterable[str]) -> None:
         storage.delete(path, False)
         # not recursive: a folder that has got new rows meanwhile stays
         folder = path.getParent()
-        if folder.getName().startswith("hour_key=") and not storage.listStatus(folder):
-            storage.delete(folder, False)
+        while "=" in folder.getName() and not [f for f in storage.listStatus(folder) if not f.getPath().getName().startswith("_")]:
+            if folder.getName().startswith("hour_key="):
+                storage.delete(folder, False)
+            else:  # the folder of a batch, but for its marker of success
+                storage.delete(folder, True)
+            folder = folder.getParent()
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -1,4 +1,10 @@
-"""Counts per hour of request start, kept up to date."""
+"""Counts per hour, model and status, kept up to date by a stream.
+
+The state is one row a group, not a request, so nothing has to be dropped to bound it and late rows
+still count. A batch gives the new values of the groups it changed. They replace the old ones in the
+folders of their hours, so the table holds each group once, however long the stream runs, and a batch
+that is run again changes nothing.
+"""
 
 from __future__ import annotations
 
@@ -6,41 +12,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .state import EVERY, merge_parts, read_parts, write_batch
+from ..operators.reports import GROUP, GROUPED, grouped
+from ..session import work_dir
+from ..sources.log_table import drop_folder, read_or_empty
 
-STATE = "hour_start TIMESTAMP_NTZ, count BIGINT, body_total BIGINT, batch BIGINT"
+STATE = "hour_start TIMESTAMP_NTZ, count BIGINT, body_total BIGINT, hour_key STRING"
 
 
 def hourly_counts(rows: DataFrame) -> DataFrame:
-    """Tumbling windows. The state is one row per hour, not per request, so
-    nothing has to be dropped to bound it and late rows still count."""
-    return rows.groupBy(F.window("ts", "1 hour")).agg(
-        F.count(F.lit(1)).alias("count"), F.sum("body_len").alias("body_total")
-    ).select(F.col("window.start").alias("hour_start"), "count", "body_total")
-
-
-def _newest(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("hour_start").agg(F.max_by(F.struct("count", "body_total"), "batch").alias("v"), F.max("batch").alias("batch")).select(
-        "hour_start", "v.count", "v.body_total", "batch"
-    )
+    """Tumbling windows by request start."""
+    counts = rows.groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("count"), F.sum("body_len").alias("body_total"))
+    start = F.col("window.start")
+    return counts.select(start.alias("hour_start"), "count", "body_total", F.date_format(start, "yyyy-MM-dd_HH").alias("hour_key"))
 
 
-def start_hourly(
-    rows: DataFrame, path: str, checkpoint: str, available_now: bool = False, every: int = EVERY
-) -> StreamingQuery:
-    """Each batch writes the hours it changed under its own id (safe to run again); merged parts keep
-    the newest state of an hour only."""
-
+def _keep(changed: DataFrame, path: str, checkpoint: str, schema: str, group: list[str], available_now: bool) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch.withColumn("batch", F.lit(batch_id).cast("bigint")), path, batch_id)
-        if batch_id % every == every - 1:
-            merge_parts(batch.sparkSession, path, STATE, lambda old, to: _newest(old).write.mode("overwrite").parquet(to), every)
+        spark = batch.sparkSession
+        # the hours of a batch, a few characters each, choose the folders to read
+        batch = batch.persist()
+        try:
+            hours = [row.hour_key for row in batch.select("hour_key").distinct().collect()]
+            old = read_or_empty(spark, path, schema).where(F.col("hour_key").isin(hours)).join(batch.select(*group), group, "left_anti")
+            # landed first: a folder cannot be read and replaced in one job
+            staging = work_dir(spark, "hourly")
+            batch.unionByName(old).write.parquet(staging)
+        finally:
+            batch.unpersist()
+        rows = spark.read.schema(schema).parquet(staging).hint("rebalance", "hour_key")
+        rows.write.mode("overwrite").partitionBy("hour_key").option("partitionOverwriteMode", "dynamic").parquet(path)
+        drop_folder(spark, staging)
 
-    writer = hourly_counts(rows).writeStream.outputMode("update").foreachBatch(write)
-    writer = writer.option("checkpointLocation", checkpoint)
+    writer = changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="2 seconds")).start()
 
 
+def start_hourly(rows: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    return _keep(hourly_counts(rows), path, checkpoint, STATE, ["hour_key"], available_now)
+
+
 def read_hourly(spark: SparkSession, path: str) -> DataFrame:
-    """The newest state of every hour."""
-    return _newest(read_parts(spark, path, STATE)).drop("batch")
+    return read_or_empty(spark, path, STATE).drop("hour_key")
+
+
+def start_summary(rows: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Keep ``reports.grouped`` of a stream; every report can be answered from it."""
+    return _keep(grouped(rows), path, checkpoint, GROUPED, GROUP, available_now)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    return read_or_empty(spark, path, GROUPED)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import hours as H
-from .state import write_batch
+from .batches import write_batch
 
 # longest upstream wait is 20 minutes; half an hour leaves room
 ALLOWED = timedelta(minutes=30)
