@@ -15,6 +15,8 @@ from ..operators import archive, cleaning, decoding, paging, rules, turns
 from ..schema import LOG_SCHEMA
 from ..session import work_dir
 from ..sources import dataset, log_table
+from ..streaming import chunks
+from ..streaming.batches import run_to_end
 from . import jobs
 from .capture_log import C, capture_log, decoded_log
 from .event_log import E, event_log
@@ -78,6 +80,25 @@ def assemble_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("seq_id", F.md5(codec.decode_response(F.col("bytes"))).alias("response_md5"))
 
 
+# The same chunks as they arrive: spread over three batches, those of one reply in any order.
+@query(f"{C} SELECT seq_id, md5(response_text) AS response_md5 FROM c WHERE replied")
+def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, root, data = 400, work_dir(spark, "chunks"), F.col("response")
+    count = F.ceil(F.octet_length(data) / F.lit(size)).cast("int")
+    parts = capture_log(spark, sf_dir).where("response IS NOT NULL").select(
+        "seq_id", data, (count - 1).alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("no")
+    )
+    parts = parts.select(
+        "seq_id", F.col("no").cast("bigint").alias("chunk_no"), F.substring(data, F.col("no") * size + 1, F.lit(size)).alias("bytes"),
+        (F.col("no") == F.col("n")).alias("last"),
+    )
+    parts.repartition(3, F.xxhash64("seq_id", "chunk_no")).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(chunks.CHUNKS).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    run_to_end(chunks.start_assembly(stream, f"{root}/out", f"{root}/checkpoint", available_now=True))
+    whole = chunks.read_assembled(spark, f"{root}/out").where("complete")
+    return whole.select("seq_id", F.md5(codec.decode_response(F.col("bytes"))).alias("response_md5"))
+
+
 @query(f"{C} SELECT seq_id, model FROM c")
 def model_of_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded_log(spark, sf_dir).select("seq_id", rules.model_of_body(F.col("body_text")).alias("model"))
