@@ -223,3 +223,19 @@ def test_long_replies_are_folded_in_one_pass(value):
     assert usage == '{"output_tokens":7999}'
     assert [(c.id, c.input_json) for c in got] == [(f"t{n}", str(n)) for n in range(3000)]
     assert middle - started < 10 and time.time() - middle < 10
+
+
+def test_many_tool_calls_in_one_reply(value):
+    frames, lacking = [], []
+    for n in range(12_000):
+        for event in (
+            {"type": "content_block_start", "content_block": {"type": "tool_use", "id": f"t{n}", "name": "f", "input": {}}},
+            {"type": "content_block_delta", "delta": {"type": "input_json_delta", "partial_json": f'{{"n":{n}}}'}},
+        ):
+            frames.append({**event, "index": n})
+            lacking.append(event)
+    started = time.time()
+    calls = value(lambda text: E.rebuild_tool_calls(E.events_of(text)), text=sse(*frames))
+    assert [(c.id, c.input_json) for c in calls] == [(f"t{n}", f'{{"n":{n}}}') for n in range(12_000)]
+    assert len(value(lambda text: E.rebuild_tool_calls(E.events_of(text)), text=sse(*lacking))) == 24_000
+    assert time.time() - started < 60

@@ -191,15 +191,24 @@ def _given_input(event: Column) -> Column:
 
 def _number_blocks(events: Column) -> Column:
     """ARRAY<BIGINT>: the block index of each tool event. An event without one takes
-    the number of blocks known so far."""
-    known = F.array().cast("array<bigint>")
+    the number of blocks known so far. Only a reply that names some and leaves out others is folded."""
+    given = F.transform(events, lambda e: e["e"]["index"])
+    nothing = F.array().cast("array<bigint>")
+    start = F.struct(nothing.alias("known"), nothing.alias("numbers"))
 
-    def step(state: Column, event: Column) -> Column:
-        index = F.coalesce(event["e"]["index"], F.size(F.array_distinct(state)).cast("bigint"))
-        return F.concat(state, F.array(index))
+    def step(state: Column, index: Column) -> Column:
+        known = state["known"]
 
-    given = F.transform(events, lambda e: e["e"]["index"])
-    return F.when(F.exists(given, lambda i: i.isNull()), F.aggregate(events, known, step)).otherwise(given)
+        def placed(number: Column) -> Column:
+            more = F.when(F.array_contains(known, number), known).otherwise(F.concat(known, F.array(number)))
+            return F.struct(more.alias("known"), F.concat(state["numbers"], F.array(number)).alias("numbers"))
+
+        return V.bind(F.coalesce(index, F.size(known).cast("bigint")), placed)
+
+    folded = F.aggregate(given, start, step, lambda state: state["numbers"])
+    counted = F.transform(given, lambda _, at: at.cast("bigint"))
+    some, lacking = F.exists(given, lambda i: i.isNotNull()), F.exists(given, lambda i: i.isNull())
+    return F.when(~lacking, given).when(~some, counted).otherwise(folded)
 
 
 def rebuild_tool_calls(events: Column) -> Column:
@@ -213,31 +222,11 @@ def rebuild_tool_calls(events: Column) -> Column:
         lambda e: (_is(e, "content_block_delta") & (e["e"]["delta"]["type"] == "input_json_delta"))
         | (_is_start(e) & (e["e"]["content_block"]["type"] == "tool_use")),
     )
-
-    def numbered(tools: Column) -> Column:
-        return V.bind(_number_blocks(tools), lambda index: calls(tools, index))
-
-    def calls(tools: Column, index: Column) -> Column:
-        # listed: every start, and the first event of a block
-        listed = F.filter(
-            F.transform(
-                tools,
-                lambda e, at: F.when(
-                    _is_start(e) | (F.array_position(index, F.get(index, at)) == at + 1), F.get(index, at)
-                ),
-            ),
-            lambda i: i.isNotNull(),
-        )
-        return V.bind(_blocks(tools, index), lambda blocks: F.transform(listed, lambda i: blocks[i]))
-
-    return V.bind(wanted, numbered)
+    return V.bind(wanted, lambda tools: V.bind(_number_blocks(tools), lambda index: _calls(tools, index)))
 
 
-def _blocks(tools: Column, index: Column) -> Column:
-    """MAP from block index to the block as its last start and the deltas after it leave it.
-
-    One fold over the events in order of block and place.
-    """
+def _calls(tools: Column, index: Column) -> Column:
+    """The events sorted by block and place once; a block is one slice of them, between two borders."""
 
     def piece(event: Column, at: Column) -> Column:
         block = event["e"]["content_block"]
@@ -249,25 +238,28 @@ def _blocks(tools: Column, index: Column) -> Column:
             F.when(started, F.coalesce(block["name"], F.lit(""))).otherwise("").alias("name"), text.alias("text"),
         )
 
-    kind = "array<struct<index: bigint, id: string, name: string, text: string>>"
+    def blocks(pieces: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(pieces) - 1)
+        borders = F.filter(places, lambda i: (i == 0) | (F.get(pieces, i)["index"] != F.get(pieces, i - 1)["index"]))
+        return V.bind(borders, lambda found: F.flatten(F.transform(found, lambda b, k: V.bind(
+            F.slice(pieces, b + 1, F.coalesce(F.get(found, k + 1), F.size(pieces)) - b), entries
+        ))))
 
-    def step(state: Column, p: Column) -> Column:
-        last = F.try_element_at(state, F.lit(-1))
-        same = F.coalesce(last["index"] == p["index"], F.lit(False))
-        grows = same & ~p["started"]
-        merged = F.struct(
-            p["index"].alias("index"), F.when(grows, last["id"]).otherwise(p["id"]).alias("id"),
-            F.when(grows, last["name"]).otherwise(p["name"]).alias("name"),
-            F.when(grows, F.concat(last["text"], p["text"])).otherwise(p["text"]).alias("text"),
-        )
-        before = F.when(same, F.slice(state, F.lit(1), F.size(state) - 1)).otherwise(state)
-        return F.concat(before, F.array(merged)).cast(kind)
+    def entries(block: Column) -> Column:
+        # an entry for every start and for the first event; all show the block as its last start leaves it
+        last = F.coalesce(F.try_element_at(F.filter(block, lambda p: p["started"]), F.lit(-1)), F.get(block, 0))
+        listed = F.filter(block, lambda p, n: p["started"] | (n == 0))
 
-    folded = F.aggregate(F.array_sort(F.transform(tools, piece)), F.array().cast(kind), step)
-    entry = lambda b: F.struct(
-        b["index"].alias("key"), F.struct(b["id"].alias("id"), b["name"].alias("name"), b["text"].alias("input_json")).alias("value")
-    )
-    return F.map_from_entries(F.transform(folded, entry))
+        def whole(first: Column) -> Column:
+            text = F.array_join(F.transform(F.filter(block, lambda p: p["at"] >= first["at"]), lambda p: p["text"]), "")
+            call = F.struct(first["id"].alias("id"), first["name"].alias("name"), text.alias("input_json"))
+            return V.bind(call, lambda c: F.transform(listed, lambda p: F.struct(p["at"].alias("at"), c.alias("call"))))
+
+        return V.bind(last, whole)
+
+    none = F.array().cast("array<struct<id: string, name: string, input_json: string>>")
+    in_order = V.bind(F.array_sort(F.transform(tools, piece)), blocks)
+    return F.when(F.size(tools) == 0, none).otherwise(F.transform(F.array_sort(in_order), lambda entry: entry["call"]))
 
 
 def named_events(text: Column) -> Column:
