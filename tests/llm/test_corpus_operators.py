@@ -91,6 +91,32 @@ def test_foreign_archives_and_empty_tables(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_members_of_several_records_and_broken_archives(spark, tmp_path):
+    def record(n, block, more=b""):
+        return f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <{n}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n" + more
+
+    blocks = {"a": b"x" * 70_000, "b": b"", "c": b"WARC/1.0\r\n\r\n", "d": b"z" * 3_000, "e": bytes(range(256)) * 40}
+    whole = [record(n, block, b"\r\n" * k) for k, (n, block) in enumerate(blocks.items())]
+    layouts = {
+        "plain.warc": b"".join(whole), "single.warc.gz": b"".join(map(gzip.compress, whole)),
+        "several.warc.gz": gzip.compress(b"".join(whole[:3])) + gzip.compress(b"".join(whole[3:])), "one.warc.gz": gzip.compress(b"".join(whole)),
+    }
+    for name, data in layouts.items():
+        folder = tmp_path / name.replace(".", "-")
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        read = warc.read(spark, str(folder))
+        assert {r.record_id: bytes(r.payload) for r in read.collect()} == blocks
+        assert {r.record_id: bytes(r.payload) for r in read.where("record_id IN ('b', 'd')").collect()} == {"b": b"", "d": blocks["d"]}
+        assert sorted(r.record_id for r in read.select("record_id").collect()) == sorted(blocks)
+        for cut in (len(data) - (20 if name == "plain.warc" else 1), len(data) // 2, 30):
+            (folder / name).write_bytes(data[:cut])
+            with pytest.raises(Exception, match=re.escape(name) + ".*byte"):
+                read.collect()
+            with pytest.raises(Exception, match=re.escape(name) + ".*byte"):
+                read.where("record_id = 'none'").collect()
+
+
 def test_files_of_failed_attempts_are_not_read(spark, tmp_path):
     rows, pages = pages_of(spark)
     path = tmp_path / "crawl"

@@ -5,7 +5,7 @@ headers are parsed first; pushed predicates on them (record_type, record_id, tar
 refers_to, payload_digest) decide whether its payload is read at all. A payload that is not
 wanted is not decoded: a plain file is read on behind it, and in a compressed file the
 member's own length, written in its gzip header, leads to the next member. Members of foreign
-archives without that field are inflated and dropped. Option ``payload=false`` skips all
+archives without that field, or of several records, are inflated and dropped. Option ``payload=false`` skips all
 payloads.
 
 Writing: each task writes files of its own, up to ``file_bytes`` each, named at random; the
@@ -13,6 +13,9 @@ commit adds a manifest of the files of the tasks that succeeded, so files of fai
 repeated attempts are never read. Folders without a manifest are read whole. Paths go through
 pyarrow's file systems: local, HDFS and the usual object stores.
 
+Line breaks between records are passed over. A file that ends inside a record, a gzip member that is
+damaged or broken off, and bytes that are no record end the query with the file and the byte.
+
 Defined cases: NULL payload is written as empty; NULL target_uri leaves the header out; line
 breaks in header values are percent-encoded; an empty table makes an empty archive; repeated
 rows make repeated records; extra columns are not written.
@@ -113,50 +116,107 @@ class _Window:
         return self.data[low : low + size]
 
 
-class _Plain:
-    """A record of a plain file, from ``offset``."""
-
-    def __init__(self, window: _Window, offset: int):
-        self.window, self.offset, self.got, self.next = window, offset, b"", 0
-
-    def more(self, size: int) -> bool:
-        piece = self.window.at(self.offset + len(self.got), size)
-        self.got += piece
-        return bool(piece)
-
-    def finish(self, length: int, wanted: bool) -> None:
-        """``length``: of header and block. Past this record the next one starts."""
-        while wanted and len(self.got) < length and self.more(length - len(self.got)):
-            pass
-        self.next = self.offset + length + len(END)
+class _Cursor:
+    """The plain bytes of a file from the start of a record on, whether plain or in gzip members.
 
+    A member may hold any number of records. A file that ends inside a record or a member is an error.
+    """
 
-class _Packed:
-    """A record that is a gzip member of its own."""
+    def __init__(self, window: _Window, size: int):
+        self.window, self.size, self.place = window, size, 0
+        self.packed = window.at(0, 2) == b"\x1f\x8b"
+        self.inflate, self.member, self.taken, self.own = None, 0, 0, None
+        self.got = bytearray()
 
-    def __init__(self, window: _Window, offset: int):
-        self.window, self.offset, self.read, self.got, self.next = window, offset, 0, b"", 0
-        self.inflate = zlib.decompressobj(31)
-        head = window.at(offset, 24)
+    def _start_member(self) -> None:
+        head = self.window.at(self.place, 24)
+        if head[:2] != b"\x1f\x8b":
+            raise ValueError(f"no gzip member at byte {self.place}")
         own = len(head) == 24 and head[3] == 4 and head[12:14] == b"sl"
-        self.size = struct.unpack("<I", head[16:20])[0] if own else None
+        # compressed and plain length, where the member carries them
+        self.own = struct.unpack("<II", head[16:24]) if own else None
+        self.inflate, self.member, self.taken = zlib.decompressobj(31), self.place, 0
 
     def more(self, size: int) -> bool:
-        piece = b"" if self.inflate.eof else self.window.at(self.offset + self.read, size)
-        self.read += len(piece)
-        self.got += self.inflate.decompress(piece)
-        return bool(piece)
-
-    def finish(self, length: int, wanted: bool) -> None:
-        if wanted or self.size is None:
-            pieces = [self.got]
-            while not self.inflate.eof:
-                self.got = b""
-                if not self.more(1 << 16):
-                    break
-                pieces.append(self.got)
-            self.got = b"".join(pieces) if wanted else pieces[0]
-        self.next = self.offset + (self.size or self.read - len(self.inflate.unused_data))
+        """Get further bytes, about ``size``; False at the end of the file."""
+        if not self.packed:
+            piece = self.window.at(self.place, size)
+            self.place += len(piece)
+            self.got += piece
+            return bool(piece)
+        while True:
+            if self.inflate is None:
+                if self.place >= self.size:
+                    return False
+                self._start_member()
+            data = self.inflate.unconsumed_tail
+            if not data:
+                data = self.window.at(self.place, min(max(size, 512), 1 << 16))
+                self.place += len(data)
+            try:
+                out = self.inflate.decompress(data, BATCH_BYTES)
+            except zlib.error as error:
+                raise ValueError(f"damaged gzip member at byte {self.member}: {error}") from error
+            self.got += out
+            if self.inflate.eof:
+                self.place -= len(self.inflate.unused_data)
+                self.inflate = None
+            elif not data:
+                raise ValueError(f"truncated gzip member at byte {self.member}")
+            if out:
+                return True
+
+    def at_record(self) -> bool:
+        """Go to the next record, over the line breaks between records; False where there is none."""
+        while True:
+            blank = len(self.got) - len(self.got.lstrip(b"\r\n"))
+            self._drop(blank)
+            if self.got:
+                return True
+            if not self.more(512):
+                return False
+
+    def offset(self) -> int:
+        """Of the record, or of the member it begins in."""
+        return self.member if self.packed else self.place - len(self.got)
+
+    def find(self, mark: bytes, start: int, end: int | None) -> int:
+        """Place of a mark from ``start`` on and before ``end``, -1 if it is not there."""
+        while (at := self.got.find(mark, start) if end is None else self.got.find(mark, start, end)) < 0:
+            if (end is not None and len(self.got) >= end) or not self.more(512):
+                return -1
+        return at
+
+    def need(self, length: int, record: int) -> None:
+        while len(self.got) < length:
+            if not self.more(length - len(self.got)):
+                raise ValueError(f"truncated record at byte {record}")
+
+    def _drop(self, length: int) -> None:
+        del self.got[:length]
+        self.taken += length
+
+    def skip(self, length: int, record: int) -> None:
+        """Go past ``length`` bytes without decoding more than has to be."""
+        if not self.packed and length > len(self.got):
+            self.place += length - len(self.got)
+            self.got.clear()
+            if self.place > self.size:
+                raise ValueError(f"truncated record at byte {record}")
+            return
+        if self.inflate is not None and self.taken == 0 and self.own and self.own[1] == length + len(END):
+            # alone in a member that says how long it is
+            self.place, self.inflate = self.member + self.own[0], None
+            self.got.clear()
+            if self.place > self.size:
+                raise ValueError(f"truncated gzip member at byte {self.member}")
+            return
+        while length:
+            if not self.got and not self.more(1 << 16):
+                raise ValueError(f"truncated record at byte {record}")
+            step = min(length, len(self.got))
+            self._drop(step)
+            length -= step
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -182,41 +242,42 @@ def _digest(value: str | None) -> str | None:
 
 def records(window: _Window, size: int, wanted, payloads: bool) -> Iterator[dict]:
     """All records of a file that ``wanted(columns)`` keeps."""
-    offset = 0
-    while offset < size:
-        record = (_Packed if window.at(offset, 2) == b"\x1f\x8b" else _Plain)(window, offset)
-        while END not in record.got and record.more(512):
-            pass
-        head, mark, rest = record.got.partition(END)
-        if not head.startswith(b"WARC/") or not mark:
-            raise ValueError(f"no WARC record at byte {offset}")
-        fields = _fields(head)
-        block = int(fields.get("content-length", 0))
+    cursor = _Cursor(window, size)
+    while cursor.at_record():
+        offset = cursor.offset()
+        cursor.need(5, offset)
+        mark = cursor.find(END, 0, None) if cursor.got.startswith(b"WARC/") else -1
+        if mark < 0:
+            raise ValueError(f"no whole WARC record at byte {offset}")
+        front = mark + len(END)
+        fields = _fields(bytes(cursor.got[:mark]))
+        length = fields.get("content-length", "")
+        if not length.isdecimal():
+            raise ValueError(f"record without a Content-Length at byte {offset}")
+        whole = front + int(length)
         row = {
             "record_id": fields.get("warc-record-id", "").strip("<>"), "record_type": fields.get("warc-type"),
             "target_uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"),
             "refers_to": fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None,
             "payload_digest": _digest(fields.get("warc-payload-digest")), "offset": offset,
         }
-        keep = wanted(row)
-        front = len(head) + len(END)
-        if keep:
-            before = 0
-            if fields.get("content-type", "").startswith("application/http"):
-                while END not in record.got[front:] and len(record.got) < front + block and record.more(512):
-                    pass
-                http, mark, _ = record.got[front : front + block].partition(END)
-                before = len(http) + len(mark)
-                length = _fields(http).get("content-length", "")
-            revisit = row["record_type"] == "revisit"
-            row["payload_length"] = int(length) if revisit and before and length.isdigit() else block - before
-            row["payload"] = None
-        record.finish(front + block, keep and payloads and not revisit)
-        if keep:
-            if payloads and not revisit:
-                row["payload"] = record.got[front + before : front + block]
-            yield row
-        offset = record.next
+        if not wanted(row):
+            cursor.skip(whole, offset)
+            continue
+        start, said = front, ""
+        if fields.get("content-type", "").startswith("application/http"):
+            end = cursor.find(END, front, whole)
+            start = end + len(END) if end >= 0 else whole
+            cursor.need(start, offset)
+            said = _fields(bytes(cursor.got[front : end if end >= 0 else whole])).get("content-length", "")
+        revisit = row["record_type"] == "revisit"
+        row["payload_length"] = int(said) if revisit and said.isdecimal() else whole - start
+        row["payload"] = None
+        if payloads and not revisit:
+            cursor.need(whole, offset)
+            row["payload"] = bytes(cursor.got[start:whole])
+        cursor.skip(whole, offset)
+        yield row
 
 
 def _test(pushed) -> object:
@@ -274,12 +335,15 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         with system.open_input_file(path) as file:
             wanted = lambda row: all(test(row) for test in self.tests)
-            for row in records(_Window(file), file.size(), wanted, self.payloads):
-                rows.append(row | {"file": partition.value})
-                held += 300 + len(row["payload"] or b"")
-                if held >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows, held = [], 0
+            try:
+                for row in records(_Window(file), file.size(), wanted, self.payloads):
+                    rows.append(row | {"file": partition.value})
+                    held += 300 + len(row["payload"] or b"")
+                    if held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
+            except ValueError as error:
+                raise ValueError(f"{path}: {error}") from error
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -389,5 +453,8 @@ def write(rows: DataFrame, path: str, compression: str = "gzip") -> None:
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """A frame that can be filtered in several ways. Spark keeps the filters last pushed to a frame's source until
+    others are pushed, also for a query without any; so there is always one, which holds for every record."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    rows = spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return rows.where("offset IS NOT NULL")
