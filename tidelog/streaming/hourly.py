@@ -2,7 +2,7 @@
 
 The state is one row a group, not a request, so nothing has to be dropped to bound it and late rows
 still count. A batch gives the new values of the groups it changed. They replace the old ones in the
-folders of their hours, so the table holds each group once, however long the stream runs, and a batch
+folders of their days, so the table holds each group once, however long the stream runs, and a batch
 that is run again changes nothing.
 """
 
@@ -26,21 +26,25 @@ def hourly_counts(rows: DataFrame) -> DataFrame:
     return counts.select(start.alias("hour_start"), "count", "body_total", F.date_format(start, "yyyy-MM-dd_HH").alias("hour_key"))
 
 
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return read_or_empty(spark, path, f"{schema}, day STRING")
+
+
 def _keep(changed: DataFrame, path: str, checkpoint: str, schema: str, group: list[str], available_now: bool) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # the hours of a batch, a few characters each, choose the folders to read
-        batch = batch.persist()
+        # the days of a batch, a few characters each, choose the folders to read
+        batch = batch.withColumn("day", F.substring("hour_key", 1, 10)).persist()
         try:
-            hours = [row.hour_key for row in batch.select("hour_key").distinct().collect()]
-            old = read_or_empty(spark, path, schema).where(F.col("hour_key").isin(hours)).join(batch.select(*group), group, "left_anti")
+            days = [row.day for row in batch.select("day").distinct().collect()]
+            old = _stored(spark, path, schema).where(F.col("day").isin(days)).join(batch.select(*group), group, "left_anti")
             # landed first: a folder cannot be read and replaced in one job
             staging = work_dir(spark, "hourly")
             batch.unionByName(old).write.parquet(staging)
         finally:
             batch.unpersist()
-        rows = spark.read.schema(schema).parquet(staging).hint("rebalance", "hour_key")
-        rows.write.mode("overwrite").partitionBy("hour_key").option("partitionOverwriteMode", "dynamic").parquet(path)
+        rows = spark.read.schema(f"{schema}, day STRING").parquet(staging).hint("rebalance", "day")
+        rows.write.mode("overwrite").partitionBy("day").option("partitionOverwriteMode", "dynamic").parquet(path)
         drop_folder(spark, staging)
 
     writer = changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -52,7 +56,7 @@ def start_hourly(rows: DataFrame, path: str, checkpoint: str, available_now: boo
 
 
 def read_hourly(spark: SparkSession, path: str) -> DataFrame:
-    return read_or_empty(spark, path, STATE).drop("hour_key")
+    return _stored(spark, path, STATE).drop("hour_key", "day")
 
 
 def start_summary(rows: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -61,4 +65,4 @@ def start_summary(rows: DataFrame, path: str, checkpoint: str, available_now: bo
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    return read_or_empty(spark, path, GROUPED)
+    return _stored(spark, path, GROUPED).drop("day")
