@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -5,9 +7,17 @@ from pyspark.sql import functions as F
 
 from tests.conftest import START, reply, request, sse, delta
 from tidelog.functions import hours as H
-from tidelog.operators import archive, decoding, merge, paging, reports, rules, scans, search
+from tidelog.operators import archive, decoding, merge, paging, reports, rules, scans, search, search_index
 from tidelog.operators import tokens as tk
 from tidelog.operators.numbering import number_rows
+from tidelog.sources import log_table
+
+
+def _hours_read(df):
+    """Hours that the scan's partition filters name."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    filters = " ".join(line.split("PartitionFilters: ")[1].split("], ")[0] for line in plan.splitlines() if "PartitionFilters: " in line)
+    return len(set(re.findall(r"\d{4}-\d\d-\d\d_\d\d", filters)))
 
 
 def ids(df):
@@ -53,6 +63,44 @@ def test_request_page(log):
     assert paging.request_page(df, status=500).first().seq_id == 3
 
 
+def test_pages_by_rank(log):
+    rng = random.Random(4)
+    hour = timedelta(hours=1)
+    rows = [{"ts": START + rng.randrange(9) * hour + timedelta(seconds=rng.randrange(4) * 600)} for _ in range(60)]
+    df = log(*rows)
+    want = ids(df.orderBy(F.desc("ts"), F.desc("seq_id")))
+    for limit in (1, 7, 60, 100):
+        pages = [paging.newest_by_rank(df, page, limit) for page in range(1, 60 // limit + 3)]
+        assert [i for page, _ in pages for i in ids(page)] == want and {total for _, total in pages} == {60}
+    assert ids(paging.newest_by_rank(df.limit(0), 1, 5)[0]) == []
+    with pytest.raises(ValueError):
+        paging.newest_by_rank(df, 0, 5)
+
+
+def test_pages_by_rank_where_hours_overlap(log):
+    hour = timedelta(hours=1)
+    late = {"ts": START + 3 * hour, "hour_key": "2024-05-01_10"}  # an hour whose rows reach into another
+    df = log({}, late, {"ts": START + hour}, {"ts": START + 3 * hour}, {"ts": START + 5 * hour}, {}, {"ts": START + 4 * hour})
+    df = df.withColumn("ts", F.when(F.col("seq_id") != 6, F.col("ts")))
+    df = df.withColumn("hour_key", F.when(F.col("seq_id") != 5, F.col("hour_key")))
+    want = ids(df.orderBy(F.desc("ts"), F.desc("seq_id")))
+    assert want == [5, 7, 4, 2, 3, 1, 6]
+    assert [i for n in range(1, 9) for i in ids(paging.newest_by_rank(df, n, 1)[0])] == want
+
+
+def test_a_deep_page_and_a_lookup_open_few_hours(log, spark, tmp_path):
+    path = str(tmp_path / "log")
+    log_table.write_log(log(*[{"ts": START + timedelta(minutes=20 * n)} for n in range(60)]), path)
+    df = log_table.read_log(spark, path)
+    page, total = paging.newest_by_rank(df, 6, 6)
+    assert total == 60 and ids(page) == [30, 29, 28, 27, 26, 25]
+    assert _hours_read(page) == 2
+    bounds = scans.id_bounds(df)
+    for wanted, hours in ((31, 1), (99, 0)):
+        found = scans.get_request(df, wanted, bounds)
+        assert ids(found) == ([wanted] if hours else []) and _hours_read(found) == hours
+
+
 # ------------------------------------------------------------------ reports and rules
 
 def test_summary_counts_timeouts_as_pending(log):
@@ -149,6 +197,32 @@ def test_search_scopes(log):
         search.search(df, "x", "tools")
 
 
+def test_search_by_index_is_search(log, spark, tmp_path):
+    rng = random.Random(7)
+    words = ["alpha", "Beta", "GAMMA ray", "\u00c8RE l", "na\u00efve", "x", "\U0001f600 smile", "ab", "\u039f\u0394\u039f\u03a3"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [{"body": request(some(4)), "response": reply(some(3), some(2)), "ts": START + timedelta(minutes=9 * n)} for n in range(40)]
+    rows += [{"body": request("only here: zyx"), "seq_id": 90_000}, {"body": None, "response": None}, {"body": request("zyx"), "status": 500}]
+    df = decoded(log, *rows).drop("reply", "body", "response")
+    log_path, path = str(tmp_path / "decoded"), str(tmp_path / "index")
+    df.write.partitionBy("hour_key").parquet(log_path)
+    df = spark.read.parquet(log_path)
+    search_index.write_index(df, path)
+    index = search_index.read_index(spark, path)
+    for needle in ("zyx", "BETA", "gamma r", "\u00e8re L", "na\u00efve", "\U0001f600 s", "a x", "\u03bf\u03b4\u03bf", "absent", "ab", " ", "pha bet"):
+        for scope in ("all", "body", "response") if needle == "BETA" else ("all",):
+            want = sorted(map(tuple, search.search(df, needle, scope).collect()))
+            assert sorted(map(tuple, search_index.search_indexed(df, index, needle, scope).collect())) == want, (needle, scope)
+    rare = search_index.search_indexed(df, index, "zyx")
+    assert ids(rare) == [90_000] and _hours_read(rare) == 1
+    assert search_index.search_indexed(df, search_index.read_index(spark, str(tmp_path / "none")), "zyx").count() == 0
+    lists = index.count()
+    search_index.write_index(df, path)
+    assert lists == search_index.read_index(spark, path).count()
+    with pytest.raises(ValueError):
+        search_index.search_indexed(df, index, "zyx", "tools")
+
+
 def test_snippet_is_cut_around_the_hit(log):
     df = decoded(log, {"body": None, "response": reply("a" * 200 + "\nhit\r" + "b" * 200)})
     assert search.search(df, "HIT", "response").first().snippet == "a" * 79 + " hit " + "b" * 79

@@ -7,6 +7,7 @@ was landed without ``ts``.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,13 @@ def in_hour(key: str) -> Column:
     return F.col("hour_key") == key
 
 
+def in_hours(keys: Iterable[str | None]) -> Column:
+    """Any of these hours; they are literals of the plan, so folders prune."""
+    keys = list(keys)
+    named = F.col("hour_key").isin([k for k in keys if k is not None])
+    return named | F.col("hour_key").isNull() if None in keys else named
+
+
 def on_date(date: str) -> Column:
     return F.startswith("hour_key", F.lit(f"{date}_"))
 
@@ -38,9 +46,21 @@ def scan_window(log: DataFrame, key: str) -> DataFrame:
     return log.where(in_hour(key)).orderBy("seq_id")
 
 
-def get_request(log: DataFrame, seq_id: int) -> DataFrame:
-    """Point lookup; no row when the id is unknown."""
-    return log.where(F.col("seq_id") == seq_id)
+def id_bounds(log: DataFrame) -> DataFrame:
+    """(hour_key, low, high): the ids of every hour. Kept beside a log, it bounds a point lookup."""
+    return log.groupBy("hour_key").agg(F.min("seq_id").alias("low"), F.max("seq_id").alias("high"))
+
+
+def get_request(log: DataFrame, seq_id: int, bounds: DataFrame | None = None) -> DataFrame:
+    """Point lookup; no row when the id is unknown.
+
+    With the log's ``bounds`` only the hours that may hold the id are opened. Inside, the
+    files' statistics and Bloom filters (``write_log``) leave out row groups.
+    """
+    found = log.where(F.col("seq_id") == seq_id)
+    if bounds is None:
+        return found
+    return found.where(in_hours(r.hour_key for r in bounds.where(F.lit(seq_id).between(F.col("low"), F.col("high"))).collect()))
 
 
 def list_requests(log: DataFrame, date: str | None = None, hour: str | None = None) -> DataFrame:

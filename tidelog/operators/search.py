@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import find_ignore_case, snippet
+from ..sources.log_table import landed
 from .decoding import compute_once
 from .paging import newest_first
 from .rules import searchable
 from .scans import time_filter
 
 
+def reply_of() -> Column:
+    """What is searched of a reply: its text, then its thinking."""
+    return F.concat(F.coalesce("reply_text", F.lit("")), F.lit(" "), F.coalesce("reply_thinking", F.lit("")))
+
+
 def search(decoded: DataFrame, query: str, scope: str = "all") -> DataFrame:
     """Rows that contain ``query``, in any case: body first, then the rebuilt reply.
 
@@ -27,9 +33,7 @@ def search(decoded: DataFrame, query: str, scope: str = "all") -> DataFrame:
     if not query:
         return search(decoded, "x", scope).where(F.lit(False))
     body = F.col("body_text") if scope != "response" else F.lit(None).cast("string")
-    reply = F.concat(
-        F.coalesce("reply_text", F.lit("")), F.lit(" "), F.coalesce("reply_thinking", F.lit(""))
-    ) if scope != "body" else F.lit(None).cast("string")
+    reply = reply_of() if scope != "body" else F.lit(None).cast("string")
     in_body = find_ignore_case(body, query)
     hit = F.when(in_body > 0, F.struct(F.lit("body").alias("scope"), in_body.alias("at"))).otherwise(
         F.struct(F.lit("response").alias("scope"), find_ignore_case(reply, query).alias("at"))
@@ -54,6 +58,8 @@ def search_within(
 
 
 def search_page(hits: DataFrame, page: int = 1, limit: int = 30) -> DataFrame:
-    """A page of hits, newest first; the total counts all of them."""
+    """A page of hits, newest first; the total counts all of them. Hits are landed (they hold
+    snippets, no texts), so that the log is searched once for both."""
+    hits = landed(hits, "hits")
     total = hits.agg(F.count(F.lit(1))).scalar()
     return newest_first(hits, page, limit).withColumn("total", total)

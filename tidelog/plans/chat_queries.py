@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chat
-from ..operators import cleaning, decoding, search, tokens, turns
+from ..operators import cleaning, decoding, paging, scans, search, search_index, tokens, turns
 from ..session import work_dir
+from ..sources.log_table import landed
 from . import jobs
-from .capture_log import RUN, C, capture_path, decoded_log
+from .capture_log import RUN, C, capture_log, capture_path, decoded_log
 from .registry import query
 
 # CTE ``t``: one row per turn of a request.
@@ -266,6 +267,36 @@ def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""{C}, hits AS ({_hits('body_text', 'Ction', 'body')}
+        UNION ALL SELECT * FROM ({_hits(_REPLY, 'Ction', 'response')}) WHERE seq_id NOT IN (
+            SELECT seq_id FROM ({_hits('body_text', 'Ction', 'body')})))
+    SELECT seq_id, scope, snippet FROM hits""")
+def search_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, path = decoded_log(spark, sf_dir), work_dir(spark, "search-index")
+    search_index.write_index(log, path)
+    hits = search_index.search_indexed(log, search_index.read_index(spark, path), "Ction")
+    return hits.select("seq_id", "scope", "snippet")
+
+
+# a page in the middle of all requests, whatever their number
+@query(f"""{C}, p AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY ts DESC, seq_id DESC) AS place FROM c)
+    SELECT seq_id, strftime(ts, '%H:%M:%S') AS time, strftime(ts, '%Y-%m-%d') AS date, model, total,
+        CAST(ceil(total / 20) AS BIGINT) AS total_pages
+    FROM p WHERE (place - 1) // 20 = total // 40""")
+def request_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = capture_log(spark, sf_dir)
+    page = paging.request_page(log, page=log.count() // 40 + 1, limit=20)
+    return page.select("seq_id", "time", "date", "model", "total", "total_pages")
+
+
+@query(f"{C} SELECT seq_id, model, path, hour_key FROM c WHERE seq_id = (SELECT max(seq_id) FROM c)")
+def lookup_in_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = capture_log(spark, sf_dir)
+    bounds = landed(scans.id_bounds(log), "id-bounds")
+    newest = bounds.agg(F.max("high")).first()[0]
+    return scans.get_request(log, newest, bounds).select("seq_id", "model", "path", "hour_key")
+
+
 _WINDOW = "2024-03-01_07"
 
 

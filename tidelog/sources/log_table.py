@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..functions import hours as H
 from ..schema import LOG_COLUMNS, LOG_SCHEMA, LOG_TYPES
+from ..session import work_dir
 
 
 def by_hour(df: DataFrame) -> DataFrame:
@@ -20,10 +21,14 @@ def by_hour(df: DataFrame) -> DataFrame:
 
 # Payloads grow several times when decoded, so scans should be able to cut files finely.
 ROW_GROUP_BYTES = 16 << 20
+# ids a row group's Bloom filter is sized for
+BLOOM_IDS = 20_000
 
 
 def write_log(df: DataFrame, path: str, mode: str = "append") -> None:
     writer = by_hour(df).write.mode(mode).partitionBy("hour_key").option("compression", "zstd")
+    # ids of an hour arrive in many files: the filter tells which hold one, statistics do not
+    writer = writer.option("parquet.bloom.filter.enabled#seq_id", "true").option("parquet.bloom.filter.expected.ndv#seq_id", BLOOM_IDS)
     writer.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
 
 
@@ -98,6 +103,13 @@ def delete_files(spark: SparkSession, files: Iterable[str]) -> None:
             folder = folder.getParent()
 
 
+def landed(df: DataFrame, purpose: str) -> DataFrame:
+    """Written to the working folder and read back, so that it is computed once."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
