@@ -16,9 +16,6 @@ from tidelog.session import configure
 
 # no stage but the mixing could be put in SQL; the tests hold run() against a brute-force version
 ORACLE_SQL = None
-REPEAT_LIMIT = 1.25
-# the brute-force test holds texts whose entities stand in one context to their patterns alone
-SUPPORT = 2
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +32,13 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return pii.sanitise(docs, support=SUPPORT).withColumn("n_chars", F.length("text").cast("bigint"))
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return mixing.mix(docs, repeat_limit=REPEAT_LIMIT).select(*docs.columns)
+    # written in the order of the stream, so that a reader of the files meets the sources at their weights
+    return mixing.mix(docs).orderBy("position", "doc_id").select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
