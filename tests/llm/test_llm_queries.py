@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.test_corpus_operators import brute_components, brute_top, near_docs
 from tests.llm.test_sequence_operators import brute_infill, brute_trie, check_packing
-from tests.llm.test_text_operators import _brute_spans
+from tests.llm.test_text_operators import _brute_spans, _brute_terms
 from tidelog.llm import packing, pieces
 from tidelog.session import configure
 
@@ -28,6 +28,8 @@ def tables():
     docs = [(i, t, lang, source) for i, t, lang, source, _ in rows["documents"][:120]]
     docs += [(1000 + i, t, "en", "src0") for i, t in near_docs()]
     docs += [(2000, None, None, None), (2001, "", "en", "src1"), (2002, "mail a@b.org and 10.0.0.1, card 4111 1111 1111 1111, +1 (386) 555-3733", "de", None)]
+    # a name that stands by one address in many texts
+    docs += [(3000 + i, f"{t} Write to Quillon at quill@mail.org today.", lang, source) for i, t, lang, source, _ in rows["documents"][130:165]]
     rows["documents"] = [(*d, len(d[1] or "")) for d in docs]
     rows["pages"] += [(5000, None, None), (5001, "", ""), (5002, "HTTP://Sub.EXAMPLE.net/en/x?y#z", "é" * 700), (5003, "ftp://a.example.net", "é" * 700)]
     rows["embeddings"] = rows["embeddings"][:160] + [(9000, None, 0), (9050, [0.0] * 64, 1), (9050, [0.0] * 64, 1)]
@@ -100,12 +102,15 @@ def test_fingerprints(spark, folder, tables):
 
 def test_personal_data(spark, folder, tables):
     got = {r.doc_id: r for r in rows_of(spark, folder, "op5_pii")}
-    for doc, text, *_ in tables["documents"]:
+    terms = _brute_terms([d[1] for d in tables["documents"]])
+    assert any(terms)
+    for (doc, text, *_), more in zip(tables["documents"], terms, strict=True):
         spans = _brute_spans(text or "")
         listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         r, kinds = got[doc], Counter(k for k, _, _ in spans)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [kinds[k] for k in ("email", "ip", "card", "phone")]
-        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and r.spans.startswith(listed)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert r.spans == ",".join([*([listed] if listed else []), *[f"term:{a}:{b}" for a, b, _ in more]])
     assert got[2002].n_email == got[2002].n_ip == got[2002].n_card == got[2002].n_phone == 1
 
 
@@ -187,13 +192,17 @@ def test_pipeline_against_brute_force(spark, folder, tables):
         encoder = pieces.Encoder(pieces.Pieces(file.read()))
     got = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in got} == kept and len(got) >= len(kept)
+    left = {d[0]: d[1] for d in clean if d[0] in kept}
+    terms = dict(zip(left, _brute_terms(list(left.values())), strict=True))
+    assert sum(map(len, terms.values())) >= 5
     for r in got:
-        text = next(d[1] for d in clean if d[0] == r.doc_id)
-        spans = sorted((a, -b, k) for k, a, b in _brute_spans(text or ""))
+        text = left[r.doc_id]
+        spans = [(a, -b, f"[{k.upper()}]") for k, a, b in _brute_spans(text or "")]
+        spans += [(a, -b, "" if act == "remove" else "[TERM]") for a, b, act in terms[r.doc_id]]
         out, at = "", 0
-        for a, b, k in spans:
+        for a, b, mark in sorted(spans):
             if a >= at:
-                out += text[at:a] + f"[{k.upper()}]"
+                out += text[at:a] + mark
             at = max(at, -b)
         ids = array("i")
         encoder.encode(out + (text or "")[at:], ids)

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 from array import array
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -278,13 +279,79 @@ def test_base_spans_against_brute_force(spark):
         assert all(texts[row.doc_id][s.start : s.end] == s.value for s in row.s)
 
 
+def _brute_terms(texts, disclose=pii.DISCLOSE, remove=pii.REMOVE):
+    """Terms of every text with their places: the definition, text by text."""
+    at = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    word = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
+    rows, counts, total = {}, Counter(), 0
+    for text in texts:
+        text = text or ""
+        clean = at.sub(lambda m: " " * len(m[0]), text)
+        words = [(m.start(), m.end(), m[0].lower()) for m in word.finditer(clean) if len(m[0]) >= 3]
+        counts.update(w for _, _, w in words)
+        total += len(words)
+        names = {(k, text[a:b].lower()) for k, a, b in _brute_spans(text)}
+        if names:
+            rows[text] = (words, names, rows[text][2] + 1 if text in rows else 1)
+    n_e, n_et, contexts = Counter(), Counter(), {}
+    for words, names, copies in rows.values():
+        for e in names:
+            n_e[e] += copies * len(words)
+            for _, _, w in words:
+                n_et[e, w] += copies
+                contexts.setdefault((e, w), set()).add(tuple(w for _, _, w in words))
+    acts = {}
+    for (e, w), n in n_et.items():
+        lower = n * (1 - 1 / len(contexts[e, w]) ** 0.5)
+        if lower > 0 and n_e[e] < total:
+            share = np.log2(total * lower / (counts[w] * n_e[e])) / np.log2(total / n_e[e])
+            assert abs(share - disclose) > 1e-9 and abs(share - remove) > 1e-9
+            if share >= disclose:
+                acts[e, w] = "remove" if share >= remove else "generalise"
+    return [
+        [(a, b, max(found)) for a, b, w in rows[t or ""][0] if (found := [acts[e, w] for e in rows[t or ""][1] if (e, w) in acts])]
+        if (t or "") in rows else [] for t in texts
+    ]
+
+
+def _found_terms(spark, texts, **options):
+    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(5), **options).collect()}
+    assert len(rows) == len(texts)
+    return [[(t.start, t.end, t.act) for t in rows[i].terms] for i in range(len(texts))]
+
+
+def _crowd(seed, people=12, size=700):
+    """Texts of common words; people whose names stand by their addresses, some always, some at times; copies."""
+    rng = random.Random(seed)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    texts = []
+    for n in range(size):
+        words = [rng.choice(common) for _ in range(rng.randrange(4, 14))]
+        for p in {rng.randrange(people) for _ in range(rng.choice((0, 0, 0, 1, 1, 2)))}:
+            words.insert(rng.randrange(len(words)), f"P{p}@mail.org" if p % 3 else f"10.0.0.{p}")
+            if rng.random() < (1, 0.9, 0.5)[p % 3]:
+                words.insert(rng.randrange(len(words)), rng.choice(("Namo", "<namo>", "'NAMO'")).replace("o", "o" * (p + 1)).replace("O", "O" * (p + 1)))
+        if rng.random() < 0.1:
+            words.append("rare" + "".join(rng.choice("xyz") for _ in range(8)))
+        texts.append(" ".join(words))
+    return texts + texts[:30] + ["", None]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_terms_against_brute_force(spark, seed):
+    texts = _crowd(seed)
+    want = _brute_terms(texts, remove=0.9)
+    assert sum(map(len, want)) > 50 and {act for row in want for *_, act in row} == {"generalise", "remove"}
+    assert _found_terms(spark, texts, remove=0.9) == want
+
+
 def _corpus():
-    """One address that a rare name stands by in three contexts, and much else."""
-    near = ["write to {} Zebulon now", "ask Zebulon at {} today", "Zebulon has {} for long"]
-    rows = [f"filler words stand here {n}. " + near[n].format("zeb@mail.org") + " and more filler words follow" for n in range(3)]
-    rows += [f"common words about nothing, write now and ask today {n} x{n}@mail.org here" for n in range(30)]
+    """One address that a rare name stands by in eight contexts, and much else."""
+    near = ["write to {} Zebulon now", "ask Zebulon at {} today", "Zebulon has {} for long", "today write {} Zebulon here"]
+    rows = [f"filler words stand here {n}. {'more ' * (n // 4)}" + near[n % 4].format("zeb@mail.org") + " and more filler words follow" for n in range(8)]
+    rows += [f"common words about nothing, write now and ask today {n} x{n}@mail.org Oncename{chr(97 + n)} here" for n in range(25)]
     rows += ["Zebulon alone is not near anything here", None, "", rows[0]]
-    return rows + [f"filler words stand here {n}. write to nobody now and more filler words follow" for n in range(40)]
+    return rows + [f"filler words stand here {n}. write to nobody now and more filler words follow" for n in range(1500)]
 
 
 def test_terms_that_reveal_an_address(spark):
@@ -292,9 +359,10 @@ def test_terms_that_reveal_an_address(spark):
     table = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], DOCS + ", spans string")
     rows = {r.doc_id: r for r in pii.find(table).collect()}
     assert len(rows) == len(texts)
-    for i in (0, 1, 2, 36):
+    for i in (*range(8), 36):
         assert [texts[i][t.start : t.end] for t in rows[i].terms] == ["Zebulon"], i
-    assert all(not rows[i].terms for i in range(3, 36))
+    # a rare word next to one address by chance stays
+    assert all(not rows[i].terms for i in range(8, 36))
     assert not rows[34].spans and not rows[35].spans
     out = {r.doc_id: r for r in pii.sanitise(table).collect()}
     assert out[0].text == "filler words stand here 0. write to [EMAIL] [TERM] now and more filler words follow"
@@ -303,19 +371,29 @@ def test_terms_that_reveal_an_address(spark):
 
 def test_terms_far_from_the_address_and_in_brackets(spark):
     far = "and other words go on, " * 12
-    texts = [f"ask Zebulon {('red', 'green', 'blue')[n]}. {far}zeb@mail.org {far}<Zebulon> and 'Zebulon' (\"Zebulon\") é😀 [Zebulon]{'.' * n}" for n in range(3)]
-    texts += [f"ask nobody else of it. {far}<nobody> {n}" for n in range(40)]
-    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
-    assert all([texts[i][t.start : t.end] for t in rows[i].terms] == ["Zebulon"] * 5 for i in range(3))
-    assert all(not rows[i].terms for i in range(3, 43))
+    texts = [f"ask Zebulon {'abcdefghij'[n] * 4}. {far}zeb@mail.org {far}<Zebulon> and 'Zebulon' (\"Zebulon\") é😀 [Zebulon]{'.' * n}" for n in range(10)]
+    texts += [f"ask nobody else of it. {far}<nobody> {n}" for n in range(800)]
+    rows = _found_terms(spark, texts)
+    assert rows == _brute_terms(texts)
+    assert all([texts[i][a:b] for a, b, _ in rows[i]] == ["Zebulon"] * 5 for i in range(10)) and not any(rows[10:])
 
 
-def test_terms_of_an_entity_in_one_text(spark):
+def test_one_context_tells_nothing_whatever_the_size(spark):
     texts = ["ask Zebulon at zeb@mail.org today", *["write to Abimelech at abi@mail.org now"] * 5, "ask nobody at x@mail.org today"]
-    texts += [f"ask nobody at all today, write to nobody now {n}" for n in range(400)]
-    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
-    found = {i: [(texts[i][t.start : t.end], t.act) for t in r.terms] for i, r in rows.items() if r.terms}
-    assert found == {0: [("Zebulon", "generalise")], **{i: [("Abimelech", "generalise")] for i in range(1, 6)}}
+    texts += [f"ask nobody at all today, write to nobody now {n}" for n in range(2000)]
+    assert not any(_found_terms(spark, texts))
+
+
+def test_pairs_do_not_grow_with_places(spark):
+    words = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(200))
+    texts = [" ".join(f"a{i}@b.org" for i in range(100)) + " " + words * 2, *[f"a{i}@b.org {words[: 5 * i]}" for i in range(100)]]
+    table = spark.createDataFrame(list(enumerate(texts + ["some other words " * 30] * 50)), DOCS)
+    counts = pii.word_counts(table)
+    total = counts.agg(F.sum("n")).first()[0]
+    pairs = pii.term_pairs(pii._texts(table, "text"), counts, total)
+    # every address has two contexts and terms of its own: one row a context, entity and distinct term at most
+    assert pairs.groupBy("entity", "context", "term").count().where("count > 1").count() == 0
+    assert pairs.where(F.col("n_t") > F.col("n_e") * F.pow(total / F.col("n_e"), F.lit(0.15)) + 1).count() == 0
 
 
 def test_places_of_many_matches(spark):
@@ -325,12 +403,12 @@ def test_places_of_many_matches(spark):
 
 
 def test_revealing_terms_by_hand(spark):
-    contexts = spark.createDataFrame(
-        [("e", "t", c, 0, 0) for c in (1, 2, 2)] + [("e", "u", 1, 0, 0)] * 5 + [("f", "t", 9, 0, 0)], "entity string, term string, context long, start int, end int"
+    pairs = spark.createDataFrame(
+        [("e", c, "t", 1, 8, 4) for c in range(4)] + [("e", 1, "u", 5, 8, 5), ("f", 9, "t", 1, 1, 4)],
+        "entity string, context int, term string, m long, n_e long, n_t long",
     )
-    counts = spark.createDataFrame([("t", 4), ("u", 5)], "term string, n long")
-    got = pii.revealing_terms(contexts, counts, 1000, support=2, disclose=0.5).collect()
-    want = np.log2(1000 * 3 / (4 * 8)) / np.log2(1000 / 8)
+    got = pii.revealing_terms(pairs, 1000, disclose=0.5).collect()
+    want = np.log2(1000 * 2 / (4 * 8)) / np.log2(1000 / 8)
     assert [(r.entity, r.term) for r in got] == [("e", "t")] and abs(got[0].share - want) < 1e-12
 
 

@@ -3,19 +3,24 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found by pattern with
 offsets in code points. A value found this way is a protected entity. Terms of the texts that hold
 an entity are then judged by what the corpus says about them: with p(e) the share of the corpus'
-words that stand in texts with entity e, the entity's information is -log2 p(e), and a term t tells
+terms that stand in texts with entity e, the entity's information is -log2 p(e), and a term t tells
 log2(p(e, t) / (p(e) p(t))) of it. A term that tells at least ``disclose`` of the information is a
 span as well, wherever it stands in a text with the entity: from ``remove`` on it is removed, below
-it is generalised to its class. One context, in however many copies, says less of p(e, t) than
-several: such a count is halved, which takes one bit off what the term tells. An entity of one text
-is judged like any other. ``support`` can ask for a number of different contexts.
+it is generalised to its class.
 
-Counts cover the whole corpus: every word of every text, every text of every entity. A word is a
+How strongly a term reveals an entity is an estimate, so p(e, t) is taken at its lower confidence
+bound: seen in k different contexts of the entity, the count is lowered by ``confidence`` times its
+standard error, that is by 1/sqrt(k) of itself each. A word that stands by an address once, however
+rare, has the bound 0 and stays, whatever the size of the corpus; a name that stands by it in one
+text after the other goes. Copies of a text count as occurrences, but are one context.
+
+Counts cover the whole corpus: every term of every text, every text of every entity. A word is a
 run of letters with single ' or - inside, whatever stands around it; words of an address are none.
-A context is the sequence of a text's terms (words of three letters or more). Entities that occur
-in the same texts have equal counts and are judged once, so a text of many addresses that occur
-nowhere else costs one pass over its words. Copies of a text count as occurrences, but not as
-support. Texts without an entity keep their words.
+A term is a word of three letters or more, a context the sequence of a text's terms. Entities that
+occur in the same texts have equal counts and are judged once. Contexts are joined with entities by
+distinct term, and only where the bound can still be met: entities of several contexts, terms that
+are not too common for the entity. Places are looked up at the end, for the terms found. Texts
+without an entity keep their words.
 
 Everything is DataFrame code. Defined cases: NULL and empty texts have no spans; equal texts have
 equal spans, so spans are joined by the text's hash and repeated rows or ids do no harm; extra
@@ -27,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import land
+from .common import land, skew_join
 
 # Fixed: the kinds in the order of the result. Runs are taken whole (possessive) and start where
 # no character of the same run stands in front, which changes no match and keeps the search linear.
@@ -44,8 +49,8 @@ TERM = "term"
 WORD = r"\p{L}++(?:['-]\p{L}++)*+"
 TERM_LETTERS = 3
 RUN = 64
-SUPPORT = 1
-ONE_CONTEXT = 0.5
+# standard errors that a count is lowered by
+CONFIDENCE = 1.0
 DISCLOSE, REMOVE = 0.85, 0.95
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 TERMS = "array<struct<start:int,end:int,act:string>>"
@@ -137,72 +142,95 @@ def _without_addresses(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(NEEDS["email"])), blanked).otherwise(text)
 
 
+def _terms_of(text: Column) -> Column:
+    return F.filter(_located(_without_addresses(text), WORD), lambda w: F.length(w["value"]) >= TERM_LETTERS)
+
+
 def _texts(docs: DataFrame, text: str) -> DataFrame:
     """One row per text with entities: key, copies, context, entities, terms with their places."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("spans", base_spans(F.col("t"))).where(F.size("spans") > 0)
     named = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))
-    terms = F.filter(_located(_without_addresses(F.col("t")), WORD), lambda w: F.length(w["value"]) >= TERM_LETTERS)
-    words = F.transform(terms, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value")))
+    words = F.transform(_terms_of(F.col("t")), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value")))
     rows = rows.select(text_key(F.col("t")).alias("key"), F.array_distinct(named).alias("entities"), words.alias("words"))
     rows = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words"))
-    return rows.withColumn("context", F.xxhash64(F.transform("words", lambda w: w["value"])))
+    return rows.withColumn("context", text_key(F.array_join(F.transform("words", lambda w: w["value"]), " ")))
 
 
-def _contexts(docs: DataFrame, text: str) -> DataFrame:
-    """One row per text, term place and kind of entity: those that occur in the same texts are one."""
-    texts = land(_texts(docs, text), "pii-texts")
-    held = texts.select("key", F.explode("entities").alias("name"))
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n) over all terms of all texts."""
+    words = F.regexp_extract_all(_without_addresses(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
+    terms = docs.select(F.explode(words).alias("term")).where(F.length("term") >= TERM_LETTERS)
+    return terms.select(F.lower("term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _held(texts: DataFrame, total: int, confidence: float) -> DataFrame:
+    """(entity, context, copies, n_e): entities that stand in enough contexts to be judged.
+
+    Entities of the same texts are one. A frequent entity is a hot key, so both joins are those of ``skew_join``.
+    """
+    held = texts.select("key", "context", "copies", F.size("words").alias("size"), F.explode("entities").alias("name"))
+    held = held.withColumn("id", F.xxhash64("name"))
     same = F.struct(F.bit_xor("key.h").alias("h"), F.bit_xor("key.g").alias("g"), F.count(F.lit(1)).alias("n"))
-    alike = land(held.groupBy("name").agg(same.alias("entity")), "pii-entities")
-    held = land(held.join(alike, "name").select("key", "entity").distinct(), "pii-held")
-    rows = texts.select("key", "copies", "context", F.explode("words").alias("w"))
-    return rows.join(held, "key").select(
-        "key", "entity", "context", F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "copies"
-    )
+    alike = land(held.groupBy("id", F.col("name").alias("_name")).agg(same.alias("entity")), "pii-entities")
+    held = skew_join(held, alike, "id").where("name = _name").select("key", "entity", "context", "copies", "size").distinct()
+    held = held.groupBy("entity", "context").agg(F.sum("copies").alias("copies"), F.first("size").alias("size"))
+    held = land(held.withColumn("id", F.xxhash64("entity")), "pii-held")
+    near = held.groupBy("id", F.col("entity").alias("_entity")).agg(F.sum(F.col("copies") * F.col("size")).alias("n_e"), F.count(F.lit(1)).alias("k"))
+    near = land(near.where((F.col("k") > confidence**2) & (F.col("n_e") > 0) & (F.col("n_e") < total)).drop("k"), "pii-judged")
+    return skew_join(held, near, "id").where("entity = _entity").select("entity", "context", "copies", "n_e")
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n) over all words of all texts."""
-    words = F.regexp_extract_all(_without_addresses(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
-    return docs.select(F.explode(words).alias("term")).select(F.lower("term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def term_pairs(texts: DataFrame, counts: DataFrame, total: int, disclose: float = DISCLOSE, confidence: float = CONFIDENCE) -> DataFrame:
+    """(entity, context, term, m, n_e, n_t): m occurrences of a term in a context of an entity, where it could tell enough.
+
+    A term tells at most what it would if all terms around the entity were this one, which needs
+    n_t <= n_e * (total / n_e) ** (1 - disclose); and it must occur more often than contexts are asked for.
+    """
+    held = land(_held(texts, total, confidence), "pii-contexts")
+    of_these = texts.join(held.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.first("words").alias("words"))
+    terms = of_these.select("context", F.explode("words.value").alias("term")).groupBy("context", "term").agg(F.count(F.lit(1)).alias("m"))
+    known = terms.join(counts.withColumnRenamed("n", "n_t").where(F.col("n_t") > confidence**2), "term")
+    most = F.col("n_e") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - disclose))
+    # a hair above the bound, so that rounding leaves nothing out
+    pairs = known.join(held, "context").where(F.col("n_t") <= most * 1.000001)
+    return pairs.select("entity", "context", "term", (F.col("m") * F.col("copies")).alias("m"), "n_e", "n_t")
 
 
-def revealing_terms(contexts: DataFrame, counts: DataFrame, total: int, support: int = SUPPORT, disclose: float = DISCLOSE) -> DataFrame:
+def revealing_terms(pairs: DataFrame, total: int, disclose: float = DISCLOSE, confidence: float = CONFIDENCE) -> DataFrame:
     """(entity, term, share): terms that tell at least ``disclose`` of an entity's information."""
-    contexts = contexts if "copies" in contexts.columns else contexts.withColumn("copies", F.lit(1))
-    pairs = contexts.groupBy("entity", "term", "context").agg(F.sum("copies").alias("m"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("m").alias("n_et"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
-    near = contexts.groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    known = pairs.join(near, "entity").join(counts.withColumnRenamed("n", "n_t"), "term")
-    seen = F.when(F.col("contexts") == 1, F.col("n_et") * ONE_CONTEXT).otherwise(F.col("n_et"))
-    told = F.log2(F.lit(float(total)) * seen / (F.col("n_t") * F.col("n_e")))
+    seen = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("m").alias("n_et"), F.count(F.lit(1)).alias("k")).where(F.col("k") > confidence**2)
+    lower = F.col("n_et") * (1 - F.lit(confidence) / F.sqrt("k"))
+    told = F.log2(F.lit(float(total)) * lower / (F.col("n_t") * F.col("n_e")))
     share = told / F.log2(F.lit(float(total)) / F.col("n_e"))
-    return known.withColumn("share", F.when(F.col("n_e") < total, share)).where(F.col("share") >= disclose).select("entity", "term", "share")
+    return seen.select("entity", "term", share.alias("share")).where(F.col("share") >= disclose)
 
 
-def term_spans(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclose: float = DISCLOSE, remove: float = REMOVE) -> DataFrame:
+def term_spans(docs: DataFrame, text: str = "text", disclose: float = DISCLOSE, remove: float = REMOVE, confidence: float = CONFIDENCE) -> DataFrame:
     """(key, terms): the places of revealing terms by text. Landed, so that Spark knows its size."""
-    contexts = land(_contexts(docs, text), "pii-contexts")
+    texts = land(_texts(docs, text), "pii-texts")
     counts = land(word_counts(docs, text), "pii-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    telling = revealing_terms(contexts, counts, total, support, disclose)
-    act = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
-    places = contexts.join(telling.withColumn("act", act), ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("act").alias("act"))
+    pairs = land(term_pairs(texts, counts, total, disclose, confidence), "pii-pairs")
+    telling = land(revealing_terms(pairs, total, disclose, confidence), "pii-telling")
+    act = F.max(F.when(F.col("share") >= remove, "remove").otherwise("generalise")).alias("act")
+    told = land(pairs.join(telling, ["entity", "term"]).groupBy("context", "term").agg(act), "pii-told")
+    words = texts.join(told.select("context").distinct(), "context", "left_semi").select("key", "context", F.explode("words").alias("w"))
+    places = words.select("key", "context", F.col("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
     spans = F.sort_array(F.collect_list(F.struct("start", "end", "act"))).cast(TERMS)
-    return land(places.groupBy("key").agg(spans.alias("terms")), "pii-terms")
+    return land(places.join(told, ["context", "term"]).groupBy("key").agg(spans.alias("terms")), "pii-terms")
 
 
-def _found(docs: DataFrame, text: str, support: int, disclose: float, remove: float) -> DataFrame:
+def _found(docs: DataFrame, text: str, disclose: float, remove: float, confidence: float) -> DataFrame:
     """Add _spans and _terms."""
-    added = term_spans(docs, text, support, disclose, remove).toDF("_key", "_terms")
+    added = term_spans(docs, text, disclose, remove, confidence).toDF("_key", "_terms")
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumn("_key", text_key(whole)).join(added, "_key", "left").drop("_key")
     return rows.withColumns({"_spans": base_spans(whole), "_terms": F.coalesce("_terms", F.array().cast(TERMS))})
 
 
-def find(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclose: float = DISCLOSE, remove: float = REMOVE) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", disclose: float = DISCLOSE, remove: float = REMOVE, confidence: float = CONFIDENCE) -> DataFrame:
     """Add ``spans`` (base) and ``terms`` (added by the corpus); columns of these names are replaced."""
-    rows = _found(docs.drop("spans", "terms"), text, support, disclose, remove)
+    rows = _found(docs.drop("spans", "terms"), text, disclose, remove, confidence)
     return rows.withColumnsRenamed({"_spans": "spans", "_terms": "terms"})
 
 
@@ -240,7 +268,7 @@ def sanitised(text: Column, spans: Column, terms: Column) -> Column:
     return F.when(F.size(every) == 0, text).otherwise(F.concat(front, F.array_join(F.transform(whole, after), "")))
 
 
-def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclose: float = DISCLOSE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", disclose: float = DISCLOSE, remove: float = REMOVE, confidence: float = CONFIDENCE) -> DataFrame:
     """The documents with their texts sanitised; no other column changes. NULL stays NULL."""
-    found = _found(docs, text, support, disclose, remove)
+    found = _found(docs, text, disclose, remove, confidence)
     return found.withColumn(text, sanitised(F.col(text), F.col("_spans"), F.col("_terms"))).select(*docs.columns)
