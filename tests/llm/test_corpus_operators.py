@@ -141,6 +141,18 @@ def mixed_docs(spark, seed=1):
     return rows, spark.createDataFrame(rows, "doc_id long, source string, text string, block int")
 
 
+def test_words_and_clashing_columns(spark):
+    texts = ["a\tb\u00a0c", "\n\n\n", "x" * 400, "a  b\r\nc ", "\u65e5\u672c\u8a9e ab", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n for r in rows.select("doc_id", mixing.words(F.col("text")).alias("n")).collect()}
+    assert [got[i] for i in range(len(texts))] == [3, 0, 25, 3, 4, 0, 0]
+    names = ("blocks", "tokens", "quota", "passes", "src", "weight", "position")
+    clash = rows.withColumn("source", F.lit("s")).withColumns({n: F.lit("mine") for n in names})
+    mixed = mixing.mix(clash)
+    assert {r.doc_id for r in mixed.collect()} == set(range(len(texts)))
+    assert all(r[n] == "mine" for r in mixed.collect() for n in names[:-1]) and mixed.columns == [*clash.columns[:-1], *mixing.PLAN]
+
+
 def test_every_document_is_kept_and_sources_meet_their_weights(spark):
     rows, docs = mixed_docs(spark)
     got = mixing.mix(docs, repeat_limit=2.0, block_tokens=400).collect()

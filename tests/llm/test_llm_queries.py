@@ -1,6 +1,7 @@
 """The registered queries and the pipeline on small tables with every kind of odd row, against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from array import array
@@ -14,7 +15,7 @@ import corpus_pipeline
 from tests.llm.test_corpus_operators import brute_components, brute_top, near_docs
 from tests.llm.test_sequence_operators import brute_infill, brute_trie, check_packing
 from tests.llm.test_text_operators import _brute_spans, _brute_terms
-from tidelog.llm import packing, pieces
+from tidelog.llm import bytepair, lengths, mixing, packing, pieces
 from tidelog.session import configure
 
 SMALL = "/root/testdata/sf0.001"
@@ -117,8 +118,34 @@ def test_personal_data(spark, folder, tables):
 def test_lengths_and_mix_cover_the_table(spark, folder, tables):
     sizes = rows_of(spark, folder, "op3_length_histogram")
     assert sum(r.n_docs for r in sizes) == len(tables["documents"]) == sizes[0].docs_total
-    mixed = Counter(r.doc_id for r in rows_of(spark, folder, "op6_mixing"))
-    assert set(mixed) == {d[0] for d in tables["documents"]}
+    rows = rows_of(spark, folder, "op6_mixing")
+    assert {r.doc_id for r in rows} == {d[0] for d in tables["documents"]}
+    # quotas by the definition: the flattest powers of the shares whose repetition stays within the limit
+    with open(lengths.VOCABULARY, "rb") as file:
+        encoder = bytepair.encoder_of(file.read(), bytepair.PATTERN)
+    size, largest, total = {}, Counter(), Counter()
+    for doc, text, _, source, _ in tables["documents"]:
+        size[doc] = encoder.count(text or "")
+        total[source] += size[doc]
+        largest[source] = max(largest[source], size[doc])
+    assert all(r.tokens == size[r.doc_id] for r in rows)
+    ratio = max(total.values()) / min(t for t in total.values() if t)
+    x = max(0.0, 1 - math.log(mixing.REPEAT_LIMIT) / math.log(ratio))
+    z = sum(t**x for t in total.values() if t)
+    budget = math.ceil(mixing.REPEAT_LIMIT * total.total())
+    have, places = Counter(), {}
+    for r in rows:
+        have[r.source] += r.tokens
+        places.setdefault((r.source, r["pass"], r.block), set()).add(r.position)
+    for source, t in total.items():
+        if t:
+            quota = budget * t**x / z
+            assert quota >= t - 1 and quota - largest[source] - 1 <= have[source] <= quota + 1
+    # a block has one place in its pass, and passes come one after the other
+    assert all(len(p) == 1 and 0 <= min(p) < 1 for p in places.values())
+    for source, n, block in places:
+        for other in (k for k in places if k[0] == source and k[1] < n):
+            assert min(places[other]) < min(places[source, n, block])
 
 
 def test_nearest_vectors(spark, folder, tables):

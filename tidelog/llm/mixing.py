@@ -34,21 +34,39 @@ STEPS = 40
 PLAN = ("pass", "block", "position")
 
 
+# scripts that put no spaces between words: a character counts as a word
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+# a run without spaces counts once for so many characters
+LONGEST_WORD = 16
+WORD = rf"[{UNSPACED}]|[^\s\p{{Z}}{UNSPACED}]{{1,{LONGEST_WORD}}}"
+
+
 def words(text: Column) -> Column:
-    """Number of words between single spaces and line breaks: the usual count, by one pass."""
-    squeezed = F.length(text) - F.length(F.replace(F.replace(text, F.lit(" ")), F.lit("\n")))
-    return F.when(F.length(text) > 0, squeezed.cast("bigint") + 1).otherwise(F.lit(0).cast("bigint"))
+    """Number of words: runs between white space of any kind, long ones in parts, unspaced scripts by character."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
 def _source_key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
 
 
+def _rows(docs: DataFrame, tokens: Column, source: str, doc_id: str, text: str, seed: int) -> DataFrame:
+    """(_src, _t, _place) of every document, landed, so that tokens are counted once."""
+    place = _place(doc_id, text, seed)
+    return land(docs.select(_source_key(source).alias("_src"), F.coalesce(tokens, F.lit(0)).cast("bigint").alias("_t"), place.alias("_place")), "mix-rows")
+
+
+def _place(doc_id: str, text: str, seed: int) -> Column:
+    return unit(F.lit(seed), F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
+
+
 def source_tokens(docs: DataFrame, tokens: Column, source: str = "source") -> DataFrame:
     """(src, tokens, docs): totals by source; summed before the shuffle, so a hot source is no load."""
-    return docs.select(_source_key(source).alias("src"), F.coalesce(tokens, F.lit(0)).alias("t")).groupBy("src").agg(
-        F.sum("t").cast("bigint").alias("tokens"), F.count(F.lit(1)).alias("docs")
-    )
+    return _totals(docs.select(_source_key(source).alias("_src"), F.coalesce(tokens, F.lit(0)).alias("_t")))
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col("_src").alias("src")).agg(F.sum("_t").cast("bigint").alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
 def _entropy(sources: DataFrame, exponent: float) -> float:
@@ -101,15 +119,13 @@ def weights(sources: DataFrame, exponent: float, budget: int | None = None, bloc
 
 
 def realise(docs: DataFrame, mix: DataFrame, tokens: Column, source: str = "source", doc_id: str = "doc_id", text: str = "text",
-            seed: int = 0) -> DataFrame:
+            seed: int = 0, rows: DataFrame | None = None) -> DataFrame:
     """The documents of the mix, once for each pass that takes them, with pass, block and position."""
     mix = land(mix, "mix")
-    dealt = docs.withColumns({"_src": _source_key(source), "_t": F.coalesce(tokens, F.lit(0)).cast("bigint")}).withColumn(
-        "_place", unit(F.lit(seed), F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
-    )
-    blocks = mix.select(F.col("src").alias("_src"), "blocks")
-    narrow = dealt.select("_src", "_t", "_place").join(blocks, "_src")
-    block = F.floor(F.col("_place") * F.col("blocks")).cast("bigint")
+    rows = _rows(docs, tokens, source, doc_id, text, seed) if rows is None else rows
+    blocks = mix.select(F.col("src").alias("_src"), F.col("blocks").alias("_blocks"))
+    narrow = rows.join(blocks, "_src")
+    block = F.floor(F.col("_place") * F.col("_blocks")).cast("bigint")
     totals = land(
         narrow.groupBy("_src", block.alias("_block")).agg(F.sum("_t").alias("_tokens")), "mix-blocks"
     )
@@ -139,7 +155,9 @@ def realise(docs: DataFrame, mix: DataFrame, tokens: Column, source: str = "sour
         F.when(F.col("_room") >= F.col("_tokens"), F.lit(2.0)).otherwise(F.coalesce("_last", F.lit(-1.0))).alias("_upto"),
     )
     plan = land(plan, "mix-plan")
-    taken = dealt.drop(*PLAN).join(blocks, "_src").withColumn("_block", block).join(plan, ["_src", "_block"]).where(F.col("_place") <= F.col("_upto"))
+    # columns of the documents named like those of the plan are replaced
+    dealt = docs.drop(*PLAN).withColumns({"_src": _source_key(source), "_place": _place(doc_id, text, seed)})
+    taken = dealt.join(blocks, "_src").withColumn("_block", block).join(plan, ["_src", "_block"]).where(F.col("_place") <= F.col("_upto"))
     return taken.withColumnRenamed("_block", "block").select(*[c for c in docs.columns if c not in PLAN], *PLAN)
 
 
@@ -148,6 +166,7 @@ def mix(docs: DataFrame, tokens: Column | None = None, entropy: float | None = N
         block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Weights by temperature, then their realisation."""
     tokens = words(F.col(text)) if tokens is None else tokens
-    sources = land(source_tokens(docs, tokens, source), "mix-sources")
+    rows = _rows(docs, tokens, source, doc_id, text, seed)
+    sources = land(_totals(rows), "mix-sources")
     exponent = find_exponent(sources, entropy, repeat_limit)
-    return realise(docs, weights(sources, exponent, budget, block_tokens), tokens, source, doc_id, text, seed)
+    return realise(docs, weights(sources, exponent, budget, block_tokens), tokens, source, doc_id, text, seed, rows)
