@@ -14,7 +14,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.test_corpus_operators import brute_components, brute_top, near_docs
 from tests.llm.test_sequence_operators import brute_infill, brute_trie, check_packing
-from tests.llm.test_text_operators import _brute_spans, _brute_terms
+from tests.llm.test_text_operators import _brute_spans, _brute_terms, brute_alike
 from tidelog.llm import bytepair, lengths, mixing, packing, pieces
 from tidelog.session import configure
 
@@ -95,7 +95,8 @@ def test_fingerprints(spark, folder, tables):
         changed = text[: len(text) - cut] + order[(n + 1) % len(order)][1][:cut]
         r = got[doc]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.near_edited == 1 or text != changed)
+        assert r.near_edited == pytest.approx(brute_alike(text, changed)) and (r.near_edited == 1 or text != changed)
+        assert r.near_next == pytest.approx(brute_alike(text, order[(n + 1) % len(order)][1])) and (r.first_edit is None) == (text == changed)
         by_text.setdefault(text, set()).add(r.fingerprint)
         by_text.setdefault(changed, set()).add(r.edited_fingerprint)
     assert all(len(v) == 1 for v in by_text.values()) and len(set().union(*by_text.values())) == len(by_text)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidelog.llm import bytepair, lengths, merkle, pieces, pii, urls
@@ -232,6 +233,85 @@ def test_a_long_text(spark):
     assert row.n > 1 and row.near == 1
 
 
+def brute_mark(text):
+    """(root, sketch as sorted (code, n), reach) by the definition."""
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections = [s.split("\n") for s in text.split("\n\n")]
+    leaves = Counter()
+    for piece in (m for s in sections for p in s for m in re.findall(merkle.LEAF, p, re.ASCII)):
+        low = xxhash.xxh64_intdigest(piece.encode(), 42) & ((1 << 33) - 1)
+        leaves[low << 7 | min(len(piece), 127)] += 1
+    ordered = sorted(leaves.items())
+    return digest("".join(digest("".join(map(digest, s))) for s in sections)), ordered[: merkle.SKETCH + 1]
+
+
+def brute_alike(a, b):
+    (root_a, x), (root_b, y) = brute_mark(a), brute_mark(b)
+    if root_a == root_b:
+        return 1.0
+    edge = min([z[-1][0] for z in (x, y) if len(z) > merkle.SKETCH], default=1 << 62)
+    x, y = ({c: n for c, n in z if c < edge} for z in (x, y))
+    both = sum((c & 127) * n for z in (x, y) for c, n in z.items())
+    return 2 * sum((c & 127) * min(n, y.get(c, 0)) for c, n in x.items()) / both if both else 1.0
+
+
+def test_likeness_counts_repeats_and_stays_small(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choices("abcdensty", k=rng.randrange(1, 9))) + rng.choice(["", "", ".", ","]) for _ in range(n))
+    line, long, unspaced = "The same line of words again.", words(40_000), "的一是不了人我在有他。" * 300 + "，".join("天地人" * 20)
+    many = "\n\n".join(words(30) for _ in range(50))
+    pairs = [
+        ("\n".join([line] * 100), line), (long, long[:100_000] + " new " + long[100_000:]), (long, words(40_000)), (many, "x " + many),
+        (unspaced, "她" + unspaced), (many, many[: len(many) // 2] + words(800)), ("", "\n"), ("", "a"), ("a b", "b a"), (long, ""), ("\t \x0b", "\u00a0\u2003"),
+    ]
+    a, b = (merkle.mark(merkle.tree(F.col(n))) for n in "ab")
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", merkle.alike(a, b).alias("near"), merkle.shown(a).alias("shown")).collect()
+    got = {(r.a, r.b): r for r in rows}
+    for pair in pairs:
+        assert got[pair].near == pytest.approx(brute_alike(*pair)) and len(got[pair].shown) < 4096
+    near = [got[p].near for p in pairs]
+    assert near[0] < 0.1 and near[1] > 0.97 and near[2] < 0.2 and near[3] > 0.98 and near[4] > 0.9 and 0.4 < near[5] < 0.75
+
+
+def test_first_edit(spark):
+    text = "a\nb\n\nc\nd\n\ne"
+    cases = [(text, None), ("a\nb\n\nc\nD\n\ne", (1, 1)), ("x" + text, (0, 0)), (text + "\nf", (2, 1)), (text + "\n\nf", (3, 0)), ("a", (0, 1)), ("", (0, 0))]
+    table = spark.createDataFrame([(text, c) for c, _ in cases], "a string, b string")
+    rows = table.select("b", merkle.first_edit(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("at")).collect()
+    assert {r.b: r.at and tuple(r.at) for r in rows} == dict(cases)
+
+
+@pytest.mark.parametrize("case", ["far", "null", "one", "dense"])
+def test_buckets_stay_small(spark, case):
+    some = spark.range(1, 20_001).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    more = {
+        "far": spark.createDataFrame([(10**15, "x"), (-(10**15), "y")], DOCS),
+        "null": some.withColumn("doc_id", F.lit(None).cast("bigint")),
+        "one": some.withColumn("doc_id", F.lit(77).cast("bigint")), "dense": some.where("doc_id < 0"),
+    }[case]
+    table = some.union(more)
+    bucket, _ = merkle._buckets(table, "doc_id", "text")
+    held = table.select("doc_id", bucket.alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("b").collect()
+    assert max(r.n for r in held) <= 2 * merkle.BUCKET_ROWS and sum(r.n for r in held) == table.count() and len(held) < 200
+    edges = [(r.low, r.high) for r in held if r.low is not None]
+    assert all(x[1] <= y[0] for x, y in zip(edges, edges[1:]))
+
+
+def test_next_rows_of_a_key_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(merkle, "GROUP", 2)
+    rows = [(i, f"n{i}") for i in range(9)] + [(4, f"h{i}") for i in range(40)] + [(None, f"z{i}") for i in range(30)]
+    got = {r.text: r for r in merkle.with_next(spark.createDataFrame(rows, DOCS), {}).collect()}
+    ids = {t: i for i, t in rows}
+    walk, at = [], "n8"
+    for _ in rows:
+        walk.append(at)
+        at = got[at].next_text
+    assert at == "n8" and sorted(walk) == sorted(ids)  # one cycle through all rows
+    seen = [ids[t] for t in walk]
+    assert seen == sorted((i for i, _ in rows if i is not None), reverse=True) + [None] * 30
+
+
 # ---- personal data
 
 

@@ -62,20 +62,19 @@ def op3_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
-    # the codes travel with the text, so that no tree of a next text is built again
-    rows = merkle.with_next(docs, {"codes": lambda text: merkle.codes(merkle.tree(text))})
+    # the mark travels with the text, so that no tree of a next text is built again
+    rows = merkle.with_next(docs, {"mark": lambda text: merkle.mark(merkle.tree(text))})
     rows = rows.withColumn("n_chars", F.length("text").cast("bigint"))
     moved = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - moved), F.substring("next_text", F.lit(1), moved))
-    return (
-        rows.withColumn("edited", edited)
-        .withColumns({"tree": merkle.tree(F.col("text")), "edited_tree": merkle.tree(F.col("edited"))})
-        .select(
-            "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-            merkle.fingerprint(F.col("tree")).alias("fingerprint"), merkle.fingerprint(F.col("edited_tree")).alias("edited_fingerprint"),
-            merkle.likeness(F.col("codes"), merkle.codes(F.col("edited_tree"))).alias("near_edited"),
-            merkle.likeness(F.col("codes"), F.col("next_codes")).alias("near_next"),
-        )
+    rows = rows.withColumn("edited", edited).withColumns({"tree": merkle.tree(F.col("text")), "edited_tree": merkle.tree(F.col("edited"))})
+    rows = rows.withColumn("edited_mark", merkle.mark(F.col("edited_tree")))
+    mark, edited_mark = F.col("mark"), F.col("edited_mark")
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        merkle.shown(mark).alias("fingerprint"), merkle.shown(edited_mark).alias("edited_fingerprint"),
+        merkle.alike(mark, edited_mark).alias("near_edited"), merkle.alike(mark, F.col("next_mark")).alias("near_next"),
+        merkle.first_edit(F.col("tree"), F.col("edited_tree")).alias("first_edit"),
     )
 
 
