@@ -238,7 +238,8 @@ def brute_mark(text):
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     sections = [s.split("\n") for s in text.split("\n\n")]
     leaves = Counter()
-    for piece in (m for s in sections for p in s for m in re.findall(merkle.LEAF, p, re.ASCII)):
+    leaf = merkle.LEAF.replace(r"[\S&&[^", r"[^\s").replace("]]", "]")  # Python has no intersection of classes
+    for piece in (m for s in sections for p in s for m in re.findall(leaf, p, re.ASCII)):
         low = xxhash.xxh64_intdigest(piece.encode(), 42) & ((1 << 33) - 1)
         leaves[low << 7 | min(len(piece), 127)] += 1
     ordered = sorted(leaves.items())

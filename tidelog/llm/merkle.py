@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import land, unit
 
-MARKS = ".,;:!?。，、；：！？"
-WORD = rf"(?:[^\s{MARKS}]{{1,40}}+[{MARKS}]*+|[{MARKS}]++)"
+# marks of unspaced scripts; behind them a word ends, as before white space and after 40 characters
+MARKS = "、-。！-？"
+WORD = rf"(?:[\S&&[^{MARKS}]]{{1,40}}+[{MARKS}]*+|[{MARKS}]++)"
 # three words, then up to the next word that ends a leaf, at most ten more
-LEAF = rf"\s++|(?:{WORD}\s*+){{1,3}}+(?:{WORD}(?<![{MARKS}dnty0-9])\s*+){{0,9}}+(?:{WORD}\s*+)?+"
+LEAF = rf"\s++|(?:{WORD}\s*+){{1,3}}+(?:{WORD}(?<=[^.,;:!?dnty0-9{MARKS}])\s*+){{0,9}}+(?:{WORD}\s*+)?+"
 SKETCH = 192
 SLICES = 4096
 BUCKET_ROWS = 512
@@ -57,6 +58,12 @@ def tree(text: Column) -> Column:
     return F.transform(F.split(text, "\n\n"), lambda section: F.transform(F.split(section, "\n"), paragraph))
 
 
+def outline(text: Column) -> Column:
+    """The tree without its leaves: ARRAY of sections, each an ARRAY of paragraphs STRUCT<digest>."""
+    paragraph = lambda p: F.struct(F.sha2(p, 256).alias("digest"))
+    return F.transform(F.split(text, "\n\n"), lambda section: F.transform(F.split(section, "\n"), paragraph))
+
+
 def _section(paragraphs: Column) -> Column:
     return F.sha2(F.array_join(F.transform(paragraphs, lambda p: p["digest"]), ""), 256)
 
@@ -130,7 +137,7 @@ def alike(a: Column, b: Column) -> Column:
 
 
 def first_edit(a: Column, b: Column) -> Column:
-    """STRUCT<section, paragraph> where tree ``b`` first differs from ``a``, from 0; NULL if nowhere.
+    """STRUCT<section, paragraph> where tree or outline ``b`` first differs from ``a``, from 0; NULL if nowhere.
 
     The first section whose digest differs is looked into, all before it are passed over.
     """

@@ -67,14 +67,14 @@ def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("n_chars", F.length("text").cast("bigint"))
     moved = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - moved), F.substring("next_text", F.lit(1), moved))
-    rows = rows.withColumn("edited", edited).withColumns({"tree": merkle.tree(F.col("text")), "edited_tree": merkle.tree(F.col("edited"))})
+    rows = rows.withColumn("edited", edited).withColumns({"outline": merkle.outline(F.col("text")), "edited_tree": merkle.tree(F.col("edited"))})
     rows = rows.withColumn("edited_mark", merkle.mark(F.col("edited_tree")))
     mark, edited_mark = F.col("mark"), F.col("edited_mark")
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         merkle.shown(mark).alias("fingerprint"), merkle.shown(edited_mark).alias("edited_fingerprint"),
         merkle.alike(mark, edited_mark).alias("near_edited"), merkle.alike(mark, F.col("next_mark")).alias("near_next"),
-        merkle.first_edit(F.col("tree"), F.col("edited_tree")).alias("first_edit"),
+        merkle.first_edit(F.col("outline"), F.col("edited_tree")).alias("first_edit"),
     )
 
 
